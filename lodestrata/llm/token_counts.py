@@ -163,6 +163,13 @@ class Transducer:
         return self.whole(m[0]) if len(m) == 1 else self.whole(m[0]) + m[1] + self.whole(m[2])
 
 
+def compiled(model_path: str) -> Transducer:
+    """This worker's transducer, which goes on from task to task."""
+    if model_path not in _workers:
+        _workers[model_path] = Transducer(model_path)
+    return _workers[model_path]
+
+
 def borders(data: np.ndarray) -> np.ndarray:
     """Where a segment begins: at a space behind another byte, and on either side of a line feed."""
     out = np.zeros(len(data), bool)
@@ -207,11 +214,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _workers:
-            _workers[model_path] = Transducer(model_path)
+        tr = compiled(model_path)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            n = count_batch(_workers[model_path], data, off)
+            n = count_batch(tr, data, off)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
