@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, ngram_join, quality, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -40,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, records = warc.archive(read_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "bundle", "frame", "offset", "length")
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op6_language_id, op8_warc, op10_token_counts)
+    f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op6_language_id, op7_ngram_join, op8_warc, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
