@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, quality, suffix_tree, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, ngram_join, quality, suffix_dedup, suffix_tree, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -53,13 +53,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "bundle", "frame", "offset", "length")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op6_language_id, op7_ngram_join, op8_warc, op10_token_counts)
+    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
