@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, quality, suffix_dedup, suffix_tree, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, ngram_join, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -37,6 +37,10 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.language_model_scores(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5).eqNullSafe(1))
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 4).eqNullSafe(2)
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
