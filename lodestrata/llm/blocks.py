@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import sub_blocks, text_bytes
 
 #: Bytes of text of a block, about.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 6 << 20
 
 SCHEMA = "blk long, doc_ids array<long>, flags array<boolean>, sizes array<int>, body binary"
 
