@@ -42,6 +42,9 @@ WEIGHT = 6.0
 #: Bytes of distinct words that one task sums up, about.
 RANGE_BYTES = 32 << 20
 
+#: Distinct windows that a task adds up before it passes them on.
+MERGED_WINDOWS = 2_000_000
+
 #: Key of the end token.
 END = np.uint64(0x9C8B7A6958473625)
 _SPACE, _LF = 0x20, 0x0A
@@ -145,17 +148,24 @@ def count_windows(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """w, n: how often each window of depth+1 bytes occurs in training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["w", "n"])
+
         for batch in batches:
             for flags, sizes, body in zip(*(batch.column(c) for c in ("flags", "sizes", "body")), strict=True):
                 data, off = unpack(sizes, body)
                 train = ~np.array(flags.as_py(), bool)
-                key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for i, j in sub_blocks(off):
                     text, bounds, _ = spelled(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
                     k, c = np.unique(windows(text, bounds[train[i:j]], depth), return_counts=True)
                     both, inverse = np.unique(np.concatenate([key, k]), return_inverse=True)
                     key, n = both, np.bincount(inverse, weights=np.concatenate([n, c]), minlength=len(both)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["w", "n"])
+                    if len(key) > MERGED_WINDOWS:
+                        yield out()
+                        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield out()
 
     return materialise(blocks.select("flags", "sizes", "body").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "windows")
 
