@@ -49,7 +49,7 @@ ANCHOR, STEP = 32, 4
 #: Occurrences from which an anchor is split by its windows.
 HOT = 50_000
 #: Bytes of text whose anchors, and whose stretches, one task owns, about; bytes of a chunk.
-RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 32 << 20, 8 << 20, 2 << 20
+RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20, 1 << 20
 
 _POS = np.uint64((1 << 28) - 1)
 
@@ -110,10 +110,18 @@ class Stretches:
         return out | {"key": pack_sorted(self.c["key"]), "body": zstandard.ZstdCompressor(level=3).compress(self.text.tobytes())}
 
 
-def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Stretches of data, one behind the other."""
-    at = np.cumsum(sizes) - sizes
-    return data[np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)]
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """Stretches of data, one behind the other; index arrays for a part of them at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    i = 0
+    while i < len(sizes):
+        low = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, low + at_once, side="right")))
+        at = ends[i:j] - sizes[i:j] - low
+        out[low : ends[j - 1]] = data[np.arange(int(ends[j - 1]) - low) + np.repeat(starts[i:j] - at, sizes[i:j])]
+        i = j
+    return out
 
 
 def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
