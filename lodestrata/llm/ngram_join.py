@@ -8,8 +8,8 @@ Texts with one set make one node; similarity is the sets' Jaccard index.
 2. Chosen paths: each of `runs` runs puts a set into the bucket of one sampled
    token; two sets of similarity t share it with probability t.  Buckets of more than LEAF
    sets split again, on the tokens of the next level, in as many runs.  A bucket
-   whose split leaves half of it together holds near copies, which splitting
-   doesn't part: it stays as it is.  `runs` follows from the target recall:
+   of which one more token leaves DENSE of it together holds near copies, which
+   splitting doesn't part: it stays as it is.  `runs` follows from the target recall:
    a pair at the threshold is lost on a level with (1-t)**runs.
 3. Leaves are compared by brute force on the sampled tokens, and give links
    that span what may be similar (LOOSE tokens in common, five deviations below
@@ -46,6 +46,8 @@ TOKENS = 64
 LOOSE = 36
 #: Least probability that a pair at the threshold survives a level.
 RECALL = 0.9999
+#: Share of a bucket that one token keeps together if it holds near copies.
+DENSE = 0.4
 #: Sets of a leaf, levels of a path, sets and shingles of a block.
 LEAF, LEVELS, BLOCK, BLOCK_SHINGLES = 256, 3, 2048, 2_000_000
 
@@ -120,22 +122,15 @@ def _token_key(parent, level: int, run: int):
 
 def chosen_paths(nodes: DataFrame, runs: int, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """leaf, node, size: the leaves of all paths that hold two nodes at least; nodes has (node, tokens)."""
-    rows = nodes.select("node", F.lit(0).cast("long").alias("parent"), F.lit(None).cast("long").alias("psize"), "tokens")
+    rows = nodes.select("node", F.lit(0).cast("long").alias("parent"), "tokens")
     leaves = None
-    parents = None
     for level in range(levels):
         first = level * runs
         keys = F.array(*(_token_key(F.col("parent"), level, first + r) for r in range(runs)))
-        children = rows.select("node", "parent", "psize", F.explode(keys).alias("key"))
+        children = rows.select("node", F.explode(keys).alias("key"))
         sizes = children.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         children = materialise(children.join(sizes, "key"), f"paths-{level}")
-        if parents is not None:
-            # Splitting leaves near copies together: their bucket stays whole.
-            dense = children.where(F.col("size") >= 0.5 * F.col("psize")).select(F.col("parent").alias("key")).distinct()
-            whole = parents.join(dense, "key", "left_semi").select("key", "node", "size")
-            leaves = leaves.unionAll(whole)
-            children = children.join(dense, children["parent"] == dense["key"], "left_anti")
-        last = level + 1 == levels or (level + 2) * runs > TOKENS
+        last = level + 1 == levels or (level + 2) * runs > TOKENS - levels
         small = children if last else children.where(F.col("size") <= leaf)
         small = small.select("key", "node", "size")
         leaves = small if leaves is None else leaves.unionAll(small)
@@ -145,6 +140,11 @@ def chosen_paths(nodes: DataFrame, runs: int, leaf: int = LEAF, levels: int = LE
         if parents.isEmpty():
             break
         rows = parents.join(nodes, "node").select("node", F.col("key").alias("parent"), F.col("size").alias("psize"), "tokens")
+        # One token is enough to see which buckets hold near copies; only the others split.
+        probe = rows.withColumn("key", _token_key(F.col("parent"), level + 1, TOKENS - 1 - level)).groupBy("parent", "psize", "key").count()
+        whole = materialise(probe.where(F.col("count") >= DENSE * F.col("psize")).select(F.col("parent").alias("key")).distinct(), f"dense-{level}")
+        leaves = leaves.unionAll(parents.join(whole, "key", "left_semi").select("key", "node", "size"))
+        rows = rows.join(whole, rows["parent"] == whole["key"], "left_anti")
     return leaves.select(F.col("key").alias("leaf"), "node", "size")
 
 
