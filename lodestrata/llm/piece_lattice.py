@@ -1,20 +1,19 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a lattice of words.
 
 A text gets a space before it (unless it is empty) and is cut into words: a run of
 spaces with what follows it up to the next space or line feed, a line feed, or spaces
-at the end.  A word has WORD_CHARS characters at most, longer runs go on in a word of
-their own.  The distinct words of a block of documents are exploded into all substrings of
-bounded length, these are equi-joined to the piece table, the edges are grouped by
-word and folded.  Then the words of each document are put together, in Python, beside
-their block.
+at the end.  The distinct words of a block of texts are exploded into all substrings
+of bounded length, these are equi-joined to the piece table, the edges are grouped by word
+and folded, and each text takes the ids of its words.
 
-The fold depends on the model.  Unigram: the best path (Viterbi) by a higher-order
+The fold depends on the model.  Unigram: the best path (Viterbi) by Spark's higher-order
 aggregate, most score, at a tie the longest last piece; a character without a piece costs
-UNKNOWN.  BPE (scores are ranks): a path of best ranks isn't what the library
-gives, so the fold merges the pair of the best rank again and again, the leftmost of
-equal ones.  Borders of a word are bits of one number, and all words of a block
-are folded at once, beside the block.  Words of more than MASK_CHARS characters are
-merged one by one.  A character without a piece stands for its bytes.
+UNKNOWN.  All steps are DataFrame operations.  BPE (scores are ranks): a path of best
+ranks isn't what the library gives, so the fold merges the pair of the best rank again
+and again, the leftmost of equal ones, with the borders of a word as bits of one
+number.  Here the same steps (explode, equi-join, group, fold) run over the columns of a block
+in numpy, without a shuffle.  Words of more than MASK_BYTES bytes go to the library.
+A character without a piece stands for its bytes.
 
 Null and empty texts have no ids and decode to an empty text.  Repeated rows are each
 encoded; an empty table gives an empty result; other columns are ignored.
@@ -23,23 +22,23 @@ encoded; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import prefix_hash, span_hash, sub_blocks, text_bytes
+from .suffix_dedup import gather
 
-#: Characters of a word at most, and spaces before it in the same word.
+#: Characters of a word at most, and spaces before it in the same word, for the best path.
 WORD_CHARS, WORD_SPACES = 240, 16
-#: Bytes of text of a block, about.
-BLOCK_BYTES = 8 << 20
-#: Characters of the longest word whose borders one number holds.
-MASK_CHARS = 60
+#: Bytes of text of a block, about: on the way of joins, and in numpy.
+BLOCK_BYTES, COLUMN_BYTES = 8 << 20, 4 << 20
+#: Bytes of the longest word whose borders one number holds.
+MASK_BYTES = 60
 #: Score of a character that no piece covers.
 UNKNOWN = -1e7
 
@@ -95,17 +94,113 @@ def spans(words: DataFrame, pieces: DataFrame, keys: list[str], longest: int, sh
     return each.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece")
 
 
-def ranked_edges(words: DataFrame, pieces: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """keys, word, edges: rank, start and end of the pieces of each word in one number, in order."""
-    longer = words.where(F.char_length("word").between(2, MASK_CHARS))
-    code = F.shiftleft((-F.col("score")).cast("long"), 16) + F.shiftleft(F.col("s").cast("long"), 8) + F.col("e")
-    return spans(longer, pieces, keys, longest, 2).groupBy(*keys, "word").agg(F.sort_array(F.collect_list(code)).alias("edges"))
+class Lattice:
+    """Words of a block against the piece table, in columns."""
 
+    def __init__(self, model_path: str):
+        import sentencepiece
 
-def merge_borders(lengths: np.ndarray, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Borders that stay in each word when its edges are merged by rank, as bits (bit k: before character k)."""
-    mask = (np.uint64(2) << lengths.astype(np.uint64)) - np.uint64(1)
-    word = np.repeat(np.arange(len(lengths)), np.diff(off))
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        p = self.pieces = Pieces.load(model_path)
+        raw = [x.replace(_MARK, " ").encode() for x in p.text]
+        size = np.array([len(x) for x in raw])
+        off = np.concatenate([[0], np.cumsum(size)])
+        key = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), off[:-1], off[1:])
+        rank, ids = -np.array(p.scores, np.int64), np.array(p.ids, np.int64)
+        #: The piece table by length in bytes: sorted keys, ids, ranks.
+        self.by_size = {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            own = own[np.argsort(key[own])]
+            self.by_size[n] = key[own], ids[own], rank[own]
+
+    def join(self, prefix: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of spans of one size: which are pieces, and their ids and ranks."""
+        keys, ids, rank = self.by_size[size]
+        own = span_hash(prefix, starts, starts + size)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == own)
+        return hit, ids[at[hit]], rank[at[hit]]
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one behind the other, and the n+1 offsets."""
+        n = ends - starts
+        off = np.concatenate([[0], np.cumsum(n)])
+        text = gather(data, starts, n)
+        prefix = prefix_hash(text)
+        lead = (text & 0xC0) != 0x80
+        word = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(text)) - off[word]
+        short = n <= MASK_BYTES
+        mask = np.zeros(len(n), np.uint64)
+        np.bitwise_or.at(mask, word[lead & short[word]], np.uint64(1) << place[lead & short[word]].astype(np.uint64))
+        mask[short] |= np.uint64(1) << n[short].astype(np.uint64)
+        # Explode and join: substrings of each size that occurs in the table.
+        usable = np.flatnonzero(lead & short[word])
+        found = []
+        for size in self.by_size:
+            if size > 1:
+                s = usable[place[usable] + size <= n[word[usable]]]
+                if len(s):
+                    hit, _, rank = self.join(prefix, s, size)
+                    s = s[hit]
+                    found.append((word[s], rank << 16 | place[s] << 8 | (place[s] + size)))
+        if found:
+            owner, code = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((code, owner))  # group by word, in order of rank
+            merge_borders(mask, owner[order], code[order])
+        # Segments between borders that are left.
+        w, at = np.nonzero((mask[:, None] >> np.arange(MASK_BYTES + 1, dtype=np.uint64)) & np.uint64(1))
+        same = np.flatnonzero(w[1:] == w[:-1])
+        w, begin, size = w[same], at[same] + off[w[same]], at[same + 1] - at[same]
+        ids = np.full(len(w), -1, np.int64)
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            if k in self.by_size:
+                hit, got, _ = self.join(prefix, begin[own], k)
+                ids[own[hit]] = got
+        count = np.where(ids >= 0, 1, size)
+        out = np.repeat(ids, count)
+        byte = np.repeat(begin, count) + np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+        out = np.where(out < 0, self.pieces.bytes[text[np.minimum(byte, len(text) - 1)]] if len(text) else out, out)
+        per_word = np.bincount(w, weights=count, minlength=len(n)).astype(np.int64)
+        if short.all():
+            return out, np.concatenate([[0], np.cumsum(per_word)])
+        parts = np.split(out, np.cumsum(per_word)[:-1])
+        for k in np.flatnonzero(~short).tolist():
+            parts[k] = np.array(self.by_library(text[off[k] : off[k + 1]].tobytes().decode()), np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def by_library(self, word: str) -> list[int]:
+        if word[0] == " " and len(word) > 1:
+            return self.model.encode(word[1:])
+        return self.model.encode("\n" + word)[2:]
+
+    def encode_texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and the n+1 offsets."""
+        full = np.flatnonzero(np.diff(off))
+        begin = off[:-1][full] + np.arange(len(full))
+        spaced = np.full(len(data) + len(full), 0x20, np.uint8)
+        body = np.ones(len(spaced), bool)
+        body[begin] = False
+        spaced[body] = data
+        edge = np.zeros(len(spaced), bool)
+        lf = spaced == 0x0A
+        edge[1:] = (spaced[1:] == 0x20) & (spaced[:-1] != 0x20) | lf[1:] | lf[:-1]
+        edge[begin] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(spaced)) if len(starts) else starts
+        _, first, which = np.unique(span_hash(prefix_hash(spaced), starts, ends), return_index=True, return_inverse=True)
+        ids, at = self.encode_words(spaced, starts[first], ends[first])
+        got, size = concat_ranges(ids, at, which)
+        count = np.zeros(len(off) - 1, np.int64)
+        if len(full):
+            count[full] = np.add.reduceat(size, np.searchsorted(starts, begin))
+        return got, np.concatenate([[0], np.cumsum(count)])
+
+
+def merge_borders(mask: np.ndarray, word: np.ndarray, codes: np.ndarray) -> None:
+    """Merge edges (rank, start, end in one number; by word, in order) in place; masks have a bit for each border."""
     s = (codes >> 8 & 255).astype(np.uint64)
     size = (codes & 255).astype(np.uint64) - s
     one = np.uint64(1)
@@ -116,26 +211,9 @@ def merge_borders(lengths: np.ndarray, codes: np.ndarray, off: np.ndarray) -> np
         ready = np.flatnonzero(np.bitwise_count(own) == 3)  # and there is one between them
         first = ready[np.append(True, word[ready][1:] != word[ready][:-1])] if len(ready) else ready
         mask[word[first]] ^= (own[first] ^ one ^ (one << size[first])) << s[first]
-        on = np.zeros(len(lengths), bool)
+        on = np.zeros(len(mask), bool)
         on[word[first]] = True
         word, s, size = (x[on[word]] for x in (word, s, size))
-    return mask
-
-
-def merge_in_python(word: str, ranks: dict[str, float]) -> int:
-    """merge_borders() of one word of any length."""
-    parts = list(word)
-    while len(parts) > 1:
-        options = [(ranks[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in ranks]
-        if not options:
-            break
-        _, i = min(options)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    at, mask = 0, 1
-    for x in parts:
-        at += len(x)
-        mask |= 1 << at
-    return mask
 
 
 def best_path() -> Column:
@@ -177,10 +255,51 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, sizes: Iterable[int]) -> list[by
     return [blob[a:b][1:] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_RESULT = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
+_workers: dict[str, Lattice] = {}
+
+
+def lattice_of(model_path: str) -> Lattice:
+    """This worker's piece table."""
+    if model_path not in _workers:
+        _workers[model_path] = Lattice(model_path)
+    return _workers[model_path]
+
+
+def _result(ids: list | pa.Array, bodies: list[bytes], got: np.ndarray, ends: np.ndarray, p: Pieces) -> pa.RecordBatch:
+    back = decode_ids(p, got, np.diff(ends))
+    column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32)))
+    right = pa.array([a == b for a, b in zip(back, bodies, strict=True)], pa.bool_())
+    return pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()), pa.array(np.diff(ends)), column, right], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+
+def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip (decoding gives the text back) for every row of docs(doc_id, text)."""
+    if not Pieces.load(model_path).merges:
+        return encode_best_path(docs, Pieces.load(model_path))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = lattice_of(model_path)
+        for batch in batches:
+            data, off = text_bytes(batch.column(1))
+            for i, j in sub_blocks(off, COLUMN_BYTES):
+                raw = data[off[i] : off[j]].tobytes()
+                at = off[i : j + 1] - off[i]
+                bodies = [raw[a:b].replace(_MARK.encode(), b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                text = np.frombuffer(b"".join(bodies), np.uint8)
+                got, ends = lattice.encode_texts(text, np.cumsum([0, *map(len, bodies)]))
+                yield _result(batch.column(0).slice(i, j - i), bodies, got, ends, lattice.pieces)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, _RESULT)
+
+
+def encode_best_path(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """encode() for a unigram model, by joins.
+
+    Texts are dealt to blocks by a hash of doc_id and text; they cross one exchange, and
+    everything behind it stays in its partition.
+    """
     spark = docs.sparkSession
-    pieces = Pieces.load(model_path)
     shared = spark.sparkContext.broadcast(pieces)
     longest = max(map(len, pieces.text))
     # One column, so that both readers of the exchange ask for the same.
@@ -188,71 +307,29 @@ def encode(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES) ->
     lines = docs.select(line.alias("line"))
     plain = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
     blocks = max(1, -(-plain // block_bytes))
-    dealt = lines.withColumn("blk", F.pmod(F.xxhash64("line"), F.lit(blocks))).repartition(max(blocks, 1), "blk")
+    dealt = lines.withColumn("blk", F.pmod(F.xxhash64("line"), F.lit(blocks))).repartition(blocks, "blk")
     text = F.substr(F.col("line"), F.locate("\t", "line") + 1, F.char_length("line"))
     words = dealt.select("blk", F.explode(F.array_distinct(words_of(text))).alias("word")).distinct()
-    if pieces.merges:
-        coded = ranked_edges(words, pieces.table(spark), ["blk"], longest).select(F.col("blk").alias("owner"), "word", F.col("edges").alias("code"))
-    else:
-        edges = spans(words, pieces.table(spark), ["blk"], longest).groupBy("blk", "word").agg(F.collect_list(F.struct("e", "s", "score", "id")).alias("edges"))
-        coded = edges.select(F.col("blk").alias("owner"), "word", best_path().alias("code"))
+    edges = spans(words, pieces.table(spark), ["blk"], longest).groupBy("blk", "word").agg(F.collect_list(F.struct("e", "s", "score", "id")).alias("edges"))
+    coded = edges.select(F.col("blk").alias("owner"), "word", best_path().alias("code"))
     cut = re.compile(_WORDS)
 
     def assemble(texts: pa.Table, coded: pa.Table) -> pa.Table:
         p: Pieces = shared.value
-        words, column = coded.column("word").combine_chunks(), coded.column("code").combine_chunks()
-        if p.merges:
-            off = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            folded = merge_borders(pc.utf8_length(words).to_numpy(), column.flatten().to_numpy(), off).tolist()
-        else:
-            folded = column.to_pylist()
-        code = dict(zip(words.to_pylist(), folded, strict=True))
-        names = {t.replace(_MARK, " "): i for t, i in zip(p.text, p.ids, strict=True)}
-        ranks = {t.replace(_MARK, " "): -x for t, x in zip(p.text, p.scores, strict=True)} if p.merges else {}
-        number: dict[str, int] = {}
-        flat: list[int] = []
-        sizes = [0]
-
-        def place(word: str) -> int:
-            """Number of a word, whose ids are put down when it is first met."""
-            own = code.get(word)
-            if p.merges:
-                if own is None:
-                    own = merge_in_python(word, ranks) if len(word) > MASK_CHARS else (2 << len(word)) - 1
-                cuts = [k for k in range(len(word) + 1) if own >> k & 1]
-                parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                for x in parts:
-                    flat.extend([names[x]] if x in names else p.bytes[list(x.encode())].tolist())
-            else:
-                for k in own if own is not None else range(-1, -len(word) - 1, -1):
-                    flat.extend([k] if k >= 0 else p.bytes[list(word[-k - 1].encode())].tolist())
-            sizes.append(len(flat))
-            number[word] = len(sizes) - 2
-            return number[word]
-
-        data, at = text_bytes(texts.column("line"))
-        raw = data.tobytes()
-        ids, bodies, which, count = [], [], [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            head, _, body = raw[a:b].partition(b"\t")
+        code = dict(zip(coded.column("word").to_pylist(), coded.column("code").to_pylist(), strict=True))
+        ids, bodies, got, ends = [], [], [], [0]
+        for row in texts.column("line").to_pylist():
+            head, _, body = row.partition("\t")
             ids.append(int(head) if head else None)
-            bodies.append(body.replace(_MARK.encode(), b" "))
-            own = [number[w] if w in number else place(w) for w in cut.findall(" " + bodies[-1].decode())] if body else []
-            which += own
-            count.append(len(own))
-        got, size = concat_ranges(np.array(flat, np.int32), np.array(sizes), np.array(which, np.int64))
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
-        back = decode_ids(p, got, np.diff(ends))
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64()),
-                "n_pieces": pa.array(np.diff(ends)),
-                "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32))),
-                "round_trip": pa.array([a == b for a, b in zip(back, bodies, strict=True)]),
-            }
-        )
-
-    return dealt.groupBy("blk").cogroup(coded.groupBy("owner")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+            body = body.replace(_MARK, " ")
+            bodies.append(body.encode())
+            for word in cut.findall(" " + body) if body else []:
+                for k in code.get(word) or range(-1, -len(word) - 1, -1):  # no edges: nothing but bare characters
+                    got += [k] if k >= 0 else p.bytes[list(word[-k - 1].encode())].tolist()
+            ends.append(len(got))
+        return pa.Table.from_batches([_result(ids, bodies, np.array(got, np.int64), np.array(ends), p)])
+
+    return dealt.groupBy("blk").cogroup(coded.groupBy("owner")).applyInArrow(assemble, _RESULT)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
