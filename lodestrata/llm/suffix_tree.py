@@ -178,9 +178,9 @@ def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
     pairs = counts.select("w", "n", level.alias("d"))
     pairs = pairs.withColumn("w", F.expr("w & (shiftleft(1L, 8 * (d + 1)) - 1)")).groupBy("d", "w").agg(F.sum("n").alias("n"))
     sums = pairs.groupBy("d", F.shiftright("w", 8).alias("c")).agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    kept = pairs.withColumn("c", F.shiftright("w", 8)).join(sums, ["d", "c"]).select("d", "w", "n", "total")
+    kept = pairs.withColumn("c", F.shiftright("w", 8)).join(sums.select("d", "c"), ["d", "c"], "left_semi").select(F.col("d").cast("byte"), "w", "n")
     got = kept.toArrow()  # at most 256 x (depth + 1) / min_share rows
-    d, w, n, t = (got.column(k).to_numpy() for k in ("d", "w", "n", "total"))
+    d, w, n = (got.column(k).to_numpy() for k in ("d", "w", "n"))
     w = w.view(np.uint64) if len(w) else np.zeros(0, np.uint64)
     root = np.full(256, 0.5)
     root[(w[d == 0] & np.uint64(255)).astype(np.int64)] += n[d == 0]
@@ -192,15 +192,16 @@ def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
     for k in range(1, depth + 1):
         own = d == k
         order = np.argsort(w[own])
-        key, count, sum_ = w[own][order], n[own][order], t[own][order]
+        key, count = w[own][order], n[own][order]
         if not len(key):
             table.append(none), gains.append(none), totals.append(np.zeros(0))
             continue
         upper_keys, upper = table[k - 1]
         parent = upper[np.searchsorted(upper_keys, key & np.uint64((1 << 8 * k) - 1))]
-        p = (count + weight * parent) / (sum_ + weight)
         context = key >> np.uint64(8)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        sum_ = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(key))))
+        p = (count + weight * parent) / (sum_ + weight)
         gain = np.add.reduceat(p * np.log(p / parent), first) * sum_[first]
         table.append((key, p)), gains.append((context[first], gain)), totals.append(sum_[first])
     keep: list = [np.zeros(0, bool)] * (depth + 1)
