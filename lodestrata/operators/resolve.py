@@ -82,7 +82,7 @@ def merge_clusters(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     out = df.groupBy("fp", "cluster").agg(
         n.alias("merged_rows"),
-        F.min("_ord").alias("_ord"),
+        F.min("_ord").alias("_first"),
         F.when(n > 1, canonical_id(F.first("fp"))).otherwise(F.min_by("id", "_ord")).alias("id"),
         *(F.min_by(c, "_ord").alias(c) for c in keep_first),
         *(first_filled(c).alias(c) for c in FILL),
@@ -97,7 +97,7 @@ def merge_clusters(df: DataFrame) -> DataFrame:
         maps("source_urls").alias("source_urls"),
         maps("source_ids").alias("source_ids"),
     )
-    return renew_flags(out)
+    return renew_flags(out.withColumnRenamed("_first", "_ord"))
 
 
 def resolve(df: DataFrame, unicode: bool = True) -> DataFrame:
