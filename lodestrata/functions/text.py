@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings that must be the same for equal results.
 COMPANY_FORMS = r"株式会社|合同会社|有限会社|incorporated|corporation|\binc\.?\b|\bltd\.?\b|\bco\.?\s*,?\s*ltd\.?\b"
@@ -31,17 +32,17 @@ EMPLOYMENT = {
 _I = "(?iuU)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _bare(s: pd.Series) -> pd.Series:
     """Case-folded without accents."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x).casefold() if not unicodedata.combining(c)), na_action="ignore")

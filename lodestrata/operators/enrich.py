@@ -8,9 +8,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.schema import WAGE
 from .normalize import blank, normalize_listings
 from .quality import has_wage
 
@@ -21,7 +21,13 @@ EMPLOYMENT = {
 }
 UNITS = {"HOUR": "hourly", "HOURLY": "hourly", "MONTH": "monthly", "MONTHLY": "monthly", "YEAR": "annual", "YEARLY": "annual", "ANNUAL": "annual"}
 
-POSTING = f"title string, company string, description string, workplace string, telecommute boolean, date_posted string, employment_type string, wage {WAGE}"
+_STRING = T.StringType()
+_WAGE = T.StructType([T.StructField("min", T.LongType()), T.StructField("max", T.LongType()), T.StructField("unit", _STRING), T.StructField("raw", _STRING)])
+#: What is read from a posting; in type objects, for their text form would need a session.
+POSTING = T.StructType(
+    [T.StructField(n, _STRING) for n in ("title", "company", "description", "workplace")]
+    + [T.StructField("telecommute", T.BooleanType()), T.StructField("date_posted", _STRING), T.StructField("employment_type", _STRING), T.StructField("wage", _WAGE)]
+)
 
 _SCRIPT = re.compile(r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script", re.I | re.S)
 
@@ -117,7 +123,7 @@ def _salary(x) -> dict | None:
 
 @F.pandas_udf(POSTING)
 def _posting(pages: pd.Series) -> pd.DataFrame:
-    names = [x.split()[0] for x in POSTING.split(", ")[:7]] + ["wage"]
+    names = POSTING.names
     rows = []
     for html in pages:
         p = find_posting(html)
