@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpointed
+
 LISTINGS = (
     "id string, title string, company string, prefecture string, date_posted string, first_seen_at string, last_seen_at string, status string, "
     "missing_count int, last_checked_at string, withdrawn_at string, expired_at string, removal_reason string, payload string"
@@ -186,6 +188,8 @@ def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFra
     listings = listings.join(written, "id", "left_anti").unionByName(written)
     fresh = seen.select("job_id", "source", "source_id", "url", F.coalesce("p_first", at).alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"), at.alias("last_checked_at"), none.alias("withdrawn_at"))
     sightings = sightings.join(keys, ["source", "source_id"], "left_anti").select(fresh.columns).unionByName(fresh)
+    # All steps behind this one read both; written once, their plans stay short.
+    listings, sightings, keys, classes = checkpointed(listings), checkpointed(sightings), checkpointed(keys), checkpointed(classes)
 
     none_yet = listings.sparkSession.createDataFrame([], "id string")
     marked, expired, purged = sightings.limit(0), none_yet, none_yet
@@ -197,20 +201,22 @@ def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFra
         guard = per_source.join(baselines(state["source_runs"]), "source", "left").join(counted, "source", "left").join(current, "source", "left")
         guard = guard.withColumns({"current": F.coalesce("current", F.lit(0)), "baseline": F.coalesce("baseline", F.coalesce("live", F.lit(0)).cast("double"))})
         guard = guard.withColumn("reconciliation_reason", skip_reason(o.sudden_drop_ratio)).withColumn("reconciliation_applied", F.col("reconciliation_reason").isNull())
-        outcome = guard.select(outcome.columns)
+        outcome = checkpointed(guard.select(outcome.columns))
         missing = live.join(outcome.where("reconciliation_applied").select("source"), "source", "left_semi").join(keys, ["source", "source_id"], "left_anti")
         n = F.col("missing_count") + 1
         gone = n >= o.missing_threshold
         marked = missing.withColumns({"status": F.when(gone, "withdrawn").otherwise("missing"), "withdrawn_at": F.when(gone, at), "last_checked_at": at, "missing_count": n}).select(fresh.columns)
+        marked = checkpointed(marked)
         sightings = sightings.join(marked, ["job_id", "source", "source_id"], "left_anti").select(fresh.columns).unionByName(marked)
-        listings = refresh(listings, sightings, o.scanned_at)
-        expired = expiring(listings, o)
+        listings = checkpointed(refresh(listings, sightings, o.scanned_at))
+        expired = checkpointed(expiring(listings, o))
         ids = expired.withColumn("_expired", F.lit(True))
         hit = F.col("_expired").isNotNull()
         columns = listings.columns
         listings = listings.join(ids, "id", "left").withColumns({"status": F.when(hit, "expired").otherwise(F.col("status")), "expired_at": F.when(hit, F.coalesce("expired_at", at)).otherwise(F.col("expired_at")), "removal_reason": F.when(hit, "retention_window").otherwise(F.col("removal_reason"))}).select(columns)
         sightings = sightings.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left").withColumns({"status": F.when(hit, "expired").otherwise(F.col("status")), "last_checked_at": F.when(hit, at).otherwise(F.col("last_checked_at"))}).select(fresh.columns)
-        purged = purging(listings, o)
+        listings = checkpointed(listings)
+        purged = checkpointed(purging(listings, o))
         listings = listings.join(purged, "id", "left_anti")
         sightings = sightings.join(purged.withColumnRenamed("id", "job_id"), "job_id", "left_anti")
         listings = listings.join(sightings.select(F.col("job_id").alias("id")), "id", "left_semi")
