@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_blocks, text_bytes
+from .common import sub_blocks, text_bytes, trim
 
 #: Bytes of text of a block, about.
 PACK_BYTES = 6 << 20
@@ -106,6 +106,8 @@ def totals_by_key(blocks: DataFrame, columns: list[str], keys_of: Callable[[dict
                 some = np.flatnonzero(np.diff(cut)).tolist()
                 keys = pa.array([pack_sorted(distinct[cut[k] : cut[k + 1]]) for k in some], pa.binary())
                 counts = pa.array([pack_ints(count[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                del distinct, count
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blk.as_py()] * len(some), pa.int64()), keys, counts], ["part", "blk", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -115,14 +117,16 @@ def totals_by_key(blocks: DataFrame, columns: list[str], keys_of: Callable[[dict
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
         at = np.cumsum([0, *map(len, keys)])
         packed = [pack_ints(total[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
-        n = len(packed)
+        n, sums = len(packed), (int(total.sum()), int((total > 0).sum()))
+        del keys, counts, distinct, inverse, total
+        trim()
         return pa.table(
             {
                 "blk": pa.array([*table.column("blk").to_pylist(), None], pa.int64()),
                 "part": pa.array([table.column("part")[0].as_py()] * (n + 1), pa.int64()),
                 "totals": pa.array([*packed, None], pa.binary()),
-                "n": pa.array([0] * n + [int(total.sum())], pa.int64()),
-                "v": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
+                "n": pa.array([0] * n + [sums[0]], pa.int64()),
+                "v": pa.array([0] * n + [sums[1]], pa.int64()),
             }
         )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +65,14 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the machine: arrays of some MB else stay in its heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod; null gives -1."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(mod), F.lit(-1))

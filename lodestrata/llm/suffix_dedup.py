@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
-from .common import materialise, prefix_hash, span_hash, sub_blocks
+from .common import materialise, prefix_hash, span_hash, sub_blocks, trim
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 100
@@ -49,19 +49,21 @@ ANCHOR, STEP = 32, 4
 #: Occurrences from which an anchor is split by its windows.
 HOT = 50_000
 #: Bytes of text whose anchors, and whose stretches, one task owns, about; bytes of a chunk.
-RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20, 1 << 20
+RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 1 << 20
+#: Bytes of text whose anchors are looked for at once.
+SUB_BYTES = 1 << 20
 
 _POS = np.uint64((1 << 28) - 1)
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """key, place of the anchor, first window, number of windows; and the prefix hashes."""
+    """key, place of the anchor, first window, number of windows."""
     none = np.zeros(0, np.int64)
     size = np.diff(off)
     prefix = prefix_hash(data)
     has = np.flatnonzero(size >= length)
     if not len(has):
-        return none.astype(np.uint64), none, none, none, prefix
+        return none.astype(np.uint64), none, none, none
     at = np.arange(len(data) - ANCHOR + 1)
     h = span_hash(prefix, at, at + ANCHOR)
     m = (h & ~_POS) | at.astype(np.uint64)
@@ -78,13 +80,17 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     place = (m[window] & _POS).astype(np.int64)
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)))
     place, n = place[first], np.diff(np.append(first, len(window)))
-    return h[place], place, window[first], n, prefix
+    return h[place], place, window[first], n
 
 
-def block_keys(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def block_anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> list[tuple]:
+    """(i, j, key, place, first window, number of windows) of each sub-block i..j of a block."""
+    return [(i, j, *anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length)) for i, j in sub_blocks(off, SUB_BYTES)]
+
+
+def distinct_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct anchor keys of a block and how often each occurs."""
-    keys = [anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length)[0] for i, j in sub_blocks(off)]
-    return np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+    return np.unique(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64), return_counts=True)
 
 
 def ordinal(ids: np.ndarray) -> np.ndarray:
@@ -124,14 +130,14 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at_once: int
     return out
 
 
-def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
+def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: list[tuple], keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
     """Stretches of anchors that occur again, and (idx, start, n) of those that repeat one of this block."""
     parts, texts = [], []
-    for i, j in sub_blocks(off):
-        part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        key, place, start, n, prefix = anchors(part, at, length)
+    for i, j, key, place, start, n in found:
         if not len(key):
             continue
+        at = off[i : j + 1] - off[i]
+        prefix = prefix_hash(data[off[i] : off[j]])
         total = totals[np.searchsorted(keys, key)]
         use = np.flatnonzero(total > 1)
         split = use[total[use] > hot]
@@ -261,7 +267,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
     plain = plain_bytes(blocks)
 
     def keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return block_keys(*unpack(row["sizes"], row["body"]), length)
+        return distinct_keys(block_anchors(*unpack(row["sizes"], row["body"]), length))
 
     totals = materialise(totals_by_key(blocks, ["sizes", "body"], keys, max(1, -(-plain // RANGE_BYTES))), "suffix-anchors")
     parts = max(1, -(-plain // PART_BYTES))
@@ -271,10 +277,11 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
         for batch in batches:
             for blk, ids, sizes, body, own in zip(*(batch.column(c) for c in ("blk", "doc_ids", "sizes", "body", "answers")), strict=True):
                 data, off = unpack(sizes, body)
-                asked = block_keys(data, off, length)[0]
+                found = block_anchors(data, off, length)
+                asked = distinct_keys(found)[0]
                 total = np.concatenate([unpack_ints(x["totals"]) for x in own.as_py()]).astype(np.int64)
                 number = ids.values.fill_null((1 << 63) - 1).to_numpy()
-                s, marks = block_stretches(data, off, number, asked, total, length, hot)
+                s, marks = block_stretches(data, off, number, found, asked, total, length, hot)
                 at = np.append(np.searchsorted(s.c["key"], edges), len(s.c["key"]))
                 size = s.length(length).astype(np.int64)
                 begin = np.concatenate([[0], np.cumsum(size)])
@@ -284,6 +291,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
                     rows.append({"part": k, "blk": blk.as_py()} | Stretches({x: v[i:j] for x, v in s.c.items()}, s.text[begin[i] : begin[j]]).pack())
                 if len(marks):  # through the same exchange, as they are
                     rows.append({"part": -1 - blk.as_py(), "blk": blk.as_py(), "body": _pack_marks(marks)})
+                del found, asked, total, s
+                trim()
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("blk", pa.int64()), *((x, pa.binary()) for x in ("key", "doc", "idx", "start", "n", "rel", "body"))]))
 
@@ -301,6 +310,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
             columns["blk"].append(np.full(len(columns["key"][-1]), row["blk"], np.uint64))
             texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8))
         marks = owner_marks(Stretches({k: np.concatenate(v) for k, v in columns.items()}, np.concatenate(texts)), length)
+        del columns, texts
+        trim()
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
         blk, first = np.unique(marks[:, 0], return_index=True)
         bounds = np.append(first, len(marks))
