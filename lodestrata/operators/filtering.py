@@ -15,6 +15,10 @@ from .normalize import blank
 SKIP_DETAIL_SOURCES = ("hellowork", "linkedin")
 
 
+# Words that show a row of the public board is open to speakers of English (case as written).
+ENGLISH_SIGNAL = "英語|外資|ﾊﾞｲﾘﾝｶﾞﾙ|バイリンガル|グローバル|英文|英会話|English|english|Bilingual|bilingual|global|海外|外国"
+
+
 @dataclass
 class FilterOptions:
     as_of: date
@@ -74,6 +78,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.where("filter_reason IS NULL").drop("filter_reason")
 
 
+def board_filter(df: DataFrame, prefecture: str | None = None, english: bool = False) -> DataFrame:
+    """Rows of the public board for a region (or with 東京 in the workplace) and with an English signal."""
+    if prefecture:
+        df = df.where(F.col("prefecture").eqNullSafe(prefecture) | F.contains(F.coalesce("workplace", F.lit("")), F.lit("東京")))
+    if english:
+        df = df.where(F.concat(F.coalesce("title", F.lit("")), F.coalesce("description_snippet", F.lit(""))).rlike(ENGLISH_SIGNAL))
+    return df
+
+
+def plain_keyword(df: DataFrame, keyword: str | None, column: str = "title") -> DataFrame:
+    """Rows whose text holds the keyword in any case; an empty one keeps all."""
+    return df.where(F.contains(F.lower(column), F.lit(keyword.lower()))) if keyword else df
+
+
 def reason_histogram(df: DataFrame) -> DataFrame:
     return df.where("filter_reason IS NOT NULL").groupBy("filter_reason").agg(F.count(F.lit(1)).alias("n"))
 

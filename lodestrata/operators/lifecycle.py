@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.schema import LISTING
 from ..plans.session import checkpointed
 
 LISTINGS = (
@@ -102,6 +103,40 @@ def skip_reason(ratio: float = DROP_RATIO) -> Column:
     )
 
 
+#: Fields of a payload that an older one fills in, that the longer text wins, and that are joined.
+FILL = ("company", "workplace", "prefecture", "prefecture_name", "city", "employment_type", "matched_keyword", "detail_status")
+LONGEST, JOINED, MAPS = ("description", "description_snippet"), ("language", "quality_flags", "found_on"), ("source_ids", "source_urls")
+
+
+def merge_payload(old: Column, new: Column) -> Column:
+    """JSON of a listing with what an older payload has more; the new one as it is where there is no older."""
+    schema = LISTING.rpartition(", _ord")[0]
+    a, b = F.from_json(old, schema), F.from_json(new, schema)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    wage = lambda x: (text(x["wage"]["raw"]) != "") | (text(x["wage"]["unit"]) != "") | (F.coalesce(x["wage"]["min"], F.lit(0)) != 0) | (F.coalesce(x["wage"]["max"], F.lit(0)) != 0)
+    none = F.array().cast("array<string>")
+    empty = F.create_map().cast("map<string,string>")
+
+    def field(name: str) -> Column:
+        x, y = a[name], b[name]
+        if name in FILL:
+            return F.when(text(y) != "", y).when(text(x) != "", x).otherwise(y)
+        if name in LONGEST:
+            return F.when(F.char_length(text(x)) > F.char_length(text(y)), x).otherwise(y)
+        if name == "wage":
+            return F.when(wage(b), y).otherwise(F.coalesce(x, y))
+        if name in JOINED:
+            return F.array_distinct(F.concat(F.coalesce(x, none), F.coalesce(y, none)))
+        if name in MAPS:
+            entries = F.filter(F.map_entries(F.coalesce(x, empty)), lambda e: ~F.map_contains_key(F.coalesce(y, empty), e["key"]))
+            return F.map_from_entries(F.concat(entries, F.map_entries(F.coalesce(y, empty))))
+        return y
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    merged = F.to_json(F.struct(*(field(n).alias(n) for n in names)), {"ignoreNullFields": "false"})
+    return F.when(old.isNull() | a["source"].isNull(), new).otherwise(merged)
+
+
 def classify(existing_status: Column, prior_status: Column) -> Column:
     """new, reactivated or known for a listing of the batch."""
     back = F.coalesce(existing_status != "active", F.lit(False)) | F.coalesce(~prior_status.isin(*LIVE), F.lit(False))
@@ -176,14 +211,14 @@ def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFra
     seen = keys.join(prior, ["source", "source_id"], "left")
     # A prior sighting counts as live only if all of them are.
     known = seen.groupBy("job_id").agg(F.min("p_first").alias("p_first"), F.max_by("p_status", F.when(F.col("p_status").isin(*LIVE), 0).otherwise(1)).alias("p_status"))
-    old = listings.select(F.col("id").alias("job_id"), F.col("first_seen_at").alias("e_first"), F.col("status").alias("e_status"))
+    old = listings.select(F.col("id").alias("job_id"), F.col("first_seen_at").alias("e_first"), F.col("status").alias("e_status"), F.col("payload").alias("e_payload"))
     joined = rows.join(known, rows["id"] == known["job_id"], "left").drop("job_id").join(old, F.col("id") == F.col("job_id"), "left").drop("job_id")
     classes = joined.select("id", classify(F.col("e_status"), F.col("p_status")).alias("class"))
     first = F.coalesce("e_first", F.least("p_first", "e_first"), at)
     none = F.lit(None).cast("string")
     written = joined.select(
         "id", "title", "company", "prefecture", "date_posted", first.alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"),
-        at.alias("last_checked_at"), none.alias("withdrawn_at"), none.alias("expired_at"), none.alias("removal_reason"), "payload",
+        at.alias("last_checked_at"), none.alias("withdrawn_at"), none.alias("expired_at"), none.alias("removal_reason"), merge_payload(F.col("e_payload"), F.col("payload")).alias("payload"),
     )
     listings = listings.join(written, "id", "left_anti").unionByName(written)
     fresh = seen.select("job_id", "source", "source_id", "url", F.coalesce("p_first", at).alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"), at.alias("last_checked_at"), none.alias("withdrawn_at"))

@@ -81,3 +81,17 @@ def test_detail_retry(spark):
     attempts = spark.createDataFrame([("green", "tried", "2026-07-25T00:00:00Z")], "source string, source_id string, attempted_at string")
     keys = lambda day: {r["source_id"] for r in lifecycle.detail_skip_keys(sightings, attempts, day).collect()}
     assert keys("2026-07-25") == {"known", "tried"} and keys("2026-08-01") == {"known", "tried"} and keys("2026-08-02") == {"known"}
+
+
+def test_payload_merge(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    old = json.dumps({"source": "a", "company": "Old", "description": "longer text", "wage": {"min": 1, "max": None, "unit": None, "raw": ""}, "language": ["x"], "source_ids": {"a": "1", "b": "2"}, "detail_status": "enriched"})
+    new = json.dumps({"source": "a", "company": "", "description": "short", "language": ["y", "x"], "source_ids": {"a": "9"}})
+    df = spark.createDataFrame([(old, new), (None, new), ("broken", new)], "o string, n string")
+    got = [json.loads(r[0]) for r in df.coalesce(1).select(lifecycle.merge_payload(F.col("o"), F.col("n"))).collect()]
+    m = got[0]
+    assert (m["company"], m["description"], m["wage"]["min"], m["language"], m["source_ids"], m["detail_status"]) == ("Old", "longer text", 1, ["x", "y"], {"b": "2", "a": "9"}, "enriched")
+    assert got[1] == got[2] == json.loads(new)

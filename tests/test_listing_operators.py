@@ -188,3 +188,9 @@ def test_quality(spark):
     assert tuple(quality.date_metrics(df, date(2026, 6, 1), date(2026, 7, 30)).first()) == (1, 1, 1, 1, 0, 0)
     assert quality.cross_source_groups(df).count() == 1
     assert quality.report(df, date(2026, 6, 1), date(2026, 7, 30)).count() == 3
+
+
+def test_source_local_filters(spark):
+    df = listings(spark, {"title": "英語", "prefecture": "osaka"}, {"title": "x", "workplace": "東京都", "prefecture": "osaka"}, {"title": "English teacher", "prefecture": "tokyo"})
+    assert filtering.board_filter(df, "tokyo").count() == 2 and filtering.board_filter(df, None, True).count() == 2
+    assert filtering.plain_keyword(df, "ENGLISH").count() == 1 and filtering.plain_keyword(df, "").count() == 3
