@@ -2,14 +2,18 @@
 
 Texts are token sequences (words with A-Z lower-cased, then one end) spelled out
 in bytes: words, a space between two, a line feed at the end.  Contexts are the
-last 0 to DEPTH bytes, from end marks before the text on.  A context is a candidate if it makes up a share of
-MIN_SHARE of all training symbols, which bounds the tree (at most 1/MIN_SHARE
-contexts of each length, 256 next symbols each) whatever the size of the corpus; the tree is
-broadcast.  It is retained if its next-symbol distribution diverges
+last 0 to DEPTH bytes, from end marks before the text on.  A context is a candidate from MIN_COUNT
+occurrences on, whatever the size of the corpus.  It is retained if its next-symbol distribution diverges
 from its parent's (count times divergence of MIN_GAIN nats or more), or one of its
-extensions is.  Distributions are smoothed by the parent's with weight WEIGHT.
+extensions is; candidates of up to TOP bytes, of which there are at most 65,792, always are.
+Distributions are smoothed by the parent's with weight WEIGHT.
 Scoring takes, at each symbol, the longest suffix that is a retained state.
 
+The tree grows with the corpus, so it is never in one place.  Windows are keyed by their contexts, the nearest
+byte first, so a range of keys holds whole subtrees below TOP bytes.  Blocks of documents send their distinct
+windows with training counts to the ranges; a range builds its part of the tree from all of them and answers
+each block with log10 probabilities (32-bit floats).  Counts up to TOP bytes are broadcast, at most 256**3 by the alphabet.
+
 Counts cover all training texts.  Word counts, for the base score, are never
 gathered in one place: blocks of documents ask for their distinct words by key range.
 
@@ -28,19 +32,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answers, pack, plain_bytes, totals_by_key, unpack, unpack_ints
-from .common import LOWER_AZ, materialise, prefix_hash, span_hash, sub_blocks, word_spans
+from .blocks import answers, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
+from .common import LOWER_AZ, materialise, prefix_hash, span_hash, sub_blocks, trim, word_spans
 
 #: Bytes of the longest context, with the next symbol less than 8.
 DEPTH = 6
-#: Least share of the training symbols that a context makes up, and least count.
-MIN_SHARE, MIN_COUNT = 1e-6, 4
+#: Least count of a context.
+MIN_COUNT = 4
+#: Bytes of the contexts whose counts every range of keys has; ranges hold whole contexts of one byte more.
+TOP = 2
 #: Least count times divergence (nats) from the parent.
 MIN_GAIN = 4.0
 #: Weight of the parent's distribution, in symbols.
 WEIGHT = 6.0
 #: Bytes of distinct words that one task sums up, about.
 RANGE_BYTES = 32 << 20
+#: Bytes of text whose distinct windows one task sums up, about; and windows of one numpy pass of it.
+WINDOW_BYTES, PASS_WINDOWS = 16 << 20, 1_000_000
 
 #: Distinct windows that a task adds up before it passes them on.
 MERGED_WINDOWS = 2_000_000
@@ -103,12 +111,12 @@ def spelled(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[np.n
     return out, np.column_stack([first, first + length]), (data, starts, ends, doc)
 
 
-def windows(text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """For every symbol of the bounds, it and the `depth` bytes before it."""
+def windows(text: np.ndarray, bounds: np.ndarray, depth: int, nearest: bool = False) -> np.ndarray:
+    """For every symbol of the bounds, it (in the last byte) and the `depth` bytes before it, in order or the nearest first."""
     if not len(text):
         return np.zeros(0, np.uint64)
     w = np.zeros(len(text) - depth, np.uint64)
-    for k in range(depth + 1):
+    for k in [*(reversed(range(depth)) if nearest else range(depth)), depth]:
         w = w << np.uint64(8) | text[k : len(text) - depth + k]
     use = np.zeros(len(text) + 1, np.int8)
     np.add.at(use, bounds[:, 0], 1)
@@ -170,8 +178,8 @@ def count_windows(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     return materialise(blocks.select("flags", "sizes", "body").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "windows")
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, weight: float = WEIGHT) -> Tree:
-    """The tree of windows counts(w, n)."""
+def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = 0.0, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, weight: float = WEIGHT, always: int = 0) -> Tree:
+    """The tree of windows counts(w, n) in one place, for corpora whose contexts fit there; candidates of up to `always` bytes are retained."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(min_count, min_share * total)
     level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
@@ -179,7 +187,7 @@ def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
     pairs = pairs.withColumn("w", F.expr("w & (shiftleft(1L, 8 * (d + 1)) - 1)")).groupBy("d", "w").agg(F.sum("n").alias("n"))
     sums = pairs.groupBy("d", F.shiftright("w", 8).alias("c")).agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     kept = pairs.withColumn("c", F.shiftright("w", 8)).join(sums.select("d", "c"), ["d", "c"], "left_semi").select(F.col("d").cast("byte"), "w", "n")
-    got = kept.toArrow()  # at most 256 x (depth + 1) / min_share rows
+    got = kept.toArrow()
     d, w, n = (got.column(k).to_numpy() for k in ("d", "w", "n"))
     w = w.view(np.uint64) if len(w) else np.zeros(0, np.uint64)
     root = np.full(256, 0.5)
@@ -207,7 +215,7 @@ def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
     keep: list = [np.zeros(0, bool)] * (depth + 1)
     for k in range(depth, 0, -1):
         keys, gain = gains[k]
-        keep[k] = gain >= min_gain
+        keep[k] = (gain >= min_gain) | (k <= always)
         if k < depth and len(gains[k + 1][0]):
             longer = gains[k + 1][0][keep[k + 1]] & np.uint64((1 << 8 * k) - 1)
             keep[k] |= np.isin(keys, longer)
@@ -232,27 +240,193 @@ def score_texts(tree: Tree, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Top:
+    """Counts and probabilities of contexts of up to TOP bytes, nearest byte first."""
+
+    one: np.ndarray  # probability by context and symbol
+    two: np.ndarray  # count by context
+    pairs: np.ndarray  # context and symbol, sorted
+    counts: np.ndarray
+    least: int
+    weight: float
+
+    def probability(self, keys: np.ndarray, depth: int) -> np.ndarray:
+        """Probability of the last byte of each window after the TOP bytes nearest to it."""
+        symbol = keys & np.uint64(255)
+        context = keys >> np.uint64(8 * (depth - 1))
+        pair = context << np.uint64(8) | symbol
+        p = self.one[(context >> np.uint64(8)).astype(np.int64), symbol.astype(np.int64)]
+        if not len(self.pairs):
+            return p
+        i = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        n = self.two[context.astype(np.int64)]
+        return np.where(n >= self.least, (np.where(self.pairs[i] == pair, self.counts[i], 0) + self.weight * p) / (n + self.weight), p)
+
+
+def count_top(blocks: DataFrame) -> DataFrame:
+    """w, n, m: training count of each window of TOP+1 bytes, nearest byte first, and about how many longer windows hold it as context."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.uint64), np.zeros((0, 2))
+        for batch in batches:
+            for flags, sizes, body in zip(*(batch.column(c) for c in ("flags", "sizes", "body")), strict=True):
+                data, off = unpack(sizes, body)
+                train = ~np.array(flags.as_py(), bool)
+                for i, j in sub_blocks(off):
+                    text, bounds, _ = spelled(data[off[i] : off[j]], off[i : j + 1] - off[i], TOP)
+                    every, m = np.unique(windows(text, bounds, TOP, True), return_counts=True)
+                    own, c = np.unique(windows(text, bounds[train[i:j]], TOP, True), return_counts=True)
+                    add = np.zeros((len(every), 2))
+                    add[np.searchsorted(every, own), 0], add[:, 1] = c, np.ceil(m**0.75)
+                    both, inverse = np.unique(np.concatenate([key, every]), return_inverse=True)
+                    old = np.concatenate([n, add])
+                    key, n = both, np.column_stack([np.bincount(inverse, weights=old[:, k], minlength=len(both)) for k in (0, 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in (0, 1))], ["w", "n", "m"])
+
+    return blocks.select("flags", "sizes", "body").mapInArrow(count, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def top_and_edges(counts: DataFrame, parts: int, depth: int, min_count: int, weight: float) -> tuple[Top, np.ndarray]:
+    """The upper tree of counts(w, n, m), and the first keys of so many ranges at most."""
+    got = counts.orderBy("w").toArrow()
+    k, n, m = (got.column(c).to_numpy().astype(np.int64) for c in ("w", "n", "m"))
+    one = np.bincount(k >> 16 << 8 | k & 255, weights=n, minlength=1 << 16).reshape(256, 256)
+    root = one.sum(0) + 0.5
+    root = root / root.sum()
+    total = one.sum(1, keepdims=True)
+    one = np.where(total >= min_count, (one + weight * root) / (total + weight), root)
+    top = Top(one, np.bincount(k >> 8, weights=n, minlength=1 << 16), k.astype(np.uint64), n, min_count, weight)
+    cell = (k & 255) << 16 | k >> 16 << 8 | k >> 8 & 255  # the window as a context, nearest byte first
+    order = np.argsort(cell)
+    until = np.cumsum(m[order])
+    first = cell[order][np.searchsorted(until, until[-1] * np.arange(1, parts) // parts)] if len(k) else cell
+    return top, np.unique(np.append(0, first)).astype(np.uint64) << np.uint64(8 * (depth - TOP))
+
+
+def state_scores(keys: np.ndarray, n: np.ndarray, top: Top, depth: int, min_gain: float) -> np.ndarray:
+    """log10 probability of each of the sorted distinct windows, which have all extensions of their contexts of TOP+1 bytes among them."""
+    symbol = keys & np.uint64(255)
+    upper = out = top.probability(keys, depth)
+    levels = []
+    for d in range(TOP + 1, depth + 1):
+        context = keys >> np.uint64(8 * (depth - d + 1))
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        sizes = np.diff(np.append(first, len(keys)))
+        sums = np.add.reduceat(n, first)
+        total = np.repeat(sums, sizes)
+        once, count = np.ones(len(keys), bool), n
+        if d < depth:
+            _, index, inverse = np.unique(context << np.uint64(8) | symbol, return_index=True, return_inverse=True)
+            once[:] = False
+            once[index] = True
+            count = np.bincount(inverse, weights=n)[inverse]
+        p = np.where(total >= top.least, (count + top.weight * upper) / (total + top.weight), upper)
+        gain = np.add.reduceat(np.where(once & (count > 0), p * np.log(p / upper), 0.0), first) * sums
+        levels.append((p, first, sizes, (gain >= min_gain) & (sums >= top.least)))
+        upper = p
+    for (_, first, _, keep), (_, _, sizes, longer) in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        keep |= np.logical_or.reduceat(np.repeat(longer, sizes), first)
+    for p, _, sizes, keep in levels:
+        out = np.where(np.repeat(keep, sizes), p, out)
+    return np.log10(out)
+
+
+def block_windows(data: np.ndarray, off: np.ndarray, depth: int) -> Iterator[tuple]:
+    """Windows (nearest byte first) of each sub-block, where its texts' symbols begin and end among them, its first and last text."""
+    for i, j in sub_blocks(off):
+        text, bounds, _ = spelled(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
+        yield windows(text, bounds, depth, True), bounds, i, j, text
+
+
+def window_scores(blocks: DataFrame, parts: int, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, weight: float = WEIGHT) -> DataFrame:
+    """blk, part, totals: 32-bit log10 probabilities of each block's distinct windows, in order of their keys."""
+    top, edges = top_and_edges(count_top(blocks), parts, depth, min_count, weight)
+    shared = blocks.sparkSession.sparkContext.broadcast(top)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blk, flags, sizes, body in zip(*(batch.column(c) for c in ("blk", "flags", "sizes", "body")), strict=True):
+                data, off = unpack(sizes, body)
+                train = ~np.array(flags.as_py(), bool)
+                key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for every, bounds, i, j, text in block_windows(data, off, depth):
+                    own, c = np.unique(windows(text, bounds[train[i:j]], depth, True), return_counts=True)
+                    other = np.unique(windows(text, bounds[~train[i:j]], depth, True))
+                    both, inverse = np.unique(np.concatenate([key, own, other]), return_inverse=True)
+                    key, n = both, np.bincount(inverse, weights=np.concatenate([n, c, np.zeros(len(other))]), minlength=len(both)).astype(np.int64)
+                    del every, own, other, inverse
+                cut = np.append(np.searchsorted(key, edges), len(key))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                keys = pa.array([pack_sorted(key[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                counts = pa.array([pack_ints(n[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                del key, n
+                trim()
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blk.as_py()] * len(some), pa.int64()), keys, counts], ["part", "blk", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        key, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            both, inverse = np.unique(np.concatenate([key, *(k for k, _ in waiting)]), return_inverse=True)
+            return both, np.bincount(inverse, weights=np.concatenate([n, *(c for _, c in waiting)]), minlength=len(both)).astype(np.int64)
+
+        for keys, counts in zip(table.column("keys"), table.column("counts"), strict=True):
+            waiting.append((unpack_sorted(keys.as_py()), unpack_ints(counts.as_py()).astype(np.int64)))
+            if sum(len(k) for k, _ in waiting) > max(PASS_WINDOWS, len(key)):
+                key, n = merged()
+                waiting = []
+        key, n = merged()
+        waiting = []
+        cell = key >> np.uint64(8 * (depth - TOP))
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        starts = np.append(starts[np.append(True, np.diff(starts // PASS_WINDOWS) > 0)], len(key))
+        score = np.concatenate([state_scores(key[a:b], n[a:b], shared.value, depth, min_gain).astype(np.float32) for a, b in zip(starts, starts[1:], strict=False)])
+        del n, cell
+        packed = [pack_ints(score[np.searchsorted(key, unpack_sorted(x.as_py()))].view(np.uint32)) for x in table.column("keys")]
+        del key, score
+        trim()
+        return pa.table({"blk": table.column("blk"), "part": table.column("part"), "totals": pa.array(packed, pa.binary())})
+
+    asked = blocks.select("blk", "flags", "sizes", "body").mapInArrow(ask, "part long, blk long, keys binary, counts binary")
+    return asked.groupBy("part").applyInArrow(answer, "blk long, part long, totals binary")
+
+
+def block_scores(scores: np.ndarray, data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each text of a block, by those of its distinct windows."""
+    parts = []
+    for every, bounds, i, j, _ in block_windows(data, off, depth):
+        distinct, inverse = np.unique(every, return_inverse=True)
+        parts.append((distinct, inverse.astype(np.int32), np.concatenate([[0], np.cumsum(bounds[:, 1] - bounds[:, 0])[:-1]]), i, j))
+    keys = np.unique(np.concatenate([p[0] for p in parts]))
+    out = np.zeros(len(off) - 1)
+    for distinct, inverse, first, i, j in parts:
+        out[i:j] = np.add.reduceat(scores[np.searchsorted(keys, distinct)].astype(np.float64)[inverse], first)
+    return out
+
+
 def language_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     blocks = materialise(pack(docs, held_out), "lm-blocks")
-    totals = count_words(blocks, max(1, -(-plain_bytes(blocks) // RANGE_BYTES)))
+    size = plain_bytes(blocks)
+    totals = count_words(blocks, max(1, -(-size // RANGE_BYTES)))
     n, v = (x or 0 for x in totals.where("blk is null").agg(F.sum("n"), F.sum("v")).first())
-    tree = spark.sparkContext.broadcast(build_tree(count_windows(blocks)))
+    scores = window_scores(blocks, max(1, -(-size // WINDOW_BYTES)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, flags, sizes, body, own in zip(*(batch.column(c) for c in ("doc_ids", "flags", "sizes", "body", "answers")), strict=True):
+            for ids, flags, sizes, body, own, log in zip(*(batch.column(c) for c in ("doc_ids", "flags", "sizes", "body", "answers", "scores")), strict=True):
                 data, off = unpack(sizes, body)
                 key, doc = block_tokens(data, off)
                 _, inverse = np.unique(key, return_inverse=True)
                 c = np.concatenate([unpack_ints(x["totals"]) for x in own.as_py()]).astype(np.int64)[inverse]
                 m = len(off) - 1
                 base = np.bincount(doc, weights=np.log10((c + 0.5) / (n + 0.5 * (v + 1))), minlength=m)
+                each = np.concatenate([unpack_ints(x["totals"]) for x in log.as_py()]).astype(np.uint32).view(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, flags.values, pa.array(np.bincount(doc, minlength=m)), pa.array(np.bincount(doc, weights=c > 0, minlength=m).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(score_texts(tree.value, data, off))],
+                    [ids.values, flags.values, pa.array(np.bincount(doc, minlength=m)), pa.array(np.bincount(doc, weights=c > 0, minlength=m).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(block_scores(each, data, off))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = blocks.join(answers(totals), "blk").select("doc_ids", "flags", "sizes", "body", "answers")
+    joined = blocks.join(answers(totals), "blk").join(answers(scores).withColumnRenamed("answers", "scores"), "blk").select("doc_ids", "flags", "sizes", "body", "answers", "scores")
     return joined.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

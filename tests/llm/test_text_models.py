@@ -157,6 +157,37 @@ def test_tree_against_dictionaries(spark):
         assert g == pytest.approx(sum(log(b[:k], b[k]) for k in range(3, len(b))), abs=1e-9)
 
 
+@pytest.mark.parametrize("gain", [-1e9, 2.0])
+def test_tree_by_key_ranges_is_the_tree_in_one_place(spark, monkeypatch, gain):
+    from lodestrata.llm.blocks import answers, pack, unpack, unpack_ints
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_tree, "PASS_WINDOWS", 50)
+    docs = odd_docs(spark).where("doc_id < 300").repartition(3)
+    blocks = pack(docs, F.col("doc_id") % 4 == 1).cache()
+    tree = suffix_tree.build_tree(suffix_tree.count_windows(blocks, 4), 4, 0.0, 4, gain, 3.0, suffix_tree.TOP)
+    seen = 0
+    for r in blocks.join(answers(suffix_tree.window_scores(blocks, 5, 4, 4, gain, 3.0)), "blk").collect():
+        data, off = unpack(pa.array([r["sizes"]], pa.list_(pa.int32()))[0], pa.scalar(bytes(r["body"])))
+        scores = np.concatenate([unpack_ints(bytes(x["totals"])) for x in r["answers"]]).astype(np.uint32).view(np.float32)
+        assert suffix_tree.block_scores(scores, data, off, 4) == pytest.approx(suffix_tree.score_texts(tree, data, off), rel=1e-5)
+        seen += len(off) - 1
+    assert seen == docs.count()
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    """A passage seen 12 times is as well known among 16 MB of other text as a share of 1e-6 (16 times) would forget it."""
+    r = random.Random(3)
+    letters = "bcdfghjklmnpqrstvw"
+    noise = ["".join(r.choice(letters + " ") for _ in range(1 << 14)) for _ in range(64)]
+    rows = [(i, " ".join(noise[(i * k) % 64] for k in (1, 3, 5, 7))) for i in range(0, 1300, 5)]
+    rows += [(i, "zyxzyx aeiou uoiea") for i in range(2000, 2013)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.language_model_scores(docs, F.col("doc_id") == 2000).where("doc_id = 2000").collect()}
+    assert got[2000] > -11
+
+
 def corpus(spark, n=300):
     r = random.Random(7)
     words = {"en": ["the", "and", "thing", "ought"], "de": ["und", "über", "nicht", "schön"], "fr": ["le", "été", "où", "ça"]}
