@@ -2,18 +2,18 @@
 
 Texts are canonicalised word by word: numbers, names and units become typed
 placeholders that carry the value they stand for, everything else is
-lower-cased.  All windows of WINDOW template words of a document are
-hash-joined with the windows of the benchmark items.  Windows of one document and item at one distance
-form an alignment.  An alignment counts when it covers half of the item's
-windows, or ENOUGH of them, and its slots are consistent: each value of the
-item stands against one value of the document, throughout.  That catches items
-word for word as well as with other numbers and names, and leaves text alone
-that shares a template by chance.
+lower-cased.  Windows of WINDOW words have three forms: the template in which a capitalised word
+behind a lower-case one is a name; the one in which every capitalised word is a name, sentence starts included;
+and the plain words.  All windows of a document are hash-joined with those of the benchmark items by all forms.
+Windows of one document and item at one distance form an alignment, for each template.  It counts when it covers
+half of the item's windows, or ENOUGH of them, and its slots are consistent: each value of the item stands against one
+value of the document, throughout.  Plain windows count by themselves, whatever slots conflict elsewhere.  The same
+holds for the distinct windows of the item over all distances, for words may be inserted or left out.
 
 Items of MIN_WORDS to WINDOW-1 words are joined as one window of their own
 length; shorter ones can't be told from ordinary phrases and are left out.
-Windows need MIN_LITERALS words that aren't placeholders (all but two of the
-words of a shorter window).
+Windows of a template need MIN_LITERALS words that aren't placeholders (all but two of the
+words of a shorter window), plain ones none.
 
 Null texts are empty and match nothing; a null doc_id or item_id is reported
 as null.  Rows repeated under one doc_id count once.  Empty tables give an
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Words of a template window.
 WINDOW = 8
 #: Words of the shortest item that is looked for.
@@ -47,7 +49,8 @@ UNITS = (
 
 #: Private-use characters around the type and value of a placeholder.
 _OPEN, _CLOSE = "", ""
-_SLOT = f"{_OPEN}([nup]:[^{_CLOSE}]*){_CLOSE}"
+#: Types of slots in the two templates; q is a capitalised word at any other place.
+_TYPES = ("nup", "nupq")
 
 
 def canonical(text: Column) -> Column:
@@ -57,6 +60,7 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?<=\d )({units})(?=[\s.,;:!?)]|$)", f"{_OPEN}u:$1{_CLOSE}")
     t = F.regexp_replace(t, rf"(?<!\S)(?=\S*?\d)([^\s{_OPEN}]++)", f"{_OPEN}n:$1{_CLOSE}")
     t = F.regexp_replace(t, rf"(?<=[\p{{Ll}},;{_CLOSE}] )(\p{{Lu}}\p{{Ll}}++)", f"{_OPEN}p:$1{_CLOSE}")
+    t = F.regexp_replace(t, rf"(?<![^\s\"'(\[])(\p{{Lu}}\p{{Ll}}++)(?![^\s{_OPEN}]*+{_CLOSE})", f"{_OPEN}q:$1{_CLOSE}")
     return F.lower(t)
 
 
@@ -65,22 +69,31 @@ def windows(text: Column, words: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?<!\S)(?=(\S++(?:\s++\S++){{{words - 1}}}))"), F.lit(1))
 
 
-def template(window: Column) -> Column:
-    """The window without the values of its slots."""
-    return F.when(F.contains(window, F.lit(_OPEN)), F.regexp_replace(window, f"{_OPEN}([nup]):[^{_CLOSE}]*{_CLOSE}", "<$1>")).otherwise(window)
+def forms(window: Column) -> list[Column]:
+    """The window without the values of its slots, in both templates, and in plain words."""
+    some = F.contains(window, F.lit(_OPEN))
+    slot = lambda w, types, by: F.regexp_replace(w, f"{_OPEN}[{types}]:([^{_CLOSE}]*){_CLOSE}", by)
+    typed = F.regexp_replace(window, f"{_OPEN}([nup]):[^{_CLOSE}]*{_CLOSE}", "<$1>")
+    out = [slot(typed, "q", "$1"), slot(typed, "q", "<p>"), slot(window, "nupq", "$1")]
+    return [F.when(some, x).otherwise(window) for x in out]
 
 
-def _slots(window: Column) -> Column:
-    return F.regexp_extract_all(window, F.lit(_SLOT), F.lit(1))
+def _slots(window: Column, types: str) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(window, f"{_OPEN}q:", f"{_OPEN}p:") if "q" in types else window, F.lit(f"{_OPEN}([nup]:[^{_CLOSE}]*){_CLOSE}"), F.lit(1))
 
 
-def _template_windows(table: DataFrame, key: str, words: int) -> DataFrame:
+def _form_windows(table: DataFrame, key: str, words: int) -> DataFrame:
     each = table.select(F.col(key), F.posexplode(windows(canonical(F.col("text")), words)).alias("pos", "win"))
-    return each.withColumn("h", F.xxhash64(template(F.col("win"))))
+    return each.withColumn("forms", F.array(*forms(F.col("win"))))
+
+
+def _by_hash(table: DataFrame, wanted: Column) -> DataFrame:
+    """A row for each distinct form."""
+    return table.withColumn("h", F.explode(F.array_distinct(F.transform(wanted, lambda f: F.xxhash64(f)))))
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, shift, n_windows, item_windows, n_slots, conflicts of all that share a window."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, item_id, shift, ipos of all windows that meet; same1, same2, plain: by which forms; the item's windows of each form; slots."""
     bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     length = F.size(windows(F.col("text"), 1))
     sized = bench.select("item_id", "text", length.alias("words"))
@@ -88,20 +101,37 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     hits = None
     for words in [window, *sorted(short)]:
         items = sized.where(F.col("words") >= window) if words == window else sized.where(F.col("words") == words)
-        literals = F.size(F.filter(F.split(template(F.col("win")), " "), lambda w: ~w.startswith("<")))
-        own = _template_windows(items, "item_id", words).where(literals >= min(MIN_LITERALS, words - 2))
-        own = own.select("item_id", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), "h", F.count(F.lit(1)).over(_by("item_id")).alias("item_windows"))
+        own = _form_windows(items, "item_id", words)
+        for k in (0, 1):
+            literals = F.size(F.filter(F.split(F.col("forms")[k], " "), lambda w: ~w.startswith("<")))
+            own = own.withColumn(f"use{k + 1}", literals >= min(MIN_LITERALS, words - 2))
+        of = lambda c: F.sum(c.cast("long")).over(_by("item_id"))
+        own = own.select("item_id", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), F.col("forms").alias("iforms"), "use1", "use2", of(F.col("use1")).alias("windows1"), of(F.col("use2")).alias("windows2"), of(F.lit(1)).alias("item_windows"))
+        wanted = F.filter(F.array(F.when(F.col("use1"), F.col("iforms")[0]), F.when(F.col("use2"), F.col("iforms")[1]), F.col("iforms")[2]), lambda f: f.isNotNull())
+        own = _by_hash(own, wanted)
         if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             own = F.broadcast(own)
-        met = _template_windows(docs.select("doc_id", "text"), "doc_id", words).join(own, "h").where(~(template(F.col("win")) != template(F.col("iwin"))))
-        met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "item_windows", _slots(F.col("win")).alias("slots"), _slots(F.col("iwin")).alias("islots"))
+        met = _by_hash(_form_windows(docs.select("doc_id", "text"), "doc_id", words), F.col("forms")).join(own, "h")
+        same = [F.col("forms")[k] == F.col("iforms")[k] for k in range(3)]
+        met = met.select(
+            "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "windows1", "windows2", "item_windows",
+            (same[0] & F.col("use1")).alias("same1"), (same[1] & F.col("use2")).alias("same2"), same[2].alias("plain"),
+            *(F.arrays_zip(_slots(F.col("iwin"), t).alias("islots"), _slots(F.col("win"), t).alias("slots")).alias(f"pairs{k}") for k, t in enumerate(_TYPES, 1)),
+        ).where("same1 or same2 or plain")
         hits = met if hits is None else hits.unionAll(met)
-    by = ["doc_id", "item_id", "shift"]
+    return hits
+
+
+def _found(hits: DataFrame, by: list[str]) -> DataFrame:
+    """n1, n2, n3: distinct windows of the item by each form; slots and conflicts of the templates."""
     # Values of one alignment: a few words, for there are no more windows in it than in the item.
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots"))))
-    out = hits.groupBy(*by).agg(F.count_distinct("ipos").alias("n_windows"), F.max("item_windows").alias("item_windows"), pairs.alias("pairs"))
-    sources = F.size(F.array_distinct(F.transform("pairs", lambda p: p["islots"])))
-    return out.select(*by, "n_windows", "item_windows", sources.alias("n_slots"), (F.size("pairs") - sources).alias("conflicts"))
+    pairs = [F.array_distinct(F.flatten(F.collect_set(F.when(F.col(f"same{k}"), F.col(f"pairs{k}"))))).alias(f"pairs{k}") for k in (1, 2)]
+    n = [F.size(F.collect_set(F.when(F.col(c), F.col("ipos")))).alias(f"n{k}") for k, c in enumerate(("same1", "same2", "plain"), 1)]
+    out = hits.groupBy(*by).agg(*n, *(F.max(c).alias(c) for c in ("windows1", "windows2", "item_windows")), *pairs)
+    for k in (1, 2):
+        sources = F.size(F.array_distinct(F.transform(f"pairs{k}", lambda p: p["islots"])))
+        out = out.withColumn(f"slots{k}", sources).withColumn(f"conflicts{k}", F.size(f"pairs{k}") - F.col(f"slots{k}"))
+    return out.drop("pairs1", "pairs2")
 
 
 def _by(key: str):
@@ -112,9 +142,16 @@ def _by(key: str):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document and benchmark item it holds: doc_id, item_id, n_windows, item_windows, n_slots, coverage."""
-    found = alignments(docs, benchmark, window)
-    enough = (F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows"))
-    best = found.where(enough & (F.col("conflicts") == 0)).groupBy("doc_id", "item_id")
+    hits = materialise(_hits(docs, benchmark, window), "benchmark-hits")  # two groupings read them
+    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= ENOUGH) | (F.col(n) >= SHARE * F.col(of)))
+    ways = [enough("n1", "windows1") & (F.col("conflicts1") == 0), enough("n2", "windows2") & (F.col("conflicts2") == 0), enough("n3", "item_windows")]
+    columns = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots"]
+    parts = []
+    for by in (["doc_id", "item_id", "shift"], ["doc_id", "item_id"]):
+        found = _found(hits, by)
+        found = found.withColumn("n_windows", F.greatest(*(F.when(w, F.col(f"n{k}")) for k, w in enumerate(ways, 1))))
+        parts.append(found.withColumn("n_slots", F.coalesce(F.greatest(*(F.when(w, F.col(f"slots{k}")) for k, w in enumerate(ways[:2], 1))), F.lit(0))).where("n_windows is not null").select(columns))
+    best = parts[0].unionAll(parts[1]).groupBy("doc_id", "item_id")
     out = best.agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"))
     return out.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
 

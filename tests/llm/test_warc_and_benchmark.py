@@ -70,6 +70,17 @@ def test_templates_and_slots(spark):
     assert decontaminate.contaminated(odd_docs(spark), bench).count() == 0
 
 
+def found(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+
+
+def test_names_at_any_place_and_in_lower_case(spark):
+    items = ["Tom has 12 apples. Anna has 5 apples. Ben takes 3 of them. How many are left?", "On Monday morning Tom gave Anna twelve pens and then Anna met Ben near Paris"]
+    docs = ["Max has 90 apples. Lisa has 7 apples. Kim takes 4 of them. How many are left?", items[1].lower(), "Max has 90 apples. Lisa has 7 pears and nobody takes any of them but Kim."]
+    assert found(spark, items, docs) == {(0, 0), (1, 1)}
+
+
 def test_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + ITEM)], "doc_id long, text string")
