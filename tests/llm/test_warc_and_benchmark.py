@@ -81,6 +81,15 @@ def test_names_at_any_place_and_in_lower_case(spark):
     assert found(spark, items, docs) == {(0, 0), (1, 1)}
 
 
+def test_verbatim_windows_of_any_words(spark):
+    item = "when " + "Tom saw 5 birds, then a long walk through the green wood and over the old stone bridge led to 5 houses"
+    table = "Sort the list 3 9 1 4 7 2 8 6 5 0 11 13 12 19 20"
+    inserted = "a ship left port at dawn with cold wind from east and nobody knew where it might land before winter came over them"
+    docs = ["so " + table, item.replace("5 houses", "6 houses"), inserted.replace("nobody", "really nobody"), "1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    assert {(0, 0), (1, 1), (2, 2)} <= found(spark, [table, item, inserted], docs)
+    assert not {3} & {d for d, _ in found(spark, [table, item, inserted], docs)}
+
+
 def test_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + ITEM)], "doc_id long, text string")
