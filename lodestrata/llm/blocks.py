@@ -79,10 +79,14 @@ def unpack(sizes: pa.Scalar, body: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)])
 
 
-def key_ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of so many equal ranges of the key space begins in the sorted keys."""
-    edges = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def key_ranges(keys: np.ndarray, ranges: int) -> tuple[list[int], list[int]]:
+    """Which of so many equal ranges of the key space the sorted keys are in, and where each of these begins among them.
+
+    It takes no more than the keys do, whatever the number of ranges (2**32 at most).
+    """
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return part[first].tolist(), [*first.tolist(), len(keys)]
 
 
 def plain_bytes(blocks: DataFrame) -> int:
@@ -90,35 +94,45 @@ def plain_bytes(blocks: DataFrame) -> int:
     return blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
 
-def totals_by_key(blocks: DataFrame, columns: list[str], keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
-    """Sums over all blocks of what keys_of(row) gives: sorted distinct keys and counts.
+def distinct_keys(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of key and check in order, and which of them each is."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], c[new], inverse
+
+
+def totals_by_key(blocks: DataFrame, columns: list[str], keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
+    """Sums over all blocks of what keys_of(row) gives: sorted distinct keys with their checks, and counts.
 
     blk, part, totals: for each block and range of keys the sums, in the order of
     the block's keys; n (sum of all counts) and v (keys of a count above 0) of a
-    range stand in a row whose blk is null.
+    range stand in a row whose blk is null.  A block sends at most a row for each of its keys.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blk, *rest in zip(batch.column("blk"), *(batch.column(c) for c in columns), strict=True):
-                distinct, count = keys_of(dict(zip(columns, rest, strict=True)))
-                cut = key_ranges(distinct, ranges)
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                keys = pa.array([pack_sorted(distinct[cut[k] : cut[k + 1]]) for k in some], pa.binary())
-                counts = pa.array([pack_ints(count[cut[k] : cut[k + 1]]) for k in some], pa.binary())
-                del distinct, count
+                key, check, count = keys_of(dict(zip(columns, rest, strict=True)))
+                some, cut = key_ranges(key, ranges)
+                own = [pa.array([f(x[i:j]) for i, j in zip(cut, cut[1:], strict=False)], pa.binary()) for f, x in ((pack_sorted, key), (pack_ints, check), (pack_ints, count))]
+                del key, check, count
                 trim()
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blk.as_py()] * len(some), pa.int64()), keys, counts], ["part", "blk", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blk.as_py()] * len(some), pa.int64()), *own], ["part", "blk", "keys", "checks", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
+        at = np.cumsum([0, *map(len, keys)])
+        key = np.concatenate(keys)
+        del keys
+        distinct, _, inverse = distinct_keys(key, np.concatenate([unpack_ints(x.as_py()) for x in table.column("checks")]))
         counts = np.concatenate([unpack_ints(x.as_py()) for x in table.column("counts")])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-        at = np.cumsum([0, *map(len, keys)])
         packed = [pack_ints(total[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
         n, sums = len(packed), (int(total.sum()), int((total > 0).sum()))
-        del keys, counts, distinct, inverse, total
+        del key, counts, distinct, inverse, total
         trim()
         return pa.table(
             {
@@ -130,7 +144,7 @@ def totals_by_key(blocks: DataFrame, columns: list[str], keys_of: Callable[[dict
             }
         )
 
-    asked = blocks.select("blk", *columns).mapInArrow(ask, "part long, blk long, keys binary, counts binary")
+    asked = blocks.select("blk", *columns).mapInArrow(ask, "part long, blk long, keys binary, checks binary, counts binary")
     return asked.groupBy("part").applyInArrow(answer, "blk long, part long, totals binary, n long, v long")
 
 

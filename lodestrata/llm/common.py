@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import struct
 import sys
 import tempfile
 import uuid
@@ -31,11 +33,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such setting (local tests) a temporary
-    folder of this machine is set for it.
+    Only where a session of this machine alone has no such setting (local tests) a
+    temporary folder is set for it; on a cluster that is an error, for executors
+    wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodestrata-{tag}-{uuid.uuid4().hex[:12]}"
@@ -129,13 +134,85 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, the same wherever the bytes stand."""
+    """64-bit hashes of the byte spans, the same wherever the bytes stand; other bytes may have the same."""
     _, inv = _powers(len(prefix))
     h = (prefix[ends] - prefix[starts]) * inv[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(h)
 
 
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """Stretches of data, one behind the other; index arrays for a part of them at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    i = 0
+    while i < len(sizes):
+        low = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, low + at_once, side="right")))
+        at = ends[i:j] - sizes[i:j] - low
+        out[low : ends[j - 1]] = data[np.arange(int(ends[j - 1]) - low) + np.repeat(starts[i:j] - at, sizes[i:j])]
+        i = j
+    return out
+
+
+def head_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each span as a number, with zeros behind shorter spans."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))[starts].view(np.uint64).reshape(-1)
+    short = sizes < 8
+    out[short] &= (np.uint64(1) << (np.uint64(8) * sizes[short].astype(np.uint64))) - np.uint64(1)
+    return out
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a on equal those from b on, for spans of these sizes."""
+    out = head_bytes(data, a, sizes) == head_bytes(data, b, sizes)
+    long = np.flatnonzero(out & (sizes > 8))
+    if len(long):
+        n = sizes[long]
+        differ = gather(data, a[long], n) != gather(data, b[long], n)
+        out[long] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of one span of each different content, and for every span which of those it equals.
+
+    Hashes bring equal spans together, their bytes decide.
+    """
+    _, first, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+    sizes, rep = ends - starts, first[inverse]
+    wrong = np.flatnonzero(rep != np.arange(len(rep)))
+    wrong = wrong[(sizes[wrong] != sizes[rep[wrong]]) | ~same_spans(data, starts[wrong], starts[rep[wrong]], np.minimum(sizes[wrong], sizes[rep[wrong]]))]
+    if len(wrong):  # hashes that collide
+        numbers: dict[bytes, int] = {}
+        more = []
+        for k in wrong.tolist():
+            span = data[starts[k] : ends[k]].tobytes()
+            if span not in numbers:
+                numbers[span] = len(first) + len(more)
+                more.append(k)
+            inverse[k] = numbers[span]
+        first = np.append(first, more)
+    return first, inverse
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key (64 bits) and check (32 bits) of each span, which together stand for its bytes.
+
+    Spans of less than 8 bytes are their own key, longer ones take 96 bits of a cryptographic digest.
+    """
+    sizes = ends - starts
+    key = head_bytes(data, starts, sizes)
+    check = sizes.astype(np.uint64)
+    for k in np.flatnonzero(sizes >= 8).tolist():
+        key[k], check[k] = _DIGEST.unpack(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=12).digest())
+    check[sizes >= 8] |= np.uint64(1 << 31)
+    return mix64(key), check
+
+
+_DIGEST = struct.Struct("<QI")
+
 #: Lower-casing of A-Z only, as a table over bytes.
 LOWER_AZ = np.arange(256, dtype=np.uint8)
 LOWER_AZ[65:91] += 32

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
-from .common import materialise, prefix_hash, span_hash, sub_blocks, trim
+from .common import gather, materialise, prefix_hash, same_spans, span_hash, sub_blocks, trim
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 100
@@ -116,20 +116,6 @@ class Stretches:
         return out | {"key": pack_sorted(self.c["key"]), "body": zstandard.ZstdCompressor(level=3).compress(self.text.tobytes())}
 
 
-def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
-    """Stretches of data, one behind the other; index arrays for a part of them at a time."""
-    ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    i = 0
-    while i < len(sizes):
-        low = int(ends[i - 1]) if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, low + at_once, side="right")))
-        at = ends[i:j] - sizes[i:j] - low
-        out[low : ends[j - 1]] = data[np.arange(int(ends[j - 1]) - low) + np.repeat(starts[i:j] - at, sizes[i:j])]
-        i = j
-    return out
-
-
 def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: list[tuple], keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
     """Stretches of anchors that occur again, and (idx, start, n) of those that repeat one of this block."""
     parts, texts = [], []

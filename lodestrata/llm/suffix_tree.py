@@ -16,6 +16,7 @@ each block with log10 probabilities (32-bit floats).  Counts up to TOP bytes are
 
 Counts cover all training texts.  Word counts, for the base score, are never
 gathered in one place: blocks of documents ask for their distinct words by key range.
+A word of less than 8 bytes is its own key, a longer one takes 96 bits of a cryptographic digest.
 
 Null and empty texts are one end token.  Repeated rows are scored each.  Without
 training texts every next byte has the same probability.  A null doc_id is
@@ -32,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answers, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
-from .common import LOWER_AZ, materialise, prefix_hash, span_hash, sub_blocks, trim, word_spans
+from .blocks import answers, distinct_keys, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
+from .common import LOWER_AZ, distinct_spans, materialise, span_keys, sub_blocks, trim, word_spans
 
 #: Bytes of the longest context, with the next symbol less than 8.
 DEPTH = 6
@@ -53,7 +54,7 @@ WINDOW_BYTES, PASS_WINDOWS = 16 << 20, 1_000_000
 #: Distinct windows that a task adds up before it passes them on.
 MERGED_WINDOWS = 2_000_000
 
-#: Key of the end token.
+#: Key of the end token; no word has its check, 0.
 END = np.uint64(0x9C8B7A6958473625)
 _SPACE, _LF = 0x20, 0x0A
 
@@ -124,30 +125,29 @@ def windows(text: np.ndarray, bounds: np.ndarray, depth: int, nearest: bool = Fa
     return w[np.cumsum(use)[depth:-1] > 0]
 
 
-def _token_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), starts, ends)
-
-
-def block_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and document of every token of a block, ends included (in no order)."""
-    keys, docs = [np.full(len(off) - 1, END)], [np.arange(len(off) - 1)]
+def block_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, check and document of every token of a block, ends included (in no order)."""
+    n = len(off) - 1
+    parts = [(np.full(n, END), np.zeros(n, np.uint64), np.arange(n))]
     for i, j in sub_blocks(off):
         part = LOWER_AZ[data[off[i] : off[j]]]
         starts, ends, doc = word_spans(part, off[i : j + 1] - off[i])
-        keys.append(_token_keys(part, starts, ends))
-        docs.append(doc + i)
-    return np.concatenate(keys), np.concatenate(docs)
+        if len(starts):
+            first, which = distinct_spans(part, starts, ends)
+            key, check = span_keys(part, starts[first], ends[first])
+            parts.append((key[which], check[which], doc + i))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
     """blk, part, totals: training counts of each block's distinct words, in order of their keys; and n, v of each range in a row without blk."""
 
-    def words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    def words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, off = unpack(row["sizes"], row["body"])
-        key, doc = block_tokens(data, off)
-        distinct, inverse = np.unique(key, return_inverse=True)
+        key, check, doc = block_tokens(data, off)
+        key, check, inverse = distinct_keys(key, check)
         train = ~np.array(row["flags"].as_py(), bool)
-        return distinct, np.bincount(inverse, weights=train[doc], minlength=len(distinct)).astype(np.int64)
+        return key, check, np.bincount(inverse, weights=train[doc], minlength=len(key)).astype(np.int64)
 
     return materialise(totals_by_key(blocks, ["flags", "sizes", "body"], words, ranges), "word-totals")
 
@@ -417,8 +417,8 @@ def language_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for ids, flags, sizes, body, own, log in zip(*(batch.column(c) for c in ("doc_ids", "flags", "sizes", "body", "answers", "scores")), strict=True):
                 data, off = unpack(sizes, body)
-                key, doc = block_tokens(data, off)
-                _, inverse = np.unique(key, return_inverse=True)
+                key, check, doc = block_tokens(data, off)
+                inverse = distinct_keys(key, check)[2]
                 c = np.concatenate([unpack_ints(x["totals"]) for x in own.as_py()]).astype(np.int64)[inverse]
                 m = len(off) - 1
                 base = np.bincount(doc, weights=np.log10((c + 0.5) / (n + 0.5 * (v + 1))), minlength=m)
