@@ -1,19 +1,25 @@
 """Token counts by a compiled finite-state transducer.
 
-The tokenizer is a SentencePiece BPE model whose pieces never hold a space
-mark behind another character, so no merge crosses the border between a
-non-space and a space, nor one beside a line feed.  A text is thus a chain of
-segments, each counted by itself.  The transducer reads bytes: its transitions
-inside a segment emit nothing, the one that leaves a segment emits the number
-of tokens of the segment that its state stands for, and returns to the start
-state.  States are compiled from the segments that recur in the text, up to
-MAX_STATES of them; a segment that runs off the automaton is compiled for that
-once only, by the tokenizer itself, so counts are always exact.
-
-Long texts are cut into chunks of CHUNK_BYTES.  A chunk is a map between
-states: (bytes up to its first border, tokens of the segments inside, bytes
-behind its last border).  Such maps compose associatively, and a pairwise
-prefix scan joins them; memory is bounded by the chunk, not by the text.
+The tokenizer is a SentencePiece BPE model.  Its merge rules are compiled into a
+deterministic transducer over characters; the library itself isn't asked.  It rests on two
+facts about merging by rank: without its last token the encoding of a string is the
+encoding of a shorter one, and neighbours u, v stand in an encoding if and only if merging
+u + v gives u, v again.  So the last token of a prefix is the one piece at its end
+that may stand behind the last token of what precedes it.
+
+A state is what later tokens depend on: for each end of the text read so far that begins
+a piece, the last token before it and how many tokens have come since then.  A transition
+emits the change in the number of tokens, which a merge may lower; the sum along a path is the
+count.  Transitions are determinised when a text first takes them, and forgotten all at
+once when there are more than MAX_TRANSITIONS, which costs time but changes no count.
+
+Pieces never hold a space behind another character, nor a line feed, so the
+state behind such a border is the start state and equal segments of a batch are run once.
+
+Texts of more than CHUNK_BYTES are dealt out in chunks, as rows of other tasks.  A chunk is
+a map between states: the characters up to its first border, for which the state in
+which it is entered counts, then a number of tokens and the state it is left in, whatever
+came before.  Such maps compose associatively; a pairwise scan joins those of a text.
 
 Null and empty texts have no tokens.  Repeated rows are counted each by
 itself, an empty table gives an empty result, and columns other than doc_id
@@ -22,145 +28,157 @@ and text are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, sub_blocks, text_bytes
+from .common import distinct_spans, sub_blocks, text_bytes
 
-#: Compiled states that a worker keeps at most.
-MAX_STATES = 400_000
-#: Bytes of a chunk of a long text.
+#: Transitions that a worker keeps at most.
+MAX_TRANSITIONS = 250_000
+#: Bytes of the longest text that is counted in one piece, and characters of a chunk of a longer one.
 CHUNK_BYTES = 1 << 20
 
 _SP, _LF = 0x20, 0x0A
-_MARK = "▁".encode()
+_MARK = "▁"
 _workers: dict[str, Transducer] = {}
 
 
+@dataclass
+class ChunkMap:
+    """What a chunk does to a state: run `head`, then (if there is a border) emit `count` and be in `exit`."""
+
+    head: str
+    last: str  # its last character
+    count: int = 0
+    exit: tuple | None = None  # None: no border in it
+
+
 class Transducer:
-    """Deterministic transducer over bytes, compiled as texts are read."""
+    """Deterministic transducer over characters, compiled from the merge rules of a model."""
 
-    def __init__(self, model_path: str, max_states: int = MAX_STATES):
+    def __init__(self, model_path: str, max_transitions: int = MAX_TRANSITIONS):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        real = [p for i, p in enumerate(pieces) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))]
-        if any("▁" in p.lstrip("▁") for p in real) or any("\n" in p for p in real):
+        m = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        n = m.get_piece_size()
+        real = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+        self.rank = {m.id_to_piece(i).replace(_MARK, " "): -m.get_score(i) for i in real}
+        if not all(x.is_integer() for x in self.rank.values()) or sum(m.is_byte(i) for i in range(n)) != 256 or any(m.is_unused(i) for i in real):
+            raise ValueError("only BPE models with bytes for unknown characters can be compiled")
+        if any(" " in p.lstrip(" ") or "\n" in p for p in self.rank):
             raise ValueError("pieces that cross segment borders: this tokenizer can't be compiled")
-        if self.model.encode("ﬁ  a", out_type=str) != self.model.encode("ﬁ") and "ﬁ" not in self.model.decode(self.model.encode("ﬁ")):
+        if m.normalize("ﬁ  a") != "▁ﬁ▁▁a":
             raise ValueError("a normalising tokenizer can't be compiled")
-        self.max_states = max_states
-        self.goto: dict[int, int] = {}
-        self.final: list[int] = [-1]
-        self.keys, self.targets, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(1, -1)
-
-    def by_model(self, segments: list[bytes]) -> list[int]:
-        """Tokens of whole segments, by the tokenizer; it puts a space mark before each text."""
-        texts = [s[1:].decode() if s[:1] == b" " else "\n" + s.decode() for s in segments]
-        extra = [0 if s[:1] == b" " else 2 for s in segments]
-        # A lone space leaves nothing behind its mark, for which the tokenizer gives no token.
-        got = self.model.encode([t if t else "\n" for t in texts], num_threads=1)
-        return [len(g) - x - (not t) for g, x, t in zip(got, extra, texts, strict=True)]
-
-    def compile(self, segments: list[bytes], counts: list[int]) -> None:
-        goto, final = self.goto, self.final
-        for seg, n in zip(segments, counts, strict=True):
-            if len(final) + len(seg) > self.max_states:
-                break
-            q = 0
-            for b in seg:
-                k = q << 8 | b
-                q = goto.get(k, -1)
-                if q < 0:
-                    q = goto[k] = len(final)
-                    final.append(-1)
-            final[q] = n
-        self.keys = np.fromiter(goto.keys(), np.int64, len(goto))
-        order = np.argsort(self.keys)
-        self.keys = self.keys[order]
-        self.targets = np.fromiter(goto.values(), np.int64, len(goto))[order]
-        self.counts = np.array(final)
-
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """What leaving each segment emits, all segments in step; -1 where a run falls off."""
-        state = np.zeros(len(starts), np.int64)
-        if not len(self.keys):
-            return np.full(len(starts), -1)
-        live, at = np.arange(len(starts)), starts.copy()
-        while len(live):
-            key = state[live] << 8 | data[at[live]]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            state[live] = np.where(self.keys[i] == key, self.targets[i], -1)
-            at[live] += 1
-            live = live[(at[live] < ends[live]) & (state[live] >= 0)]
-        return np.where(state < 0, -1, self.counts[state])
+        self.begins = {p[:k]: p[:k] for p in self.rank for k in range(1, len(p))}
+        self.max_transitions = max_transitions
+        self.reset()
+
+    def reset(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.keys: list[tuple] = []
+        self.next: list[dict[str, tuple[int, int]]] = []
+        self.beside: dict[tuple[str, str], bool] = {}
+        self.transitions = 0
+        self.start = self.state(("", None, 0))
+
+    def state(self, key: tuple) -> int:
+        """Number of a state; its key has (end of the text, token before it, tokens since then), longest first, in one row."""
+        q = self.numbers.get(key)
+        if q is None:
+            q = self.numbers[key] = len(self.keys)
+            self.keys.append(key)
+            self.next.append({})
+        return q
+
+    def merge(self, text: str) -> list[str]:
+        """Tokens of a short text by the rules: the neighbours of least rank merge, leftmost first, again and again."""
+        parts = list(text)
+        while True:
+            ways = [(self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank]
+            if not ways:
+                return parts
+            i = min(ways)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def stand(self, u: str, v: str) -> bool:
+        """Whether u, v may be neighbours."""
+        got = self.beside.get((u, v))
+        if got is None:
+            got = self.beside[u, v] = self.merge(u + v) == [u, v]
+        return got
+
+    def compile(self, q: int, x: str) -> tuple[int, int]:
+        """Transition of state q by x: the next state and the change in the number of tokens."""
+        key = self.keys[q]
+        if self.transitions >= self.max_transitions:
+            self.reset()
+            q = self.state(key)
+        token, change, open_ = None, 0, []
+        for k in range(0, len(key), 3):
+            end, before, since = key[k : k + 3]
+            end += x
+            if token is None and (end in self.rank or len(end) == 1) and (before is None or self.stand(before, end)):
+                token, change = end, (1 if end in self.rank else len(end.encode())) - since
+            if end in self.begins:
+                open_.append((self.begins[end], before, since))
+        new = [y for end, before, since in open_ for y in (end, before, since + change)]
+        out = self.next[q][x] = self.state((*new, "", token, 0)), change
+        self.transitions += 1
+        return out
+
+    def run(self, q: int, text: str) -> tuple[int, int]:
+        """State behind the text, which has no border inside, and the tokens it emits."""
+        n = 0
+        for x in text:
+            step = self.next[q].get(x)
+            q, change = self.compile(q, x) if step is None else step
+            n += change
+        return q, n
+
+    def tokens(self, segment: str) -> int:
+        return self.run(self.start, segment)[1]
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each segment; equal ones are run once."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        _, first, inverse, times = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True, return_counts=True)
-        s, e = starts[first], ends[first]
-        got = self.run(data, s, e)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            raw = data.tobytes()
-            segments = [raw[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
-            found = self.by_model(segments)
-            got[new] = found
-            again = times[new] > 1
-            if len(self.final) < self.max_states and again.any():
-                self.compile([x for x, k in zip(segments, again, strict=True) if k], [x for x, k in zip(found, again, strict=True) if k])
-        return got[inverse]
+        first, inverse = distinct_spans(data, starts, ends)
+        raw = data.tobytes()
+        return np.array([self.tokens(raw[a:b].decode()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)[inverse]
 
     # Chunks as maps between states.
 
-    def chunk_map(self, chunk: bytes) -> tuple:
-        """(head, tokens inside, tail), or (bytes,) for a chunk without a border."""
-        data = np.frombuffer(chunk, np.uint8)
+    def chunk_map(self, chunk: str) -> ChunkMap:
+        data = np.frombuffer(chunk.encode(), np.uint8)
         cuts = np.flatnonzero(borders(data)[1:]) + 1
         if not len(cuts):
-            return (chunk,)
+            return ChunkMap(chunk, chunk[-1])
+        raw = data.tobytes()
         inside = int(self.count(data, cuts[:-1], cuts[1:]).sum())
-        return chunk[: cuts[0]], inside, chunk[cuts[-1] :]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if len(a) == 1 and len(b) == 1:
-            return self.chunk_map(a[0] + b[0])
-        if len(a) == 1:
-            m = self.chunk_map(a[0] + b[0])
-            return (m[0], b[1], b[2]) if len(m) == 1 else (m[0], m[1] + self.whole(m[2]) + b[1], b[2])
-        if len(b) == 1:
-            m = self.chunk_map(a[2] + b[0])
-            return (a[0], a[1], m[0]) if len(m) == 1 else (a[0], a[1] + self.whole(m[0]) + m[1], m[2])
-        m = self.chunk_map(a[2] + b[0])
-        joint = self.whole(m[0]) if len(m) == 1 else self.whole(m[0]) + m[1] + self.whole(m[2])
-        return a[0], a[1] + joint + b[1], b[2]
-
-    def whole(self, segment: bytes) -> int:
-        return int(self.count(np.frombuffer(segment, np.uint8), np.array([0]), np.array([len(segment)]))[0]) if segment else 0
-
-    def long_text(self, text: bytes, chunk_bytes: int = CHUNK_BYTES) -> int:
-        """Tokens of one text by a pairwise scan over its chunks' maps."""
-        if not text:
-            return 0
-        text = b" " + text
-        cuts = [0]
-        while cuts[-1] < len(text):  # whole characters in every chunk
-            at = min(len(text), cuts[-1] + chunk_bytes)
-            while at < len(text) and text[at] & 0xC0 == 0x80:
-                at += 1
-            cuts.append(at)
-        maps = [self.chunk_map(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        q, n = self.run(self.start, raw[cuts[-1] :].decode())
+        return ChunkMap(raw[: cuts[0]].decode(), chunk[-1], inside + n, self.keys[q])
+
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of a chunk and the one behind it."""
+        between = _border(a.last, b.head[0])
+        if a.exit is None and not between:
+            return ChunkMap(a.head + b.head, b.last, b.count, b.exit)
+        q, n = self.run(self.start if between else self.state(a.exit), b.head)
+        if b.exit is None:
+            return ChunkMap(a.head, b.last, a.count + n, self.keys[q])
+        return ChunkMap(a.head, b.last, a.count + n + b.count, b.exit)
+
+    def scan(self, maps: list[ChunkMap]) -> int:
+        """Tokens of a text by pairwise composition of its chunks' maps."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return self.whole(m[0]) if len(m) == 1 else self.whole(m[0]) + m[1] + self.whole(m[2])
+        return sum(self.tokens(m.head) + m.count for m in maps)
 
 
 def compiled(model_path: str) -> Transducer:
@@ -180,19 +198,19 @@ def borders(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_batch(tr: Transducer, data: np.ndarray, off: np.ndarray, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
+def _border(a: str, b: str) -> bool:
+    return b == " " != a or "\n" in (a, b)
+
+
+def count_batch(tr: Transducer, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Tokens of each string of a batch."""
     out = np.zeros(len(off) - 1, np.int64)
     for i, j in sub_blocks(off):
-        if j == i + 1 and off[j] - off[i] > chunk_bytes:
-            out[i] = tr.long_text(data[off[i] : off[j]].tobytes().replace(_MARK, b" "), chunk_bytes)
-            continue
         part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        if _MARK in part.tobytes():  # the space mark itself counts as a space
-            texts = [part[a:b].tobytes().replace(_MARK, b" ") for a, b in zip(at, at[1:], strict=False)]
+        if _MARK.encode() in part.tobytes():  # the space mark itself counts as a space
+            texts = [part[a:b].tobytes().replace(_MARK.encode(), b" ") for a, b in zip(at, at[1:], strict=False)]
             part, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        sizes = np.diff(at)
-        full = np.flatnonzero(sizes)
+        full = np.flatnonzero(np.diff(at))
         if not len(full):
             continue
         # The tokenizer's own space before each text that isn't empty.
@@ -210,15 +228,49 @@ def count_batch(tr: Transducer, data: np.ndarray, off: np.ndarray, chunk_bytes:
     return out
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+_COUNTS = "doc_id long, n_bytes long, n_tokens long"
+
+
+def count_long(docs: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of texts that aren't empty, by a scan over chunks that are rows of their own."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, value in enumerate(batch.column(2)):
+                text = value.as_py()
+                n_bytes, text = len(text.encode()), " " + text.replace(_MARK, " ")
+                for pos, at in enumerate(range(0, len(text), chunk_chars)):
+                    own = [pa.array([n_bytes], pa.int64()), pa.array([pos], pa.int32()), pa.array([text[at : at + chunk_chars]])]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:2]), *own], ["doc_id", "row", "n_bytes", "pos", "chunk"])
+
+    chunks = rows.mapInArrow(cut, "doc_id long, row long, n_bytes long, pos int, chunk string")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tr = compiled(model_path)
+        for batch in batches:
+            found = [tr.chunk_map(x.as_py()) for x in batch.column(4)]
+            own = [pa.array(x, t) for x, t in (([m.head for m in found], pa.string()), ([m.last for m in found], pa.string()), ([m.count for m in found], pa.int64()), ([m.exit and json.dumps(m.exit) for m in found], pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *own], ["doc_id", "row", "n_bytes", "pos", "head", "last", "count", "exit"])
+
+    def scan(table: pa.Table) -> pa.Table:
+        own = [ChunkMap(r["head"], r["last"], r["count"], r["exit"] and tuple(json.loads(r["exit"]))) for r in sorted(table.to_pylist(), key=lambda r: r["pos"])]
+        return table.select(["doc_id", "n_bytes"]).slice(0, 1).append_column("n_tokens", pa.array([compiled(model_path).scan(own)], pa.int64()))
+
+    mapped = chunks.repartition("row", "pos").mapInArrow(maps, "doc_id long, row long, n_bytes long, pos int, head string, last string, count long, exit string")
+    return mapped.groupBy("row").applyInArrow(scan, _COUNTS)
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr = compiled(model_path)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            n = count_batch(tr, data, off)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(count_batch(tr, data, off))], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    long = F.octet_length("text") > max(1, chunk_bytes)
+    out = rows.where(~long).mapInArrow(work, _COUNTS).unionAll(count_long(rows.where(long), model_path, max(1, chunk_bytes)))
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
