@@ -12,7 +12,7 @@ Suffixes are sorted in blocks, each to LENGTH bytes:
    Blocks of documents ask, by key range, which anchors occur again; the other
    windows have no copy and are not sorted.
 2. For anchors that do, the stretch of text that holds the anchor's windows goes to the task
-   that owns the key range.  Of equal stretches in a block only the first goes.
+   that owns the key range.  Of stretches of the same bytes in a block only the first goes.
 3. The owner sorts one chunk of buckets at a time.  Cover samples, every STEP-th
    byte counted from the anchor, are ranked by doubling to 8, 16, 32 and 64 bytes; a window is
    then two ranks and the STEP bytes that its samples leave out, so long ties cost no
@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, pack, pack_ints, pack_sorted, plain_bytes, totals_by_key, unpack, unpack_ints, unpack_sorted
-from .common import gather, materialise, prefix_hash, same_spans, span_hash, sub_blocks, trim
+from .common import gather, materialise, mix64, prefix_hash, same_spans, span_hash, sub_blocks, trim
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 100
 #: Bytes of an anchor, distance of cover samples.
 ANCHOR, STEP = 32, 4
 #: Occurrences from which an anchor is split by its windows.
-HOT = 50_000
+HOT = 16_000
 #: Bytes of text whose anchors, and whose stretches, one task owns, about; bytes of a chunk.
 RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 1 << 20
 #: Bytes of text whose anchors are looked for at once.
@@ -80,16 +80,32 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     place = (m[window] & _POS).astype(np.int64)
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)))
     place, n = place[first], np.diff(np.append(first, len(window)))
-    return h[place], place, window[first], n
+    # Least hashes crowd at one end: scrambled keys spread over the ranges.
+    return mix64(h[place]), place, window[first], n
+
+
+def pieces(off: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of bytes of a block and the offsets of the strings in them.
+
+    Whole strings as a rule; a string of more than SUB_BYTES is cut into overlapping pieces, each window of it in one of them.
+    """
+    for i, j in sub_blocks(off, SUB_BYTES):
+        lo, hi = int(off[i]), int(off[j])
+        if j > i + 1 or hi - lo <= SUB_BYTES + length:
+            yield lo, hi, off[i : j + 1] - lo
+        else:
+            for at in range(lo, hi - length + 1, SUB_BYTES):
+                end = min(hi, at + SUB_BYTES + length - 1)
+                yield at, end, np.array([0, end - at])
 
 
 def block_anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> list[tuple]:
-    """(i, j, key, place, first window, number of windows) of each sub-block i..j of a block."""
-    return [(i, j, *anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length)) for i, j in sub_blocks(off, SUB_BYTES)]
+    """(first byte, last byte, key, place, first window, number of windows) of each piece of a block; places count from the first byte."""
+    return [(lo, hi, *anchors(data[lo:hi], at, length)) for lo, hi, at in pieces(off, length)]
 
 
-def distinct_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor keys of a block and how often each occurs."""
+def anchor_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchor keys of a block and how often each occurs; anchors of one key share a bucket, whatever their bytes."""
     return np.unique(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64), return_counts=True)
 
 
@@ -119,11 +135,10 @@ class Stretches:
 def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: list[tuple], keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
     """Stretches of anchors that occur again, and (idx, start, n) of those that repeat one of this block."""
     parts, texts = [], []
-    for i, j, key, place, start, n in found:
+    for lo, hi, key, place, start, n in found:
         if not len(key):
             continue
-        at = off[i : j + 1] - off[i]
-        prefix = prefix_hash(data[off[i] : off[j]])
+        prefix = prefix_hash(data[lo:hi])
         total = totals[np.searchsorted(keys, key)]
         use = np.flatnonzero(total > 1)
         split = use[total[use] > hot]
@@ -135,14 +150,17 @@ def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: l
             n[1] = np.ones(len(start[1]), np.int64)
             key[1] = span_hash(prefix, start[1], start[1] + length)
         key, place, start, n = (np.concatenate(x) for x in (key, place, start, n))
-        idx = np.searchsorted(at, start, side="right") - 1
         whole = span_hash(prefix, start, start + n - 1 + length)
-        parts.append(np.column_stack([key, whole, ordinal(ids[i + idx]), (idx + i).astype(np.uint64), (start - at[idx]).astype(np.uint64), n.astype(np.uint64), (place - start).astype(np.uint64), (start + off[i]).astype(np.uint64)]))
+        at = start + lo
+        idx = np.searchsorted(off, at, side="right") - 1
+        parts.append(np.column_stack([key, whole, ordinal(ids[idx]), idx.astype(np.uint64), (at - off[idx]).astype(np.uint64), n.astype(np.uint64), (place - start).astype(np.uint64), at.astype(np.uint64)]))
     if not parts:
         return Stretches({k: np.zeros(0, np.uint64) for k in Stretches.COLUMNS}, np.zeros(0, np.uint8)), np.zeros((0, 3), np.uint64)
     t = np.concatenate(parts)
     t = t[np.lexsort((t[:, 4], t[:, 3], t[:, 2], t[:, 5], t[:, 6], t[:, 1], t[:, 0]))]
     again = np.append(False, (t[1:, [0, 1, 5, 6]] == t[:-1, [0, 1, 5, 6]]).all(1))
+    same = np.flatnonzero(again)
+    again[same] = same_spans(data, t[same, 7].astype(np.int64), t[same - 1, 7].astype(np.int64), t[same, 5].astype(np.int64) - 1 + length)
     marks, t = t[again][:, [3, 4, 5]], t[~again]
     columns = {"key": t[:, 0], "doc": t[:, 2], "idx": t[:, 3], "start": t[:, 4], "n": t[:, 5], "rel": t[:, 6]}
     size = t[:, 5].astype(np.int64) - 1 + length
@@ -252,8 +270,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
     blocks = materialise(pack(docs, F.lit(False)).drop("flags"), "suffix-blocks")
     plain = plain_bytes(blocks)
 
-    def keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return distinct_keys(block_anchors(*unpack(row["sizes"], row["body"]), length))
+    def keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, count = anchor_keys(block_anchors(*unpack(row["sizes"], row["body"]), length))
+        return key, np.zeros(len(key), np.uint64), count
 
     totals = materialise(totals_by_key(blocks, ["sizes", "body"], keys, max(1, -(-plain // RANGE_BYTES))), "suffix-anchors")
     parts = max(1, -(-plain // PART_BYTES))
@@ -264,7 +283,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
             for blk, ids, sizes, body, own in zip(*(batch.column(c) for c in ("blk", "doc_ids", "sizes", "body", "answers")), strict=True):
                 data, off = unpack(sizes, body)
                 found = block_anchors(data, off, length)
-                asked = distinct_keys(found)[0]
+                asked = anchor_keys(found)[0]
                 total = np.concatenate([unpack_ints(x["totals"]) for x in own.as_py()]).astype(np.int64)
                 number = ids.values.fill_null((1 << 63) - 1).to_numpy()
                 s, marks = block_stretches(data, off, number, found, asked, total, length, hot)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -123,6 +124,18 @@ def brute_cut(rows, length=100):
     return out
 
 
+def test_suffix_dedup_long_texts_and_words_of_one_hash(spark, monkeypatch):
+    """Texts longer than a piece, and stretches that a polynomial hash can't tell apart."""
+    monkeypatch.setattr(suffix_dedup, "SUB_BYTES", 1000)
+    bits = [bin(k).count("1") & 1 for k in range(4096)]
+    one, two = ("".join(x[b] for b in bits) for x in ("et", "te"))
+    r = random.Random(4)
+    noise = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    rows = [(1, noise), (2, noise[3000:7000] + "x" * 2500), (3, one), (4, two), (5, "start " + one + two), (6, two + noise[1:800])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(x) for x in suffix_dedup.suffix_dedup(docs).collect()) == sorted(brute_cut(rows))
+
+
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_suffix_dedup_against_brute_force(spark, hot):
     docs = odd_docs(spark)
