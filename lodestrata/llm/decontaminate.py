@@ -2,42 +2,48 @@
 
 Texts are canonicalised word by word: numbers, names and units become typed
 placeholders that carry the value they stand for, everything else is
-lower-cased.  Windows of WINDOW words have three forms: the template in which a capitalised word
+lower-cased.  Words have three forms: the template in which a capitalised word
 behind a lower-case one is a name; the one in which every capitalised word is a name, sentence starts included;
-and the plain words.  All windows of a document are hash-joined with those of the benchmark items by all forms.
-Windows of one document and item at one distance form an alignment, for each template.  It counts when it covers
-half of the item's windows, or ENOUGH of them, and its slots are consistent: each value of the item stands against one
-value of the document, throughout.  Plain windows count by themselves, whatever slots conflict elsewhere.  The same
-holds for the distinct windows of the item over all distances, for words may be inserted or left out.
-
-Items of MIN_WORDS to WINDOW-1 words are joined as one window of their own
-length; shorter ones can't be told from ordinary phrases and are left out.
+and the plain words.
+
+1. Each form of a text gives an array of word hashes, from which those of all its windows of WINDOW words
+   come by doubling (1, 2, 4, 8 words).  Windows of all documents are hash-joined with those of the items.
+2. Documents with a hit are read again; hits are compared word by word, so a hash decides nothing,
+   and the values of their slots are taken.
+3. Windows of one document and item at one distance form an alignment, for each template.  It counts when it covers
+   half of the item's windows, or ENOUGH of them, and its slots are consistent: each value of the item stands against one
+   value of the document, throughout.  Plain windows count by themselves, whatever slots conflict elsewhere.  The same
+   holds for the distinct windows of the item over all distances, for words may be inserted or left out.
+
+Items of less than WINDOW words, down to one word, are joined as one window of their own
+length; templates are asked for from TEMPLATE_WORDS words on, the plain words at any length.
 Windows of a template need MIN_LITERALS words that aren't placeholders (all but two of the
 words of a shorter window), plain ones none.
 
 Null texts are empty and match nothing; a null doc_id or item_id is reported
-as null.  Rows repeated under one doc_id count once.  Empty tables give an
-empty result, other columns are ignored.
+as null.  Different texts under one doc_id are judged each by itself, and so are items
+under one item_id.  Repeated rows count once.  Empty tables give an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialise
 
 #: Words of a template window.
 WINDOW = 8
-#: Words of the shortest item that is looked for.
-MIN_WORDS = 4
+#: Words of the shortest window that is looked for by templates.
+TEMPLATE_WORDS = 4
 #: Words of a window that must not be placeholders.
 MIN_LITERALS = 4
 #: Windows (13 words in a row) that are enough for any item.
 ENOUGH = 6
 #: Share of an item's windows that is enough.
 SHARE = 0.5
-#: Benchmark windows up to which they are broadcast; more are joined by shuffle.
+#: Benchmark windows, or keys of documents, up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 #: Units of measure that may follow a number.
@@ -47,8 +53,8 @@ UNITS = (
     "meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres"
 ).split()
 
-#: Private-use characters around the type and value of a placeholder.
-_OPEN, _CLOSE = "", ""
+#: Control characters around the type and value of a placeholder (Latin-1, which regular expressions read fastest).
+_OPEN, _CLOSE = "\x01", "\x02"
 #: Types of slots in the two templates; q is a capitalised word at any other place.
 _TYPES = ("nup", "nupq")
 
@@ -56,77 +62,136 @@ _TYPES = ("nup", "nupq")
 def canonical(text: Column) -> Column:
     """Template of a text, one word for each word; a placeholder holds its type and value."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s{2,}|[^\S ]", " ")
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{_OPEN}{_CLOSE}\t-\r\x1c-\x1f\x85]\s*+| \s++", " "))
     t = F.regexp_replace(t, rf"(?<=\d )({units})(?=[\s.,;:!?)]|$)", f"{_OPEN}u:$1{_CLOSE}")
     t = F.regexp_replace(t, rf"(?<!\S)(?=\S*?\d)([^\s{_OPEN}]++)", f"{_OPEN}n:$1{_CLOSE}")
     t = F.regexp_replace(t, rf"(?<=[\p{{Ll}},;{_CLOSE}] )(\p{{Lu}}\p{{Ll}}++)", f"{_OPEN}p:$1{_CLOSE}")
-    t = F.regexp_replace(t, rf"(?<![^\s\"'(\[])(\p{{Lu}}\p{{Ll}}++)(?![^\s{_OPEN}]*+{_CLOSE})", f"{_OPEN}q:$1{_CLOSE}")
+    # A negative look-behind of a class in place of (?<!\S) makes the whole chain four times slower.
+    t = F.regexp_replace(t, r"(?<!\S)([\"'(\[]*+)(\p{Lu}\p{Ll}++)", f"$1{_OPEN}q:$2{_CLOSE}")
     return F.lower(t)
 
 
-def windows(text: Column, words: int) -> Column:
-    """All windows of so many words, in order, by one pass of a look-ahead."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<!\S)(?=(\S++(?:\s++\S++){{{words - 1}}}))"), F.lit(1))
+def forms(text: Column) -> list[Column]:
+    """A canonical text without the values of its slots, in both templates, and in plain words."""
+    slot = lambda t, types, by: F.regexp_replace(t, f"{_OPEN}[{types}]:([^{_CLOSE}]*+){_CLOSE}", by)
+    typed = F.regexp_replace(text, f"{_OPEN}([nup]):[^{_CLOSE}]*+{_CLOSE}", "<$1>")
+    return [slot(typed, "q", "$1"), slot(typed, "q", "<p>"), slot(text, "nupq", "$1")]
 
 
-def forms(window: Column) -> list[Column]:
-    """The window without the values of its slots, in both templates, and in plain words."""
-    some = F.contains(window, F.lit(_OPEN))
-    slot = lambda w, types, by: F.regexp_replace(w, f"{_OPEN}[{types}]:([^{_CLOSE}]*){_CLOSE}", by)
-    typed = F.regexp_replace(window, f"{_OPEN}([nup]):[^{_CLOSE}]*{_CLOSE}", "<$1>")
-    out = [slot(typed, "q", "$1"), slot(typed, "q", "<p>"), slot(window, "nupq", "$1")]
-    return [F.when(some, x).otherwise(window) for x in out]
+def _split(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
 def _slots(window: Column, types: str) -> Column:
     return F.regexp_extract_all(F.regexp_replace(window, f"{_OPEN}q:", f"{_OPEN}p:") if "q" in types else window, F.lit(f"{_OPEN}([nup]:[^{_CLOSE}]*){_CLOSE}"), F.lit(1))
 
 
-def _form_windows(table: DataFrame, key: str, words: int) -> DataFrame:
-    each = table.select(F.col(key), F.posexplode(windows(canonical(F.col("text")), words)).alias("pos", "win"))
-    return each.withColumn("forms", F.array(*forms(F.col("win"))))
-
-
-def _by_hash(table: DataFrame, wanted: Column) -> DataFrame:
-    """A row for each distinct form."""
-    return table.withColumn("h", F.explode(F.array_distinct(F.transform(wanted, lambda f: F.xxhash64(f)))))
-
-
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """doc_id, item_id, shift, ipos of all windows that meet; same1, same2, plain: by which forms; the item's windows of each form; slots."""
-    bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    length = F.size(windows(F.col("text"), 1))
-    sized = bench.select("item_id", "text", length.alias("words"))
-    short = [r[0] for r in sized.where(F.col("words").between(MIN_WORDS, window - 1)).select("words").distinct().collect()]
-    hits = None
-    for words in [window, *sorted(short)]:
-        items = sized.where(F.col("words") >= window) if words == window else sized.where(F.col("words") == words)
-        own = _form_windows(items, "item_id", words)
-        for k in (0, 1):
-            literals = F.size(F.filter(F.split(F.col("forms")[k], " "), lambda w: ~w.startswith("<")))
-            own = own.withColumn(f"use{k + 1}", literals >= min(MIN_LITERALS, words - 2))
-        of = lambda c: F.sum(c.cast("long")).over(_by("item_id"))
-        own = own.select("item_id", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), F.col("forms").alias("iforms"), "use1", "use2", of(F.col("use1")).alias("windows1"), of(F.col("use2")).alias("windows2"), of(F.lit(1)).alias("item_windows"))
-        wanted = F.filter(F.array(F.when(F.col("use1"), F.col("iforms")[0]), F.when(F.col("use2"), F.col("iforms")[1]), F.col("iforms")[2]), lambda f: f.isNotNull())
-        own = _by_hash(own, wanted)
-        if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
-        met = _by_hash(_form_windows(docs.select("doc_id", "text"), "doc_id", words), F.col("forms")).join(own, "h")
-        same = [F.col("forms")[k] == F.col("iforms")[k] for k in range(3)]
-        met = met.select(
-            "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "windows1", "windows2", "item_windows",
-            (same[0] & F.col("use1")).alias("same1"), (same[1] & F.col("use2")).alias("same2"), same[2].alias("plain"),
-            *(F.arrays_zip(_slots(F.col("iwin"), t).alias("islots"), _slots(F.col("win"), t).alias("slots")).alias(f"pairs{k}") for k, t in enumerate(_TYPES, 1)),
-        ).where("same1 or same2 or plain")
-        hits = met if hits is None else hits.unionAll(met)
-    return hits
+def _seeded(form: int):
+    return lambda word: F.xxhash64(word, F.lit(form))
+
+
+def _join_at(a: str, b: str, shift: int) -> Column:
+    """Hashes of what two arrays of hashes stand for, b's `shift` words behind a's."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
+    return F.zip_with(F.slice(F.col(a), F.lit(1), n), F.slice(F.col(b), F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
+
+
+def window_hashes(table: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """keys, n (words) and for each form k and length L an array h{L}_{k} of the hashes of all windows, in order.
+
+    One projection for each step, so that no array is worked out twice; those who explode them
+    do it with the outer form, for Spark else filters by the size of an array it would build anew.
+    """
+    t = table.select(*keys, canonical(F.col("text")).alias("c"))
+    t = t.select(*keys, *(f.alias(f"t{k}") for k, f in enumerate(forms(F.col("c")))))
+    t = t.select(*keys, *(_split(F.col(f"t{k}")).alias(f"w{k}") for k in range(3)))
+    t = t.select(*keys, F.size("w2").alias("n"), *(F.transform(f"w{k}", _seeded(k)).alias(f"h1_{k}") for k in range(3)))
+    have = [1]
+    while 2 * have[-1] <= max(lengths):
+        step = have[-1]
+        t = t.select("*", *(_join_at(f"h{step}_{k}", f"h{step}_{k}", step).alias(f"h{2 * step}_{k}") for k in range(3)))
+        have.append(2 * step)
+    for length in (x for x in lengths if x not in have):  # a sum of powers of two
+        done = 0
+        for step in (x for x in reversed(have) if length & x):
+            t = t.select("*", *((_join_at(f"h{done}_{k}", f"h{step}_{k}", done) if done else F.col(f"h{step}_{k}")).alias(f"h{done + step}_{k}") for k in range(3) if f"h{done + step}_{k}" not in t.columns))
+            done += step
+    return t.select(*keys, "n", *(f"h{x}_{k}" for x in lengths for k in range(3)))
+
+
+def _asked(lengths: list[int]) -> list[tuple[int, int]]:
+    """Lengths and forms that are looked for."""
+    return [(x, k) for x in lengths for k in range(3) if k == 2 or x >= TEMPLATE_WORDS]
+
+
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, item_id, length, ipos, form, h, win (canonical words), windows1, windows2, item_windows: a row for each window and form that is looked for."""
+    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    words = rows.select("item_id", "text", _split(canonical(F.col("text"))).alias("words"))
+    sized = words.where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window))).withColumn("item", F.monotonically_increasing_id())
+    sized = materialise(sized, "benchmark-items")  # the numbers stay
+    lengths = sorted(r[0] for r in sized.select("length").distinct().collect())  # `window` of them at most
+    if not lengths:
+        lengths = [window]
+    hashed = window_hashes(sized, ["item", "item_id", "length", "words"], lengths)
+    each = None
+    for length, form in _asked(lengths):
+        own = hashed.where(F.col("length") == length).select("item", "item_id", "length", F.lit(form).alias("form"), "words", F.posexplode_outer(f"h{length}_{form}").alias("ipos", "h")).where("h is not null")
+        own = own.withColumn("win", F.array_join(F.slice("words", F.col("ipos") + 1, F.lit(length)), " ")).drop("words")
+        literals = F.size(F.filter(F.split(forms(F.col("win"))[form], " "), lambda w: ~w.startswith("<")))
+        own = own.withColumn("use", F.lit(True) if form == 2 else literals >= min(MIN_LITERALS, length - 2))
+        each = own if each is None else each.unionAll(own)
+    of = lambda k: F.sum((F.col("use") & (F.col("form") == k)).cast("long")).over(W.partitionBy("item"))
+    return materialise(each.withColumns({"windows1": of(0), "windows2": of(1), "item_windows": of(2)}).where("use").drop("use"), "benchmark-windows")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), item, ipos, form, length, pos: windows of one hash."""
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [WINDOW]
+    asked = _asked(lengths)
+    hashed = window_hashes(docs, ["doc_id", "digest"], lengths)
+    flat = hashed.select("doc_id", "digest", "n", F.posexplode_outer(F.concat(*(F.col(f"h{x}_{k}") for x, k in asked))).alias("at", "h"))
+    met = flat.join(_small(items.select("item", "ipos", "form", "length", "h")), "h")
+    begin, first = F.lit(0), F.lit(0)
+    for x, k in asked:
+        first = F.when((F.col("length") == x) & (F.col("form") == k), begin).otherwise(first)
+        begin = begin + F.greatest(F.col("n") - (x - 1), F.lit(0))
+    return met.select("doc_id", "digest", "item", "ipos", "form", "length", (F.col("at") - first).alias("pos"))
+
+
+def _same_doc(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
+
+
+def _compared(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, digest, item, item_id, shift, ipos, form, pairs (slots of item and document) of windows that are the same in a form."""
+    hits = materialise(_hits(docs, items), "benchmark-hits")
+    keys = _small(materialise(hits.select("doc_id", "digest").distinct(), "benchmark-hit-docs"))
+    some = docs.join(keys, _same_doc(docs, keys), "left_semi").distinct().select("doc_id", "digest", _split(canonical(F.col("text"))).alias("words"))
+    # The hits of one text: no more than its windows times the items that share one.
+    by_doc = hits.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "ipos", "form", "length", "pos")).alias("hits"))
+    each = some.join(by_doc, _same_doc(some, by_doc)).select(some["doc_id"], some["digest"], F.explode(F.transform("hits", lambda x: F.struct(x.alias("hit"), F.array_join(F.slice(F.col("words"), x["pos"] + 1, x["length"]), " ").alias("win")))).alias("x"))
+    each = each.select("doc_id", "digest", "x.hit.*", F.col("x.win").alias("dwin"))
+    met = each.join(_small(items.select("item", "item_id", "ipos", "form", "win", "windows1", "windows2", "item_windows")), ["item", "ipos", "form"])
+    same, pairs = F.lit(False), F.lit(None)
+    for k, (a, b) in enumerate(zip(forms(F.col("win")), forms(F.col("dwin")), strict=True)):
+        same = F.when(F.col("form") == k, a == b).otherwise(same)
+    for k, types in enumerate(_TYPES):
+        zipped = F.arrays_zip(_slots(F.col("win"), types).alias("islots"), _slots(F.col("dwin"), types).alias("slots"))
+        pairs = F.when(F.col("form") == k, zipped).otherwise(pairs)
+    return met.where(same).select("doc_id", "digest", "item", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "form", pairs.alias("pairs"), "windows1", "windows2", "item_windows")
 
 
 def _found(hits: DataFrame, by: list[str]) -> DataFrame:
     """n1, n2, n3: distinct windows of the item by each form; slots and conflicts of the templates."""
     # Values of one alignment: a few words, for there are no more windows in it than in the item.
-    pairs = [F.array_distinct(F.flatten(F.collect_set(F.when(F.col(f"same{k}"), F.col(f"pairs{k}"))))).alias(f"pairs{k}") for k in (1, 2)]
-    n = [F.size(F.collect_set(F.when(F.col(c), F.col("ipos")))).alias(f"n{k}") for k, c in enumerate(("same1", "same2", "plain"), 1)]
+    pairs = [F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == k - 1, F.col("pairs"))))).alias(f"pairs{k}") for k in (1, 2)]
+    n = [F.size(F.collect_set(F.when(F.col("form") == k - 1, F.col("ipos")))).alias(f"n{k}") for k in (1, 2, 3)]
     out = hits.groupBy(*by).agg(*n, *(F.max(c).alias(c) for c in ("windows1", "windows2", "item_windows")), *pairs)
     for k in (1, 2):
         sources = F.size(F.array_distinct(F.transform(f"pairs{k}", lambda p: p["islots"])))
@@ -134,29 +199,35 @@ def _found(hits: DataFrame, by: list[str]) -> DataFrame:
     return out.drop("pairs1", "pairs2")
 
 
-def _by(key: str):
-    from pyspark.sql import Window as W
+def _digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
 
-    return W.partitionBy(key)
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document and benchmark item it holds: doc_id, item_id, n_windows, item_windows, n_slots, coverage."""
-    hits = materialise(_hits(docs, benchmark, window), "benchmark-hits")  # two groupings read them
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, digest, item_id, n_windows, item_windows, n_slots of each text and item that it holds."""
+    hits = materialise(_compared(_digested(docs), item_windows(benchmark, window)), "benchmark-same")  # two groupings read them
     enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= ENOUGH) | (F.col(n) >= SHARE * F.col(of)))
     ways = [enough("n1", "windows1") & (F.col("conflicts1") == 0), enough("n2", "windows2") & (F.col("conflicts2") == 0), enough("n3", "item_windows")]
-    columns = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots"]
+    columns = ["doc_id", "digest", "item", "item_id", "n_windows", "item_windows", "n_slots"]
     parts = []
-    for by in (["doc_id", "item_id", "shift"], ["doc_id", "item_id"]):
+    for by in (["doc_id", "digest", "item", "item_id", "shift"], ["doc_id", "digest", "item", "item_id"]):
         found = _found(hits, by)
         found = found.withColumn("n_windows", F.greatest(*(F.when(w, F.col(f"n{k}")) for k, w in enumerate(ways, 1))))
         parts.append(found.withColumn("n_slots", F.coalesce(F.greatest(*(F.when(w, F.col(f"slots{k}")) for k, w in enumerate(ways[:2], 1))), F.lit(0))).where("n_windows is not null").select(columns))
-    best = parts[0].unionAll(parts[1]).groupBy("doc_id", "item_id")
+    return parts[0].unionAll(parts[1])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """A row for each document and benchmark item it holds: doc_id, item_id, n_windows, item_windows, n_slots, coverage."""
+    best = _contaminated(docs, benchmark, window).groupBy("doc_id", "item_id")
     out = best.agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"))
     return out.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
 
 
-def decontaminate_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    held = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    held = materialise(_contaminated(docs, benchmark, window).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct(), "benchmark-held")
+    held = _small(held)
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held["_digest"]), "left_anti")

@@ -64,7 +64,7 @@ def test_templates_and_slots(spark):
     assert {(1, 1), (2, 1), (3, 1), (None, 1), (6, 3)} <= got
     assert not {4, 5, 7, 8} & {d for d, _ in got}
     left = decontaminate.decontaminate_rows(docs, bench)
-    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {None, 4, 5, 7, 8}
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in left.select("doc_id", "text").collect() if r["doc_id"] not in (4, 5, 7, 8)) == [(1, "again")]
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
     assert decontaminate.contaminated(odd_docs(spark), bench).count() == 0
@@ -90,6 +90,69 @@ def test_verbatim_windows_of_any_words(spark):
     assert not {3} & {d for d, _ in found(spark, [table, item, inserted], docs)}
 
 
+def test_short_items_and_numbers(spark):
+    items = ["What is love?", "12 34 56 78 and 90 11 12 13", "Paris", "one two three four five"]
+    docs = ["He asked: what is  love? Nobody knew.", "so 12 34 56 78 and 90 11 12 13 it was", "in paris it rained", "what is it?", "so 22 34 56 78 and 90 11 12 14 it was", "one two three, four five", "and one two three four five six"]
+    got = found(spark, items, docs)
+    assert {(0, 0), (1, 1), (2, 2), (6, 3)} <= got
+    assert not {3, 5} & {d for d, _ in got}
+
+
+def brute_hits(docs, items, k=8):
+    """Plain windows of whole texts, one by one."""
+    out = set()
+    words = lambda t: t.lower().split()
+    for i, x in enumerate(items):
+        own = words(x)
+        n = min(k, len(own))
+        grams = [tuple(own[p : p + n]) for p in range(len(own) - n + 1)]
+        for d, t in enumerate(docs):
+            w = words(t)
+            have = {tuple(w[p : p + n]) for p in range(len(w) - n + 1)}
+            hit = sum(g in have for g in set(grams)) if grams else 0
+            if hit and (hit >= 6 or hit >= 0.5 * len(grams)):
+                out.add((d, i))
+    return out
+
+
+def test_plain_windows_against_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * r.randint(1, 2) for _ in range(n))
+    items = [text(n) for n in (1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 30) for _ in range(2)]
+    docs = [text(40) for _ in range(40)]
+    for x in items:
+        w = x.split()
+        docs.append(text(5) + " " + x + " " + text(5))
+        docs.append(" ".join(w[: len(w) // 2 + 4]) + " " + text(9))
+        docs.append(text(3) + " " + " ".join(["zz" if k == len(w) // 2 else v for k, v in enumerate(w)]))
+    assert found(spark, items, docs) == brute_hits(docs, items)
+
+
+def test_templates_against_brute_force(spark):
+    """Items whose slots change: a document holds one if a one-to-one change of values turns it into the item."""
+    names, changed = ["Tom", "Anna", "Ben"], ["Max", "Lisa", "Kim"]
+    items, docs, want = [], [], set()
+    for i in range(12):
+        item = f"when {names[i % 3]} had {10 + i} apples in box {i} and gave {names[(i + 1) % 3]} some {chr(97 + i)}{chr(98 + i)} of them before noon then {names[i % 3]} kept {10 + i} for home"
+        items.append(item)
+        swap = {**dict(zip(names, changed, strict=True)), str(10 + i): str(70 + i)}
+        for kind in range(3):
+            w = [swap.get(x, x) for x in item.split()]
+            if kind == 1:  # one value stands for two
+                w[-3] = "99"
+                w[w.index(str(70 + i))] = "98"
+            if kind == 2:
+                w = [x for k, x in enumerate(w) if k % 5]
+            if kind == 0:
+                want.add((len(docs), i))
+            docs.append("so " + " ".join(w) + " end")
+    got = found(spark, items, docs)
+    assert want <= got
+    assert {d for d, _ in got} <= {d for d, _ in want}
+
+
 def test_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + ITEM)], "doc_id long, text string")
