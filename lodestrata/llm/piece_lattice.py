@@ -12,15 +12,18 @@ UNKNOWN.  All steps are DataFrame operations.  BPE (scores are ranks): a path of
 ranks isn't what the library gives, so the fold merges the pair of the best rank again
 and again, the leftmost of equal ones, with the borders of a word as bits of one
 number.  Here the same steps (explode, equi-join, group, fold) run over the columns of a block
-in numpy, without a shuffle.  Words of more than MASK_BYTES bytes go to the library.
-A character without a piece stands for its bytes.
+in numpy, without a shuffle, WORDS_AT_ONCE distinct words at a time.  A word of more than
+MASK_BYTES bytes is folded by itself, its edges in a heap.  A character without a piece stands
+for its bytes.  Words and pieces that a hash brings together are compared byte by byte.
 
-Null and empty texts have no ids and decode to an empty text.  Repeated rows are each
+Null and empty texts have no ids and decode to an empty text.  The space mark of the
+model (U+2581) decodes to a space, so texts that hold it aren't given back.  Repeated rows are each
 encoded; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, sub_blocks, text_bytes
-from .suffix_dedup import gather
+from .common import distinct_spans, gather, head_bytes, prefix_hash, same_spans, span_hash, sub_blocks, text_bytes, trim
 
 #: Characters of a word at most, and spaces before it in the same word, for the best path.
 WORD_CHARS, WORD_SPACES = 240, 16
 #: Bytes of text of a block, about: on the way of joins, and in numpy.
-BLOCK_BYTES, COLUMN_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, COLUMN_BYTES = 8 << 20, 2 << 20
+#: Distinct words whose edges are in memory at once.
+WORDS_AT_ONCE = 40_000
 #: Bytes of the longest word whose borders one number holds.
 MASK_BYTES = 60
 #: Score of a character that no piece covers.
@@ -98,83 +102,128 @@ class Lattice:
     """Words of a block against the piece table, in columns."""
 
     def __init__(self, model_path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         p = self.pieces = Pieces.load(model_path)
-        raw = [x.replace(_MARK, " ").encode() for x in p.text]
+        names = [x.replace(_MARK, " ") for x in p.text]
+        raw = [x.encode() for x in names]
         size = np.array([len(x) for x in raw])
-        off = np.concatenate([[0], np.cumsum(size)])
-        key = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), off[:-1], off[1:])
-        rank, ids = -np.array(p.scores, np.int64), np.array(p.ids, np.int64)
-        #: The piece table by length in bytes: sorted keys, ids, ranks.
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        short = head_bytes(self.raw, self.off[:-1], size)
+        long = span_hash(prefix_hash(self.raw), self.off[:-1], self.off[1:])
+        self.rank, self.ids = -np.array(p.scores, np.int64), np.array(p.ids, np.int64)
+        self.by_name = {x: (-int(y), i) for x, y, i in zip(names, p.scores, p.ids, strict=True)}
+        #: The piece table by length in bytes: sorted keys (the bytes themselves up to 8 of them) and numbers of the pieces.
         self.by_size = {}
         for n in np.unique(size).tolist():
+            key = short if n <= 8 else long
             own = np.flatnonzero(size == n)
             own = own[np.argsort(key[own])]
-            self.by_size[n] = key[own], ids[own], rank[own]
-
-    def join(self, prefix: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of spans of one size: which are pieces, and their ids and ranks."""
-        keys, ids, rank = self.by_size[size]
-        own = span_hash(prefix, starts, starts + size)
+            if (key[own][1:] == key[own][:-1]).any():
+                raise ValueError("two pieces of one key")
+            self.by_size[n] = key[own], own
+
+    def join(self, text: np.ndarray, heads: np.ndarray, prefix: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of spans of one size: which are pieces, and numbers of those."""
+        keys, pieces = self.by_size[size]
+        own = heads[starts] & np.uint64((1 << 8 * size) - 1) if size <= 8 else span_hash(prefix, starts, starts + size)
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         hit = np.flatnonzero(keys[at] == own)
-        return hit, ids[at[hit]], rank[at[hit]]
+        found = pieces[at[hit]]
+        if size > 8:  # a hash: the bytes decide
+            right = same_spans(np.concatenate([text, self.raw]), starts[hit], len(text) + self.off[found], np.full(len(hit), size))
+            hit, found = hit[right], found[right]
+        return hit, found
 
     def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one behind the other, and the n+1 offsets."""
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(starts), WORDS_AT_ONCE):
+            got, size = self._encode_some(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE])
+            ids.append(got), sizes.append(size)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode_some(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = ends - starts
+        short = n <= MASK_BYTES
+        ids, sizes = self._encode_short(data, starts[short], n[short])
+        if short.all():
+            return ids, sizes
+        parts = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        words = [next(parts) if ok else self.encode_long(data[a:b].tobytes().decode()) for ok, a, b in zip(short.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+        return np.concatenate(words), np.array([len(x) for x in words], np.int64)
+
+    def _encode_short(self, data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         off = np.concatenate([[0], np.cumsum(n)])
         text = gather(data, starts, n)
         prefix = prefix_hash(text)
-        lead = (text & 0xC0) != 0x80
-        word = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(text)) - off[word]
-        short = n <= MASK_BYTES
+        heads = head_bytes(text, np.arange(len(text)), np.full(len(text), 8))
+        lead = np.flatnonzero((text & 0xC0) != 0x80)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)[lead]
+        place = lead - off[word]
         mask = np.zeros(len(n), np.uint64)
-        np.bitwise_or.at(mask, word[lead & short[word]], np.uint64(1) << place[lead & short[word]].astype(np.uint64))
-        mask[short] |= np.uint64(1) << n[short].astype(np.uint64)
+        np.bitwise_or.at(mask, word, np.uint64(1) << place.astype(np.uint64))
+        mask |= np.uint64(1) << n.astype(np.uint64)
         # Explode and join: substrings of each size that occurs in the table.
-        usable = np.flatnonzero(lead & short[word])
         found = []
+        left = n[word] - place
         for size in self.by_size:
             if size > 1:
-                s = usable[place[usable] + size <= n[word[usable]]]
-                if len(s):
-                    hit, _, rank = self.join(prefix, s, size)
-                    s = s[hit]
-                    found.append((word[s], rank << 16 | place[s] << 8 | (place[s] + size)))
+                use = np.flatnonzero(left >= size)
+                if len(use):
+                    hit, piece = self.join(text, heads, prefix, lead[use], size)
+                    hit = use[hit]
+                    found.append((word[hit], self.rank[piece] << 16 | place[hit] << 8 | (place[hit] + size)))
         if found:
             owner, code = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((code, owner))  # group by word, in order of rank
             merge_borders(mask, owner[order], code[order])
         # Segments between borders that are left.
-        w, at = np.nonzero((mask[:, None] >> np.arange(MASK_BYTES + 1, dtype=np.uint64)) & np.uint64(1))
+        bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        w, at = np.nonzero(bits)
         same = np.flatnonzero(w[1:] == w[:-1])
         w, begin, size = w[same], at[same] + off[w[same]], at[same + 1] - at[same]
         ids = np.full(len(w), -1, np.int64)
         for k in np.unique(size).tolist():
             own = np.flatnonzero(size == k)
             if k in self.by_size:
-                hit, got, _ = self.join(prefix, begin[own], k)
-                ids[own[hit]] = got
+                hit, piece = self.join(text, heads, prefix, begin[own], k)
+                ids[own[hit]] = self.ids[piece]
         count = np.where(ids >= 0, 1, size)
         out = np.repeat(ids, count)
         byte = np.repeat(begin, count) + np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
         out = np.where(out < 0, self.pieces.bytes[text[np.minimum(byte, len(text) - 1)]] if len(text) else out, out)
-        per_word = np.bincount(w, weights=count, minlength=len(n)).astype(np.int64)
-        if short.all():
-            return out, np.concatenate([[0], np.cumsum(per_word)])
-        parts = np.split(out, np.cumsum(per_word)[:-1])
-        for k in np.flatnonzero(~short).tolist():
-            parts[k] = np.array(self.by_library(text[off[k] : off[k + 1]].tobytes().decode()), np.int64)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-
-    def by_library(self, word: str) -> list[int]:
-        if word[0] == " " and len(word) > 1:
-            return self.model.encode(word[1:])
-        return self.model.encode("\n" + word)[2:]
+        return out, np.bincount(w, weights=count, minlength=len(n)).astype(np.int64)
+
+    def encode_long(self, word: str) -> np.ndarray:
+        """Ids of one word: the same fold over edges in a heap, for the pieces between borders."""
+        size, before = [1] * len(word), list(range(-1, len(word) - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def edge(i: int) -> None:
+            """The edge of the segment at i and the one behind it."""
+            j = i + size[i]
+            if j < len(word) and (piece := self.by_name.get(word[i : j + size[j]])):
+                heapq.heappush(heap, (piece[0], i, j + size[j]))
+
+        for i in range(len(word)):
+            edge(i)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = i + size[i]
+            if size[i] == 0 or j >= end or j + size[j] != end:
+                continue  # one of the two has merged since
+            size[i], size[j] = end - i, 0
+            if end < len(word):
+                before[end] = i
+            edge(i)
+            if i:
+                edge(before[i])
+        out, i = [], 0
+        while i < len(word):
+            piece = self.by_name.get(word[i : i + size[i]])
+            out += [piece[1]] if piece else self.pieces.bytes[list(word[i].encode())].tolist()
+            i += size[i]
+        return np.array(out, np.int64)
 
     def encode_texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and the n+1 offsets."""
@@ -190,7 +239,8 @@ class Lattice:
         edge[begin] = True
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], len(spaced)) if len(starts) else starts
-        _, first, which = np.unique(span_hash(prefix_hash(spaced), starts, ends), return_index=True, return_inverse=True)
+        del body, edge, lf
+        first, which = distinct_spans(spaced, starts, ends)
         ids, at = self.encode_words(spaced, starts[first], ends[first])
         got, size = concat_ranges(ids, at, which)
         count = np.zeros(len(off) - 1, np.int64)
@@ -245,14 +295,15 @@ def concat_ranges(values: np.ndarray, off: np.ndarray, which: np.ndarray) -> tup
     return values[np.arange(int(size.sum())) + np.repeat(off[which] - begin, size)], size
 
 
-def decode_ids(pieces: Pieces, ids: np.ndarray, sizes: Iterable[int]) -> list[bytes]:
+def decode_ids(pieces: Pieces, ids: np.ndarray, sizes: Iterable[int]) -> Iterator[bytes]:
     """Texts of sequences of ids that stand one behind the other."""
     raw = np.frombuffer(b"".join(pieces.plain), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(x) for x in pieces.plain])])
-    data, length = concat_ranges(raw, off, ids)
+    length = np.diff(off)[ids]
     ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(list(sizes))]).astype(np.int64)]
-    blob = data.tobytes()
-    return [blob[a:b][1:] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    blob = gather(raw, off[ids], length).tobytes()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield blob[min(a + 1, b) : b]
 
 
 _RESULT = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
@@ -266,29 +317,32 @@ def lattice_of(model_path: str) -> Lattice:
     return _workers[model_path]
 
 
-def _result(ids: list | pa.Array, bodies: list[bytes], got: np.ndarray, ends: np.ndarray, p: Pieces) -> pa.RecordBatch:
-    back = decode_ids(p, got, np.diff(ends))
+def _result(ids: list | pa.Array, bodies: Iterable[bytes], got: np.ndarray, ends: np.ndarray, p: Pieces) -> pa.RecordBatch:
     column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32)))
-    right = pa.array([a == b for a, b in zip(back, bodies, strict=True)], pa.bool_())
+    right = pa.array([a == b for a, b in zip(decode_ids(p, got, np.diff(ends)), bodies, strict=True)], pa.bool_())
     return pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()), pa.array(np.diff(ends)), column, right], ["doc_id", "n_pieces", "ids", "round_trip"])
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip (decoding gives the text back) for every row of docs(doc_id, text)."""
-    if not Pieces.load(model_path).merges:
-        return encode_best_path(docs, Pieces.load(model_path))
+    pieces = Pieces.load(model_path)
+    if not pieces.merges:
+        return encode_best_path(docs, pieces)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model_path)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             for i, j in sub_blocks(off, COLUMN_BYTES):
-                raw = data[off[i] : off[j]].tobytes()
-                at = off[i : j + 1] - off[i]
-                bodies = [raw[a:b].replace(_MARK.encode(), b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                text = np.frombuffer(b"".join(bodies), np.uint8)
-                got, ends = lattice.encode_texts(text, np.cumsum([0, *map(len, bodies)]))
-                yield _result(batch.column(0).slice(i, j - i), bodies, got, ends, lattice.pieces)
+                own, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                raw = own.tobytes()
+                if _MARK.encode() in raw:  # counts as a space
+                    texts = [raw[a:b].replace(_MARK.encode(), b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    got, ends = lattice.encode_texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+                else:
+                    got, ends = lattice.encode_texts(own, at)
+                yield _result(batch.column(0).slice(i, j - i), (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), got, ends, lattice.pieces)
+                trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, _RESULT)
 
@@ -321,8 +375,8 @@ def encode_best_path(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_B
         for row in texts.column("line").to_pylist():
             head, _, body = row.partition("\t")
             ids.append(int(head) if head else None)
-            body = body.replace(_MARK, " ")
             bodies.append(body.encode())
+            body = body.replace(_MARK, " ")
             for word in cut.findall(" " + body) if body else []:
                 for k in code.get(word) or range(-1, -len(word) - 1, -1):  # no edges: nothing but bare characters
                     got += [k] if k >= 0 else p.bytes[list(word[-k - 1].encode())].tolist()
