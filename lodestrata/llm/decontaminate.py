@@ -60,15 +60,17 @@ _TYPES = ("nup", "nupq")
 
 
 def canonical(text: Column) -> Column:
-    """Template of a text, one word for each word; a placeholder holds its type and value."""
+    """Template of a text, one word for each word; a placeholder holds its type and value.
+
+    All expressions begin at the space before a word: those that begin with a look-behind are tried at every character.
+    """
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{_OPEN}{_CLOSE}\t-\r\x1c-\x1f\x85]\s*+| \s++", " "))
-    t = F.regexp_replace(t, rf"(?<=\d )({units})(?=[\s.,;:!?)]|$)", f"{_OPEN}u:$1{_CLOSE}")
-    t = F.regexp_replace(t, rf"(?<!\S)(?=\S*?\d)([^\s{_OPEN}]++)", f"{_OPEN}n:$1{_CLOSE}")
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}},;{_CLOSE}] )(\p{{Lu}}\p{{Ll}}++)", f"{_OPEN}p:$1{_CLOSE}")
-    # A negative look-behind of a class in place of (?<!\S) makes the whole chain four times slower.
-    t = F.regexp_replace(t, r"(?<!\S)([\"'(\[]*+)(\p{Lu}\p{Ll}++)", f"$1{_OPEN}q:$2{_CLOSE}")
-    return F.lower(t)
+    t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), rf"[{_OPEN}{_CLOSE}\t-\r\x1c-\x1f\x85]\s*+| \s++", " ")
+    t = F.regexp_replace(t, rf"(\d )({units})(?=[ .,;:!?)]|$)", f"$1{_OPEN}u:$2{_CLOSE}")
+    t = F.regexp_replace(t, rf" (?=\S*?\d)([^ {_OPEN}]++)", f" {_OPEN}n:$1{_CLOSE}")
+    t = F.regexp_replace(t, rf" (?<=[\p{{Ll}},;{_CLOSE}] )(\p{{Lu}}\p{{Ll}}++)", f" {_OPEN}p:$1{_CLOSE}")
+    t = F.regexp_replace(t, r" ([\"'(\[]*+)(\p{Lu}\p{Ll}++)", f" $1{_OPEN}q:$2{_CLOSE}")
+    return F.lower(F.trim(t))
 
 
 def forms(text: Column) -> list[Column]:
@@ -91,14 +93,14 @@ def _seeded(form: int):
 
 
 def _join_at(a: str, b: str, shift: int) -> Column:
-    """Hashes of what two arrays of hashes stand for, b's `shift` words behind a's."""
-    n = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
-    return F.zip_with(F.slice(F.col(a), F.lit(1), n), F.slice(F.col(b), F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
+    """Hashes of what two arrays of hashes stand for, b's `shift` words behind a's; behind the last full window they mean nothing."""
+    return F.transform(a, lambda x, i: F.xxhash64(x, F.get(F.col(b), i + F.lit(shift))))
 
 
 def window_hashes(table: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """keys, n (words) and for each form k and length L an array h{L}_{k} of the hashes of all windows, in order.
+    """keys, n (words) and for each form k and length L an array h{L}_{k} of n hashes, of the window that begins at each word.
 
+    The last L-1 of them, which aren't whole, stand for no window.
     One projection for each step, so that no array is worked out twice; those who explode them
     do it with the outer form, for Spark else filters by the size of an array it would build anew.
     """
@@ -136,8 +138,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     hashed = window_hashes(sized, ["item", "item_id", "length", "words"], lengths)
     each = None
     for length, form in _asked(lengths):
-        own = hashed.where(F.col("length") == length).select("item", "item_id", "length", F.lit(form).alias("form"), "words", F.posexplode_outer(f"h{length}_{form}").alias("ipos", "h")).where("h is not null")
-        own = own.withColumn("win", F.array_join(F.slice("words", F.col("ipos") + 1, F.lit(length)), " ")).drop("words")
+        own = hashed.where(F.col("length") == length).select("item", "item_id", "length", F.lit(form).alias("form"), "words", "n", F.posexplode_outer(f"h{length}_{form}").alias("ipos", "h")).where((F.col("ipos") <= F.col("n") - length) & F.col("h").isNotNull())
+        own = own.withColumn("win", F.array_join(F.slice("words", F.col("ipos") + 1, F.lit(length)), " ")).drop("words", "n")
         literals = F.size(F.filter(F.split(forms(F.col("win"))[form], " "), lambda w: ~w.startswith("<")))
         own = own.withColumn("use", F.lit(True) if form == 2 else literals >= min(MIN_LITERALS, length - 2))
         each = own if each is None else each.unionAll(own)
@@ -157,11 +159,11 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     hashed = window_hashes(docs, ["doc_id", "digest"], lengths)
     flat = hashed.select("doc_id", "digest", "n", F.posexplode_outer(F.concat(*(F.col(f"h{x}_{k}") for x, k in asked))).alias("at", "h"))
     met = flat.join(_small(items.select("item", "ipos", "form", "length", "h")), "h")
-    begin, first = F.lit(0), F.lit(0)
-    for x, k in asked:
-        first = F.when((F.col("length") == x) & (F.col("form") == k), begin).otherwise(first)
-        begin = begin + F.greatest(F.col("n") - (x - 1), F.lit(0))
-    return met.select("doc_id", "digest", "item", "ipos", "form", "length", (F.col("at") - first).alias("pos"))
+    arrays = F.lit(0)  # before that of the item's length and form
+    for number, (x, k) in enumerate(asked):
+        arrays = F.when((F.col("length") == x) & (F.col("form") == k), F.lit(number)).otherwise(arrays)
+    met = met.withColumn("pos", F.col("at") - arrays * F.col("n"))
+    return met.where("pos between 0 and n - length").select("doc_id", "digest", "item", "ipos", "form", "length", "pos")
 
 
 def _same_doc(a: DataFrame, b: DataFrame) -> Column:
