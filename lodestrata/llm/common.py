@@ -78,6 +78,14 @@ def trim() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have (Spark's names don't tell case apart)."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod; null gives -1."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(mod), F.lit(-1))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Words of a template window.
 WINDOW = 8
@@ -230,6 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    held = materialise(_contaminated(docs, benchmark, window).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct(), "benchmark-held")
-    held = _small(held)
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held["_digest"]), "left_anti")
+    doc, digest = fresh("_doc", docs), fresh("_digest", docs)
+    held = _contaminated(docs, benchmark, window).select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct()
+    held = _small(materialise(held, "benchmark-held"))
+    return docs.join(held, docs["doc_id"].eqNullSafe(held[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held[digest]), "left_anti")

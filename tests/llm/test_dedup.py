@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import exact_dedup, ngram_join, suffix_dedup
 from lodestrata.llm.components import components
@@ -38,6 +39,26 @@ def test_exact_dedup_odd_cases(spark, bits, capacity):
     assert Counter(t.translate(LOWER) for _, t in rows_of(rows)) == Counter(groups.keys())
 
 
+def test_exact_dedup_rows_of_one_doc_id(spark):
+    docs = spark.createDataFrame([(5, "Abc", 1), (5, "aBC", 2), (5, "other", 3), (5, "other", 4), (4, "abc", 5), (None, "x", 6), (None, "X", 7), (None, "abc", 8)], "doc_id long, text string, _number int")
+    for how in ({}, {"hash_bits": 1, "capacity": 1}):
+        rows = exact_dedup.exact_dedup_rows(docs, **how)
+        assert rows.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in rows.collect()) == [(0, "x"), (5, "abc"), (5, "other")]
+        assert exact_dedup.exact_dedup(docs, **how).where("kept").count() == 3
+
+
+def test_lookups_go_through_the_directory(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string")
+    index = exact_dedup.Index(docs, capacity=20, depth=8)
+    cells = index.cells.collect()
+    assert max(r["entries"] for r in cells) <= 20 and {r["local_depth"] for r in cells} - {0}
+    assert index.chains.count() == 700
+    index.cells = index.cells.withColumn("bucket", F.col("bucket") + 1000)  # a directory that names other buckets finds nothing
+    rows = index.addressed(docs.withColumn("body", F.col("text")), "body").withColumns({"text_sha256": F.sha2("body", 256), "n_bytes": F.octet_length("body").cast("long")})
+    assert index.lookup(rows).count() == 0
+
+
 def test_directory_splits_overfull_buckets(spark):
     entries = spark.range(4096).selectExpr("shiftleft(id, 52) AS h")
     d = exact_dedup.directory(entries, capacity=100, depth=8).collect()
@@ -88,6 +109,27 @@ def test_ngram_join_against_brute_force(spark):
     assert sorted(set(left)) == sorted({c for c, _ in out.values()})
 
 
+def test_ngram_join_by_sets_not_by_ids(spark):
+    """Texts without a doc_id, and two texts under one, keep their links."""
+    base = [f"w{k}" for k in range(60)]
+
+    def near(k):
+        w = list(base)
+        w[k] = "changed"
+        return " ".join(w)
+
+    first, middle, last = near(0), " ".join(base), near(59)
+    other = "quite another text under the same number as one of these"
+    for ids in ((1, 2, 9), (1, None, 9), (None, None, None)):
+        for extra in ([], [(9, other)], [(9, other), (9, other), (None, "more")]):
+            rows = list(zip(ids, (first, middle, last), strict=True)) + extra
+            out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert sorted(r["n_links"] for r in out) == [0] * len(extra) + [2, 2, 2]
+            assert sum(r["class_id"] == min((i for i in ids if i is not None), default=None) and r["n_links"] == 2 for r in out) == 3
+            left = ngram_join.ngram_join_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert sum(r["text"] in (first, middle, last) for r in left) == 1 and len(left) == 1 + len(extra)
+
+
 def test_ngram_join_null_id_and_large_group(spark, monkeypatch):
     assert ngram_join.ngram_join(odd_docs(spark)).where("doc_id is null").count() == 1
     monkeypatch.setattr(ngram_join, "BLOCK", 16)

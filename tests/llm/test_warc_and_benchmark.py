@@ -10,7 +10,7 @@ from .conftest import odd_docs
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 300)
     monkeypatch.setattr(warc, "BUNDLE_BYTES", 700)
-    rows = [(i, f"http://x/{i}", f"<p>{i % 7} é</p>" * (i % 5)) for i in range(60)] + [(100, None, None), (101, "a\r\nb", ""), (None, "u", "<p>3 é</p>"), (5, "http://x/5", "<p>5 é</p>" * 0), (102, "u", "only once"), (102, "u", "only once"), (103, "u", "\r\n\r\nWARC/1.1\r\n\r\n")]
+    rows = [(i, f"http://x/{i}", f"<p>{i % 7} é</p>" * (i % 5)) for i in range(60)] + [(100, None, None), (101, "a\r\nb", ""), (None, "u", "<p>3 é</p>"), (5, "http://x/5", "<p>5 é</p>" * 0), (5, "http://x/5", "other"), (None, "v", "none"), (None, "v", "none2"), (102, "u", "only once"), (102, "u", "only once"), (103, "u", "\r\n\r\nWARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, n int, sha1 string")
     folder, index, records = warc.archive(pages, str(tmp_path / "w"))
     got = records.collect()
@@ -18,6 +18,7 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     for i, _, h in rows:
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
+    first |= {h: None for i, _, h in rows if i is None and h not in first}
     assert len(got) == len(rows) and index.count() == len(rows)
     assert len({r["record_id"] for r in got}) == len(rows)
     for r in got:
@@ -31,6 +32,11 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     for r in index.collect()[:20]:
         record = warc.read_record(folder, r["bundle"], r["frame"], r["offset"], r["length"])
         assert f"WARC-Record-ID: <{r['record_id']}>".encode() in record
+    ids = {r["record_id"] for r in got}
+    for r in got:
+        if r["record_type"] == "revisit":
+            head = warc.read_record(folder, r["bundle"], r["frame"], r["offset"], r["length"]).decode().split("\r\n\r\n")[0]
+            assert re.search("WARC-Refers-To: <(.*)>", head)[1] in ids - {r["record_id"]}
     assert warc.archive(pages.where("false"))[2].count() == 0
     small = warc.archive(pages, str(tmp_path / "v"), min_revisit_bytes=10)[2]
     assert small.where("payload_bytes < 10 and record_type = 'revisit'").count() == 0
