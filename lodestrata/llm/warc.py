@@ -15,7 +15,8 @@ Of records with equal payloads that of the smallest page_id is the response and
 the others are revisits that refer to it, without a payload; payloads of less
 than `min_revisit_bytes` are always stored.  Null html is an empty payload.
 Repeated rows (same page_id, same html) are records of their own: the first is
-stored, the others revisit it.  A null page_id is kept as null; it is the
+stored, the others revisit it.  One page_id with different html gives records of different
+identifiers.  A null page_id is kept as null; it is the
 response only where no other row has the payload.  Line ends in a url are
 percent-coded, a null url is left out.  An empty table gives no bundles and an empty
 result; other columns are ignored.
@@ -142,8 +143,9 @@ def _page_of(record_id: str) -> int | None:
     return None if part == "null" else int(part)
 
 
-def _urn(page_id: int | None, rest: str = "") -> str:
-    return f"urn:x-page:{'null' if page_id is None else page_id}{rest}"
+def _urn(page_id: int | None, digest: str, time: int = 1) -> str:
+    """Identifier of a record: its page, its payload, and its number among repeated rows of both."""
+    return f"urn:x-page:{'null' if page_id is None else page_id}:{digest}" + (f":{time}" if time > 1 else "")
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -189,8 +191,8 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
             for page_id, url, html, sha1, first_id, time, may in zip(*(c if i == 2 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
                 payload = html.as_buffer().to_pybytes()
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                record_id = _urn(page_id, f":{time}" if time > 1 else "")
-                refers = _urn(first_id) if first_id is not None else _urn(page_id) if time > 1 and may else None
+                record_id = _urn(page_id, digest, time)
+                refers = _urn(first_id, digest) if first_id is not None else _urn(page_id, digest) if time > 1 and may else None
                 record = warc_record(record_id, url, digest, payload, refers)
                 frame, offset = bundle.add(record)
                 rows.append((record_id, page_id, frame, offset, len(record)))
