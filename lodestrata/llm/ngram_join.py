@@ -19,10 +19,14 @@ Texts with one set make one node; similarity is the sets' Jaccard index.
    groups again in pairs of blocks; each pair is looked at once.  Tasks return
    numbers of links and spanning links, never all pairs.
 
+Words and shingles are compared by 64-bit keys (a word of less than 8 bytes is its own key, a longer
+one takes a cryptographic digest), sets by 128 bits and their size.
+
 Null and empty texts have no shingle, no links, and each distinct doc_id is a class of its
-own.  A null doc_id is never a class's name unless nothing else is in the class.  Repeated
-rows are each returned.  An empty table gives an empty result, other columns
-are ignored.
+own.  Sets are told apart by themselves, not by doc_id, so texts without a doc_id or under one
+doc_id keep their links; a class is named after its smallest doc_id, and has the name null only if
+none of its texts has one.  Repeated rows are each returned.  An empty table gives an empty
+result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialise, mix64, prefix_hash, span_hash, sub_blocks, text_bytes, word_spans
+from .common import LOWER_AZ, distinct_spans, fresh, materialise, mix64, span_keys, sub_blocks, text_bytes, word_spans
 from .components import components
 
 #: Words of a shingle and least similarity.
@@ -62,7 +66,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple
     starts, ends, doc = word_spans(data, off)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    w = span_hash(prefix_hash(data), starts, ends)
+    first, which = distinct_spans(data, starts, ends)
+    key, check = span_keys(data, starts[first], ends[first])
+    w = mix64(key ^ check)[which]
     h, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(w) >= words:
         h = np.zeros(len(w) - words + 1, np.uint64)
@@ -88,8 +94,18 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple
     return h, np.searchsorted(own, np.arange(n + 1))
 
 
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), _digest(text).alias("digest"))
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, s1, s2 (hash of the set), n (shingles), tokens (sampled, 4 bytes each)."""
+    """doc_id, digest (of the text), s1, s2 (hash of the set), n (shingles), tokens (sampled, 4 bytes each)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +126,9 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
             raw = np.concatenate(out).tobytes() if out else b""
             tokens = pa.Array.from_buffers(pa.binary(4 * TOKENS), len(batch), [None, pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join(s1, np.uint64).view(np.int64)), pa.array(join(s2, np.uint64).view(np.int64)), pa.array(join(size, np.int64)), tokens], ["doc_id", "s1", "s2", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(join(s1, np.uint64).view(np.int64)), pa.array(join(s2, np.uint64).view(np.int64)), pa.array(join(size, np.int64)), tokens], ["doc_id", "digest", "s1", "s2", "n", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, s1 long, s2 long, n long, tokens binary")
+    return _digested(docs).mapInArrow(work, "doc_id long, digest long, s1 long, s2 long, n long, tokens binary")
 
 
 def _token_key(parent, level: int, run: int):
@@ -292,26 +308,23 @@ def _exact_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None
     return work
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, rep_id, n_links for every row of docs(doc_id, text).
-
-    Classes are what links connect, named after their smallest doc_id; rep_id is
-    the smallest doc_id of an equal set; n_links counts the other sets of similarity
-    >= threshold.
-    """
+def _classes(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
+    """doc_id, digest (of the text), class_id, class_digest, rep_id, n_links for every row; class_id and class_digest name the document that stands for the class."""
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     if runs > TOKENS:
         raise ValueError(f"a recall of {recall} at {threshold} takes more than {TOKENS} runs")
     rows = materialise(signatures(docs, words), "ngram-signatures")
-    # Equal sets have equal tokens.
-    nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens")).where("node is not null")
-    nodes = materialise(nodes, "ngram-nodes")
+    # Equal sets have equal tokens.  The smallest doc_id stands for a set, a null one only if there is no other.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
+    nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(first, F.first("tokens").alias("tokens"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")  # the numbers stay
     groups = components(alike_links(nodes.select("node", "tokens"), runs))
 
-    members = groups.withColumnRenamed("node", "doc_id").join(nodes.select(F.col("node").alias("doc_id"), "s1", "s2", "n"), "doc_id")
+    members = groups.join(nodes.select("node", "s1", "n", "rep.doc_id", "rep.digest"), "node")
     weight = members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("long").alias("blocks"))
     members = members.join(weight, "component")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id")
+    texts = _digested(docs)
+    texts = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["digest"] == members["digest"]))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,24 +336,39 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
                 for k in range(j - i):
                     own = h[at[k] : at[k + 1]]
                     out.append(own.tobytes())
-                    right.append(mix64(own ^ _PLACES[40]).sum(dtype=np.uint64).astype(np.int64) == s1[i + k])  # not another text of the same doc_id
+                    right.append(mix64(own ^ _PLACES[40]).sum(dtype=np.uint64).astype(np.int64) == s1[i + k])  # not another text of the same digest
             keep = pa.array(np.array(right, bool))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(3), pa.array(out, pa.binary())], ["component", "node", "blocks", "shingles"]).filter(keep)
 
-    texts = texts.select("doc_id", "text", "component", "blocks", "s1").mapInArrow(sets, "component long, node long, blocks long, shingles binary")
+    texts = texts.select("node", "text", "component", "blocks", "s1").mapInArrow(sets, "component long, node long, blocks long, shingles binary")
     dealt = block_pairs(texts, "component", F.col("blocks"), "node").select("component", "bi", "bj", "block", "node", "shingles")
     dealt = dealt.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     found = materialise(dealt.mapInArrow(by_group(["component", "bi", "bj"], _exact_links(threshold)), "a long, b long, links long"), "ngram-links")
 
     classes = components(found.where("b is not null").select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    named = nodes.select("s1", "s2", "n", "node").join(classes, "node", "left").join(links, "node", "left")
-    out = rows.select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
-    rep = F.coalesce("node", "doc_id")
-    return out.select("doc_id", F.coalesce("component", rep).alias("class_id"), rep.alias("rep_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    linked = materialise(nodes.select("node", "rep").join(classes, "node").join(links, "node", "left"), "ngram-classes")
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    named = nodes.select("s1", "s2", "n", "node", "rep").join(linked.join(names, "component").select("node", "name", "n_links"), "node", "left")
+    out = rows.select("doc_id", "digest", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    out = out.withColumn("rep", F.coalesce("rep", own)).withColumn("name", F.coalesce("name", "rep"))
+    return out.select("doc_id", "digest", F.col("name.doc_id").alias("class_id"), F.col("name.digest").alias("class_digest"), F.col("rep.doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, rep_id, n_links for every row of docs(doc_id, text).
+
+    Classes are what links connect, named after their smallest doc_id; rep_id is
+    the smallest doc_id of an equal set; n_links counts the other sets of similarity
+    >= threshold.
+    """
+    return _classes(docs, words, threshold, recall).select("doc_id", "class_id", "rep_id", "n_links")
 
 
-def ngram_join_rows(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without all but the smallest doc_id of each class."""
-    away = ngram_join(docs, words, threshold).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(away, docs["doc_id"] == away["doc_id"], "left_anti").select(docs.columns)
+def ngram_join_rows(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of docs without all but one of each class, the smallest doc_id; repeated rows of that one all stay."""
+    away = _classes(docs, words, threshold, recall).where("not (doc_id <=> class_id and digest = class_digest)").select("doc_id", "digest").distinct()
+    doc, digest = fresh("_doc", docs), fresh("_digest", docs)
+    away = materialise(away.toDF(doc, digest), "ngram-away")
+    return docs.join(away, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_digest(F.col("text").cast("string")) == F.col(digest)), "left_anti")
