@@ -2,8 +2,8 @@
 
 Training counts the hashed n-grams of the labelled texts, by executor and by
 language, adds them up in Spark and keeps one log-probability matrix of
-(languages x buckets), whose size depends on the parameters alone; it is
-broadcast.  Scoring hashes each text sparsely in numpy and adds up matrix
+(languages x buckets) of MATRIX_CELLS cells at most: with very many languages there
+are less buckets, down to one for each, and no language is left out; it is broadcast.  Scoring hashes each text sparsely in numpy and adds up matrix
 columns; memory is bounded by a batch.
 
 Training reads at most about `per_language` texts of each language, drawn by
@@ -31,8 +31,8 @@ PER_LANGUAGE = 20_000
 BUCKET_BITS = 16
 #: Lengths of the n-grams, in characters.
 LENGTHS = (1, 2, 3)
-#: Languages at most: the matrix is broadcast and must have a bound.
-MAX_LANGUAGES = 512
+#: Cells of the matrix, which is broadcast and must have a bound: 256 languages have all buckets.
+MATRIX_CELLS = 1 << 24
 
 _FOLD = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -80,18 +80,18 @@ def ngram_buckets(points: np.ndarray, at: np.ndarray, bits: int, lengths: tuple[
 def train(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, bits: int = BUCKET_BITS, lengths: tuple[int, ...] = LENGTHS) -> Model:
     """Learn from docs(doc_id, text, lang) where `where` holds and text and lang aren't null."""
     rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MATRIX_CELLS + 1).collect()}
+    if len(sizes) > MATRIX_CELLS:
+        raise ValueError("lang holds something else than languages")
+    while bits and len(sizes) << bits > MATRIX_CELLS:
+        bits -= 1
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits, lengths)
     if per_language:
         draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30))
-        share = F.lit(0)
-        for k, n in sizes.items():
-            share = F.when(F.col("lang") == k, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(share)
-        rows = rows.where(draw < share)
+        shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, per_language / n) * (1 << 30))) for k, n in sizes.items()], "lang string, share long")
+        rows = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language
     place = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,9 @@ into a probability; beside it stands the compression ratio, which the same two
 sizes give.
 
 Fitting reads at most `per_class` labelled texts of each class, drawn by a hash
-of doc_id; half go to the dictionaries, half to the curve.  A doc_id with more
+of doc_id; half go to the dictionaries, half to the curve.  A dictionary has room for DICTIONARY_BYTES
+(zstandard finds nothing much farther away), so its texts give it equal shares, each from its middle; the curve's texts are
+read whole, where they are, and give two numbers each.  A doc_id with more
 labels counts as bad if one of them is.  Null and empty texts get the score
 that the curve gives to the mean of all signals.  Without labels of both classes every text gets
 the share of good labels (1 without any).  Repeated rows are each scored by
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 
 #: Labelled texts of each class that fitting reads at most.
 PER_CLASS = 2_000
@@ -70,14 +72,6 @@ class Sizes:
         return (bad - good) / max(1, bad + good), (bad + good) / max(1, 2 * len(text))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Equal shares of the texts, the last the nearest to what is compressed."""
-    if not texts:
-        return b""
-    share = max(64, DICTIONARY_BYTES // len(texts))
-    return b"\n".join(t[(len(t) - share) // 2 :][:share] if len(t) > share else t for t in texts)[-DICTIONARY_BYTES:]
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a constant and each column, by Newton's method."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -91,6 +85,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
     return w
 
 
+def _dictionary(rows: DataFrame, n: int) -> bytes:
+    """Equal shares of n texts in all, a stretch of each, one behind the other in the order of a hash."""
+    share = max(64, DICTIONARY_BYTES // n)
+    from_ = F.greatest(F.floor((F.char_length("text") - share) / 2).cast("int"), F.lit(0)) + 1
+    parts = rows.select(F.substring(F.col("text"), from_, F.lit(share)).alias("part"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("at"), "doc_id").orderBy("at", "doc_id").collect()
+    return b"\n".join(r["part"].encode() for r in parts)[-DICTIONARY_BYTES:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = PER_CLASS) -> Model:
     """Learn labels.quality from docs where `where` (over doc_id) holds."""
     marks = labels.where(where & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -102,17 +104,25 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = PER_
         drawn = own if drawn is None else drawn.unionAll(own)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # 2 x per_class rows at most, so the broadcast has a bound; a repeated doc_id counts once.
-    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r["doc_id"]))
-    by = {k: [r["text"].encode() for r in rows if r["quality"] == k and r["text"]] for k in (0, 1)}
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).where("text != ''")
+    rows = materialise(rows.withColumn("curve", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(2)) == 1), "quality-sample")
+    parts = {(r["quality"], r["curve"]): r["n"] for r in rows.groupBy("quality", "curve").agg(F.count(F.lit(1)).alias("n")).collect()}
     neutral = n.get(1, 0) / max(1, sum(n.values())) if n else 1.0
     flat = Model(b"", b"", np.array([np.log((neutral + 1e-6) / (1 - neutral + 1e-6)), 0.0, 0.0]), np.zeros(2), np.ones(2))
-    if min(len(by[0]), len(by[1])) < 4:
+    if min(parts.get((k, c), 0) for k in (0, 1) for c in (False, True)) < 2:
         return flat
-    good, bad = (_dictionary(by[k][::2]) for k in (1, 0))
-    sizes = Sizes(good, bad)
-    x = np.array([sizes.features(t) for k in (1, 0) for t in by[k][1::2]])
-    y = np.repeat([1.0, 0.0], [len(by[1][1::2]), len(by[0][1::2])])
+    good, bad = (_dictionary(rows.where((F.col("quality") == k) & ~F.col("curve")), parts[k, False]) for k in (1, 0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(good, bad)
+        for batch in batches:
+            x = np.array([sizes.features(t.as_py().encode()) for t in batch.column(2)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "quality", "a", "b"])
+
+    # At most per_class rows of each class, two numbers in each.
+    curve = rows.where("curve").select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(measure, "doc_id long, quality int, a double, b double").orderBy("quality", "doc_id").toArrow()
+    x = np.column_stack([curve.column("a").to_numpy(), curve.column("b").to_numpy()])
+    y = curve.column("quality").to_numpy().astype(float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = fit_logistic((x - mean) / scale, y)
     # The classes were drawn apart: move the constant to their true shares.
@@ -120,8 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = PER_
     return Model(good, bad, w, mean, scale)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs(text, ...) and `score`."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs(text, ...) and the score under that name, in place of one that was there."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -136,7 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for i in np.flatnonzero(np.diff(off)).tolist():
                     x[i] = sizes.features(raw[off[i] : off[i + 1]])
             p = 1 / (1 + np.exp(-np.clip(m.weights[0] + (x - m.mean) / m.scale @ m.weights[1:], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score"), "score double"])
-    return docs.drop("score").mapInArrow(work, schema) if "score" not in docs.columns else score(docs.drop("score"), model)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} double"])
+    return docs.mapInArrow(work, schema)

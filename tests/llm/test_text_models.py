@@ -248,6 +248,60 @@ def test_language_id(spark):
     assert language_id.predict(docs.where("false"), model).count() == 0
 
 
+def slow_language(model, text):
+    """Posterior of one text, n-gram by n-gram."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    chars = [c.lower() if ord(c) < 0x250 and len(c.lower()) == 1 else c for c in text]
+    total = model.prior.astype(float).copy()
+    m = (1 << 64) - 1
+    for n in model.lengths:
+        for k in range(len(chars) - n + 1):
+            h = n * 0x9E3779B97F4A7C15 & m
+            for c in chars[k : k + n]:
+                h = (h ^ ord(c)) * 0x9FB21C651E98DF25 & m
+                h ^= h >> 29
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                h = (h ^ h >> shift) * factor & m
+            total += model.log_probability[h >> 64 - model.bits]
+    best = int(total.argmax())
+    return model.languages[best], 1 / np.exp(total - total[best]).sum()
+
+
+def test_language_id_against_brute_force(spark):
+    docs = corpus(spark, 60)
+    model = language_id.train(docs, F.lit(True))
+    # Training: every n-gram of every text counted by hand, for the most frequent letter.
+    texts = [t for t in odd_texts(60) if "▁" not in t] + ["the thing ought", "über schön", "où été ça", None, "12 ."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.predict(frame, model).collect():
+        lang, p = slow_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(p, rel=1e-4), repr(texts[r["doc_id"]])
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MATRIX_CELLS", 1 << 12)
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 9} {chr(97 + i // 26 % 26) * 9}", f"l{i}") for i in range(600)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.languages) == 600 and model.log_probability.size <= 1 << 12
+
+
+def test_quality_against_brute_force(spark):
+    import zstandard
+
+    docs = corpus(spark)
+    model = quality.fit(docs, docs.select("doc_id", "quality"), F.lit(True))
+    assert 0 < len(model.good) <= quality.DICTIONARY_BYTES and 0 < len(model.bad) <= quality.DICTIONARY_BYTES
+    by = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.good, model.bad)]
+    texts = ["the and thing ought " * 700, "THE!! AND!! ", "", None, "où été"]
+    for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        good, bad = (sum(len(c.compress(raw[k : k + 4096])) - 6 for k in range(0, len(raw), 4096)) for c in by)
+        x = [(bad - good) / (bad + good), (bad + good) / (2 * len(raw))] if raw else model.mean
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_quality(spark):
     docs = corpus(spark)
     labels = docs.select("doc_id", "quality").unionAll(spark.createDataFrame([(None, 1), (1, None), (99999, 0)], "doc_id long, quality int"))
