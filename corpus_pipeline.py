@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, exact_dedup, ngram_join, piece_lattice, quality
-from lodestrata.llm.common import crc_mod, materialise, read_table
+from lodestrata.llm.common import crc_mod, fresh, materialise, read_table
 from lodestrata.llm.queries import tokenizer
 
 #: Documents of a lower score than this go.
@@ -21,7 +21,8 @@ MIN_QUALITY = 0.7
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from three quarters of the labels."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~crc_mod("doc_id", 4).eqNullSafe(2))
-    return quality.score(docs, model).where(F.col("score") >= MIN_QUALITY).select(docs.columns)
+    name = fresh("_quality", docs)  # docs may have a score of its own
+    return quality.score(docs, model, name).where(F.col(name) >= MIN_QUALITY).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
