@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_blocks, text_bytes, trim
+from .common import ARROW_BYTES, in_batches, sub_blocks, text_bytes, trim
 
-#: Bytes of text of a block, about.
-PACK_BYTES = 6 << 20
+#: Bytes of text of a block, about: an Arrow batch.
+PACK_BYTES = ARROW_BYTES
 
 SCHEMA = "blk long, doc_ids array<long>, flags array<boolean>, sizes array<int>, body binary"
 
@@ -61,14 +61,15 @@ def pack(docs: DataFrame, flag: Column) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            for i, j in sub_blocks(off, PACK_BYTES):
+            # Equal parts, not one of PACK_BYTES and a rest.
+            for i, j in sub_blocks(off, -(-len(data) // max(1, round(len(data) / PACK_BYTES)))):
                 part = batch.slice(i, j - i)
                 sizes = pa.array(np.diff(off[i : j + 1]).astype(np.int32))
                 body = pa.array([squeeze.compress(data[off[i] : off[j]].tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(lists(x, [0, j - i]) for x in (part.column(0), part.column(2), sizes)), body], ["blk", "doc_ids", "flags", "sizes", "body"])
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(flag, F.lit(False))).mapInArrow(work, SCHEMA)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(flag, F.lit(False))).mapInArrow(work, SCHEMA)
 
 
 def unpack(sizes: pa.Scalar, body: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:

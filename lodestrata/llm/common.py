@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: A sub-block of a batch that one numpy pass works on, in bytes of text.
 BLOCK_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch at most, about (else it is bounded by 10,000 rows alone, of any length).
+ARROW_BYTES = 6 << 20
+
 #: Odd multiplier of the polynomial text hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -30,6 +33,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches (and all later ones of its session) are bounded in bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 

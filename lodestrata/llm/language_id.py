@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sub_blocks, text_bytes
+from .common import in_batches, mix64, sub_blocks, text_bytes
 
 #: Texts of each language that training reads, about.
 PER_LANGUAGE = 20_000
@@ -79,7 +79,7 @@ def ngram_buckets(points: np.ndarray, at: np.ndarray, bits: int, lengths: tuple[
 
 def train(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, bits: int = BUCKET_BITS, lengths: tuple[int, ...] = LENGTHS) -> Model:
     """Learn from docs(doc_id, text, lang) where `where` holds and text and lang aren't null."""
-    rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = in_batches(docs).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MATRIX_CELLS + 1).collect()}
     if len(sizes) > MATRIX_CELLS:
         raise ValueError("lang holds something else than languages")
@@ -134,7 +134,7 @@ def score_strings(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.n
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = in_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, distinct_spans, fresh, materialise, mix64, span_keys, sub_blocks, text_bytes, word_spans
+from .common import LOWER_AZ, distinct_spans, fresh, in_batches, materialise, mix64, span_keys, sub_blocks, text_bytes, word_spans
 from .components import components
 
 #: Words of a shingle and least similarity.
@@ -101,7 +101,7 @@ def _digest(text: Column) -> Column:
 def _digested(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), _digest(text).alias("digest"))
+    return in_batches(docs).select(F.col("doc_id").cast("long"), text.alias("text"), _digest(text).alias("digest"))
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:

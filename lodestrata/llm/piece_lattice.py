@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_spans, gather, head_bytes, prefix_hash, same_spans, span_hash, sub_blocks, text_bytes, trim
+from .common import distinct_spans, gather, head_bytes, in_batches, prefix_hash, same_spans, span_hash, sub_blocks, text_bytes, trim
 
 #: Characters of a word at most, and spaces before it in the same word, for the best path.
 WORD_CHARS, WORD_SPACES = 240, 16
 #: Bytes of text of a block, about: on the way of joins, and in numpy.
-BLOCK_BYTES, COLUMN_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, COLUMN_BYTES = 8 << 20, 1 << 20
 #: Distinct words whose edges are in memory at once.
-WORDS_AT_ONCE = 40_000
+WORDS_AT_ONCE = 20_000
 #: Bytes of the longest word whose borders one number holds.
 MASK_BYTES = 60
 #: Score of a character that no piece covers.
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 yield _result(batch.column(0).slice(i, j - i), (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), got, ends, lattice.pieces)
                 trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, _RESULT)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, _RESULT)
 
 
 def encode_best_path(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:

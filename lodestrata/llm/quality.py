@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import in_batches, materialise, text_bytes
 
 #: Labelled texts of each class that fitting reads at most.
 PER_CLASS = 2_000
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = PER_
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of docs(text, ...) and the score under that name, in place of one that was there."""
-    docs = docs.drop(name)
+    docs = in_batches(docs).drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

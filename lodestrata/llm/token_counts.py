@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_spans, sub_blocks, text_bytes
+from .common import distinct_spans, in_batches, sub_blocks, text_bytes
 
 #: Transitions that a worker keeps at most.
 MAX_TRANSITIONS = 250_000
@@ -270,7 +270,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk_byte
             data, off = text_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(count_batch(tr, data, off))], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = in_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     long = F.octet_length("text") > max(1, chunk_bytes)
     out = rows.where(~long).mapInArrow(work, _COUNTS).unionAll(count_long(rows.where(long), model_path, max(1, chunk_bytes)))
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

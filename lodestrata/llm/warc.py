@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir
+from .common import in_batches, materialise, scratch_dir
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
@@ -202,7 +202,7 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
         if rows:
             yield close()
 
-    return materialise(plan_records(pages, min_revisit_bytes).mapInArrow(work, INDEX), "warc-index")
+    return materialise(plan_records(in_batches(pages), min_revisit_bytes).mapInArrow(work, INDEX), "warc-index")
 
 
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
