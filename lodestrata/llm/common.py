@@ -215,20 +215,21 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key (64 bits) and check (32 bits) of each span, which together stand for its bytes.
+    """Key and check (64 bits each) of each span, which together stand for its bytes.
 
-    Spans of less than 8 bytes are their own key, longer ones take 96 bits of a cryptographic digest.
+    Spans of less than 16 bytes are the two numbers themselves, longer ones take 120 bits of a cryptographic digest.
     """
     sizes = ends - starts
-    key = head_bytes(data, starts, sizes)
-    check = sizes.astype(np.uint64)
-    for k in np.flatnonzero(sizes >= 8).tolist():
-        key[k], check[k] = _DIGEST.unpack(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=12).digest())
-    check[sizes >= 8] |= np.uint64(1 << 31)
+    key, check = head_bytes(data, starts, sizes), np.zeros(len(sizes), np.uint64)
+    more = np.flatnonzero((sizes > 8) & (sizes < 16))
+    check[more] = head_bytes(data, starts[more] + 8, sizes[more] - 8)
+    for k in np.flatnonzero(sizes >= 16).tolist():
+        key[k], check[k] = _DIGEST.unpack(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=15).digest() + b"\0")
+    check |= np.minimum(sizes, 16).astype(np.uint64) << np.uint64(56)
     return mix64(key), check
 
 
-_DIGEST = struct.Struct("<QI")
+_DIGEST = struct.Struct("<QQ")
 
 #: Lower-casing of A-Z only, as a table over bytes.
 LOWER_AZ = np.arange(256, dtype=np.uint8)

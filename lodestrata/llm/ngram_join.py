@@ -19,8 +19,8 @@ Texts with one set make one node; similarity is the sets' Jaccard index.
    groups again in pairs of blocks; each pair is looked at once.  Tasks return
    numbers of links and spanning links, never all pairs.
 
-Words and shingles are compared by 64-bit keys (a word of less than 8 bytes is its own key, a longer
-one takes a cryptographic digest), sets by 128 bits and their size.
+Words and shingles are compared by 64-bit keys (a scramble of the bytes of words of less than 16 bytes, a
+cryptographic digest of longer ones), sets by 128 bits and their size.
 
 Null and empty texts have no shingle, no links, and each distinct doc_id is a class of its
 own.  Sets are told apart by themselves, not by doc_id, so texts without a doc_id or under one
@@ -68,7 +68,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     first, which = distinct_spans(data, starts, ends)
     key, check = span_keys(data, starts[first], ends[first])
-    w = mix64(key ^ check)[which]
+    w = mix64(key ^ mix64(check))[which]
     h, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(w) >= words:
         h = np.zeros(len(w) - words + 1, np.uint64)
