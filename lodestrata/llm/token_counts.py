@@ -3,8 +3,8 @@
 The tokenizer is a SentencePiece BPE model.  Its merge rules are compiled into a
 deterministic transducer over characters; the library itself isn't asked.  It rests on two
 facts about merging by rank: without its last token the encoding of a string is the
-encoding of a shorter one, and neighbours u, v stand in an encoding if and only if merging
-u + v gives u, v again.  So the last token of a prefix is the one piece at its end
+encoding of a shorter one, and tokens are an encoding if and only if merging any two neighbours
+u + v by themselves gives u, v again.  So the last token of a prefix is the one piece at its end
 that may stand behind the last token of what precedes it.
 
 A state is what later tokens depend on: for each end of the text read so far that begins
@@ -29,6 +29,7 @@ and text are ignored.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +41,15 @@ from pyspark.sql import functions as F
 from .common import distinct_spans, in_batches, sub_blocks, text_bytes
 
 #: Transitions that a worker keeps at most.
-MAX_TRANSITIONS = 250_000
+MAX_TRANSITIONS = 400_000
 #: Bytes of the longest text that is counted in one piece, and characters of a chunk of a longer one.
 CHUNK_BYTES = 1 << 20
 
+#: Characters of a segment whose state is kept.
+JUMP = 6
+#: Bytes of text whose equal segments are run once.
+BATCH_BYTES = 4 << 20
+
 _SP, _LF = 0x20, 0x0A
 _MARK = "▁"
 _workers: dict[str, Transducer] = {}
@@ -77,13 +83,14 @@ class Transducer:
             raise ValueError("a normalising tokenizer can't be compiled")
         self.begins = {p[:k]: p[:k] for p in self.rank for k in range(1, len(p))}
         self.max_transitions = max_transitions
+        self.parts: dict[str, tuple[str, str]] = {}  # by piece, as many as there are pieces
         self.reset()
 
     def reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.next: list[dict[str, tuple[int, int]]] = []
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.jumps: dict[str, tuple[int, int]] = {}
         self.transitions = 0
         self.start = self.state(("", None, 0))
 
@@ -96,23 +103,37 @@ class Transducer:
             self.next.append({})
         return q
 
-    def merge(self, text: str) -> list[str]:
-        """Tokens of a short text by the rules: the neighbours of least rank merge, leftmost first, again and again."""
-        parts = list(text)
-        while True:
-            ways = [(self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank]
-            if not ways:
-                return parts
-            i = min(ways)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def stand(self, u: str, v: str) -> bool:
-        """Whether u, v may be neighbours."""
-        got = self.beside.get((u, v))
+    def halves(self, piece: str) -> tuple[str, str]:
+        """The two tokens whose merge makes a piece: the neighbours of least rank merge, leftmost first, until two are left."""
+        got = self.parts.get(piece)
         if got is None:
-            got = self.beside[u, v] = self.merge(u + v) == [u, v]
+            parts = list(piece)
+            while len(parts) > 2:
+                i = min((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            got = self.parts[piece] = (parts[0], parts[1])
         return got
 
+    def stand(self, u: str, v: str) -> bool:
+        """Whether u, v may be neighbours: no merge across their border comes before those that make them.
+
+        Their last merges are undone, the latest first; the parts that then meet at the border must not
+        merge sooner than they go into what was undone (of equal ranks the leftmost is the sooner).
+        """
+        rank = self.rank
+        until_u = until_v = math.inf
+        while True:
+            across = rank.get(u + v)
+            if across is not None and across < until_u and across <= until_v:
+                return False
+            made_u, made_v = rank[u] if len(u) > 1 else -1.0, rank[v] if len(v) > 1 else -1.0
+            if made_u > made_v:
+                until_u, u = made_u, self.halves(u)[1]
+            elif made_v >= 0:
+                until_v, v = made_v, self.halves(v)[0]
+            else:
+                return True
+
     def compile(self, q: int, x: str) -> tuple[int, int]:
         """Transition of state q by x: the next state and the change in the number of tokens."""
         key = self.keys[q]
@@ -120,13 +141,13 @@ class Transducer:
             self.reset()
             q = self.state(key)
         token, change, open_ = None, 0, []
-        for k in range(0, len(key), 3):
-            end, before, since = key[k : k + 3]
+        for end, before, since in zip(key[::3], key[1::3], key[2::3], strict=True):
             end += x
             if token is None and (end in self.rank or len(end) == 1) and (before is None or self.stand(before, end)):
                 token, change = end, (1 if end in self.rank else len(end.encode())) - since
-            if end in self.begins:
-                open_.append((self.begins[end], before, since))
+            begin = self.begins.get(end)
+            if begin is not None:
+                open_.append((begin, before, since))
         new = [y for end, before, since in open_ for y in (end, before, since + change)]
         out = self.next[q][x] = self.state((*new, "", token, 0)), change
         self.transitions += 1
@@ -134,15 +155,26 @@ class Transducer:
 
     def run(self, q: int, text: str) -> tuple[int, int]:
         """State behind the text, which has no border inside, and the tokens it emits."""
-        n = 0
+        n, steps = 0, self.next
         for x in text:
-            step = self.next[q].get(x)
-            q, change = self.compile(q, x) if step is None else step
+            step = steps[q].get(x)
+            if step is None:
+                step = self.compile(q, x)
+                steps = self.next
+            q, change = step
             n += change
         return q, n
 
     def tokens(self, segment: str) -> int:
-        return self.run(self.start, segment)[1]
+        """Tokens of a segment; many begin alike, so the way of the first JUMP characters is kept."""
+        head = segment[:JUMP]
+        at = self.jumps.get(head)
+        if at is None:
+            at = self.run(self.start, head)
+            if len(self.jumps) >= self.max_transitions:
+                self.jumps = {}
+            self.jumps[head] = at
+        return at[1] + self.run(at[0], segment[JUMP:])[1]
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each segment; equal ones are run once."""
@@ -205,7 +237,7 @@ def _border(a: str, b: str) -> bool:
 def count_batch(tr: Transducer, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Tokens of each string of a batch."""
     out = np.zeros(len(off) - 1, np.int64)
-    for i, j in sub_blocks(off):
+    for i, j in sub_blocks(off, BATCH_BYTES):
         part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
         if _MARK.encode() in part.tobytes():  # the space mark itself counts as a space
             texts = [part[a:b].tobytes().replace(_MARK.encode(), b" ") for a, b in zip(at, at[1:], strict=False)]
