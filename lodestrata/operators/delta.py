@@ -69,6 +69,42 @@ def manifest(docs: DataFrame) -> DataFrame:
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("checksum"), F.count(F.lit(1)).alias("parts"))
 
 
+def map_checksum(docs: DataFrame) -> str:
+    """SHA-256 of the JSON object of all hashes by id, in order of the ids.
+
+    One digest has one order, so the sorted rows pass through the driver, partition after
+    partition; nothing of them stays there.
+    """
+    import hashlib
+    import json
+
+    digest, first = hashlib.sha256(b"{"), True
+    for r in docs.select(F.col("id").cast("string"), "hash").orderBy("id").toLocalIterator(prefetchPartitions=True):
+        digest.update(("" if first else ",").encode() + f"{json.dumps(r[0], ensure_ascii=False)}:{json.dumps(r[1])}".encode())
+        first = False
+    digest.update(b"}")
+    return digest.hexdigest()
+
+
+def envelopes(docs: DataFrame, previous: DataFrame, run: dict, health: list[dict], name: str, size: int = CHUNK_ROWS, schema_version: int = 1) -> DataFrame:
+    """chunk, body (canonical JSON of a push): the first chunk also has the run and the health of its sources."""
+    import json
+
+    dump = lambda x: F.lit(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    found = export_chunks(docs, previous, size)
+    count = found.count()
+    first = F.col("chunk") == 0
+    parts = {"jobs": F.concat(F.lit("["), F.array_join("jobs", ","), F.lit("]")), "run": F.when(first, dump(run)).otherwise("null"), "sourceHealth": F.when(first, dump(health)).otherwise("[]")}
+
+    def obj(fields: dict[str, Column]) -> Column:
+        pairs = [x for k, v in sorted(fields.items()) for x in (F.lit(f',"{k}":'), v)]
+        return F.concat(F.lit("{"), F.substr(F.concat(*pairs), F.lit(2)), F.lit("}"))
+
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    extra = {"checksum": quoted(F.sha2(obj(parts), 256)), "chunkCount": F.lit(str(count)), "chunkIndex": F.col("chunk").cast("string"), "runId": dump(name), "schemaVersion": F.lit(str(schema_version))}
+    return found.select("chunk", obj(parts | extra).alias("body"))
+
+
 def run_id(scanned_at: str, checksum: str) -> str:
     import re
 

@@ -1,35 +1,29 @@
-"""Versioned snapshots of the lifecycle tables: a run becomes visible by one rename of a pointer."""
+"""Versioned snapshots of the lifecycle tables: a run becomes visible by one rename."""
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import lifecycle
+from .files import Folder
 
 
 class LifecycleStore:
-    """Tables under root/<table>/v=<n>; root/CURRENT names the version that counts.
+    """Tables under root/<table>/v=<n>; the greatest n that has a file root/versions/<n> counts.
 
     All paths go through Hadoop's file systems, so root may be in any store that Spark writes to.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, text: str):
-        return self._hadoop.Path(text)
+        self._files = Folder(spark, self.root)
 
     def current(self) -> int:
         """The version that counts; 0 before the first run."""
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return max((int(x) for x in self._files.names("versions") if x.isdigit()), default=0)
 
     def state(self) -> dict[str, DataFrame]:
         """The tables; columns that an older version lacks are null."""
@@ -53,14 +47,14 @@ class LifecycleStore:
         return counters
 
     def _publish(self, n: int) -> None:
-        draft, pointer = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(str(n).encode()))
-        out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(draft, pointer):
-            raise OSError(f"version {n} could not be published")
+        """The only step that makes a version count; no file of an older one is touched before."""
+        self._files.publish(f"versions/{n}", b"")
+
+    def latest_run(self) -> tuple[DataFrame, DataFrame]:
+        """The newest run and its rows of source_runs."""
+        state = self.state()
+        run = state["runs"].orderBy(F.desc("scanned_at")).limit(1)
+        return run, state["source_runs"].join(F.broadcast(run.select("scanned_at")), "scanned_at", "left_semi")  # one row
 
     def prune(self, keep: int = 14) -> list[int]:
         """Drop all but the newest versions; the ones that went."""
@@ -69,11 +63,11 @@ class LifecycleStore:
         now = self.current()
         gone = []
         for v in range(now - keep, 0, -1):
-            paths = [self._path(f"{self.root}/{k}/v={v}") for k in lifecycle.TABLES]
-            if not any(self._fs.exists(p) for p in paths):
+            paths = [f"{k}/v={v}" for k in lifecycle.TABLES]
+            if not any(self._files.exists(p) for p in paths):
                 break
-            for p in paths:
-                self._fs.delete(p, True)
+            for p in [f"versions/{v}", *paths]:
+                self._files.delete(p)
             gone.append(v)
         return gone
 
@@ -85,3 +79,8 @@ def seconds_until_due(now: datetime, due: str, last_success: datetime | None) ->
     if last_success is not None and last_success.date() >= now.date():
         at += timedelta(days=1)
     return max(0.0, (at - now).total_seconds())
+
+
+def retry_delay(failures: int, first: float = 60.0, most: float = 3600.0) -> float:
+    """Seconds to wait after so many failures in a row."""
+    return 0.0 if failures < 1 else min(most, first * 2 ** (failures - 1))
