@@ -192,6 +192,18 @@ class RunResult:
     purged: DataFrame
 
 
+def missing(live: DataFrame, outcome: DataFrame, keys: DataFrame) -> DataFrame:
+    """Live sightings of sources that count in this run and whose keys it didn't bring."""
+    return live.join(outcome.where("reconciliation_applied").select("source"), "source", "left_semi").join(keys, ["source", "source_id"], "left_anti")
+
+
+def mark_missing(rows: DataFrame, threshold: int, at: Column) -> DataFrame:
+    """Missing sightings with one more miss, withdrawn from the threshold on."""
+    n = F.col("missing_count") + 1
+    gone = n >= threshold
+    return rows.withColumns({"status": F.when(gone, "withdrawn").otherwise("missing"), "withdrawn_at": F.when(gone, at), "last_checked_at": at, "missing_count": n})
+
+
 def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFrame, o: RunOptions, attempts: DataFrame | None = None) -> RunResult:
     """One run over the state.
 
@@ -237,10 +249,7 @@ def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFra
         guard = guard.withColumns({"current": F.coalesce("current", F.lit(0)), "baseline": F.coalesce("baseline", F.coalesce("live", F.lit(0)).cast("double"))})
         guard = guard.withColumn("reconciliation_reason", skip_reason(o.sudden_drop_ratio)).withColumn("reconciliation_applied", F.col("reconciliation_reason").isNull())
         outcome = checkpointed(guard.select(outcome.columns))
-        missing = live.join(outcome.where("reconciliation_applied").select("source"), "source", "left_semi").join(keys, ["source", "source_id"], "left_anti")
-        n = F.col("missing_count") + 1
-        gone = n >= o.missing_threshold
-        marked = missing.withColumns({"status": F.when(gone, "withdrawn").otherwise("missing"), "withdrawn_at": F.when(gone, at), "last_checked_at": at, "missing_count": n}).select(fresh.columns)
+        marked = mark_missing(missing(live, outcome, keys), o.missing_threshold, at).select(fresh.columns)
         marked = checkpointed(marked)
         sightings = sightings.join(marked, ["job_id", "source", "source_id"], "left_anti").select(fresh.columns).unionByName(marked)
         listings = checkpointed(refresh(listings, sightings, o.scanned_at))

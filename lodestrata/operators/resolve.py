@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.schema import canonical_id
+from ..plans.session import written
 from .normalize import blank, fingerprint, renew_flags
 
 FILL = ("company", "workplace", "prefecture", "prefecture_name", "city", "employment_type", "matched_keyword")
@@ -26,18 +27,20 @@ def native_dedup(df: DataFrame, keys: tuple[str, ...] = ("source", "source_id"),
 
 
 def assign_clusters(df: DataFrame) -> DataFrame:
-    """df(fp, source, prefecture, _ord) with `cluster`, its number inside the fingerprint; null fp gives null."""
+    """df(fp, source, prefecture, _ord) with `cluster`, its number inside the fingerprint; null fp gives null.
+
+    A fingerprint may be a whole text, so clusters are worked out over its digest in a thin table.
+    """
     region = F.when(~blank(F.col("prefecture")), F.col("prefecture"))
-    known = df.where("fp IS NOT NULL")
-    regions = known.groupBy("fp").agg((F.min(region) != F.max(region)).alias("mixed"))
-    marked = known.join(regions, "fp")
-    nth = F.row_number().over(W.partitionBy("fp", "source").orderBy("_ord"))
-    plain = marked.where(~F.coalesce("mixed", F.lit(False))).withColumn("cluster", nth.cast("long")).drop("mixed")
-    mixed = marked.where("mixed").select("fp", "source", region.alias("region"), "_ord")
-    folded = mixed.groupBy("fp").applyInPandas(_fold, "fp string, _ord bigint, cluster bigint")
-    rest = known.join(folded, ["fp", "_ord"])
-    none = df.where("fp IS NULL").withColumn("cluster", F.lit(None).cast("long"))
-    return plain.unionByName(rest.select(plain.columns)).unionByName(none)
+    key = F.sha2("fp", 256)
+    known = written(df.where("fp IS NOT NULL").select(key.alias("key"), "source", region.alias("region"), "_ord"), "fingerprints")
+    regions = known.groupBy("key").agg(F.coalesce(F.min("region") != F.max("region"), F.lit(False)).alias("mixed"))
+    mixed = regions.where("mixed").select("key")
+    nth = F.row_number().over(W.partitionBy("key", "source").orderBy("_ord"))
+    plain = known.join(mixed, "key", "left_anti").select("key", "_ord", nth.cast("long").alias("cluster"))
+    folded = known.join(mixed, "key", "left_semi").groupBy("key").applyInPandas(_fold, "key string, _ord bigint, cluster bigint")
+    clusters = plain.unionByName(folded).withColumnsRenamed({"_ord": "_place", "key": "_key"})
+    return df.join(clusters, (key == F.col("_key")) & (F.col("_ord") == F.col("_place")), "left").drop("_key", "_place")
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -55,11 +58,11 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             clusters.append(({source}, [region]))
             number.append(len(clusters))
-    return pd.DataFrame({"fp": rows["fp"], "_ord": rows["_ord"], "cluster": number})
+    return pd.DataFrame({"key": rows["key"], "_ord": rows["_ord"], "cluster": number})
 
 
 def merge_clusters(df: DataFrame) -> DataFrame:
-    """One listing for each (fp, cluster); its row stands at the cluster's first place."""
+    """One listing for each (fp, cluster); its row stands at the cluster's first place.  `canonical` is the identifier of the fingerprint."""
     rows = lambda c: F.array_sort(F.collect_list(F.struct("_ord", c)))
 
     def first_filled(name: str) -> Column:
@@ -83,7 +86,7 @@ def merge_clusters(df: DataFrame) -> DataFrame:
     out = df.groupBy("fp", "cluster").agg(
         n.alias("merged_rows"),
         F.min("_ord").alias("_first"),
-        F.when(n > 1, canonical_id(F.first("fp"))).otherwise(F.min_by("id", "_ord")).alias("id"),
+        F.when(n > 1, F.first("canonical")).otherwise(F.min_by("id", "_ord")).alias("id"),
         *(F.min_by(c, "_ord").alias(c) for c in keep_first),
         *(first_filled(c).alias(c) for c in FILL),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_ord", F.array_append(F.coalesce("found_on", F.array().cast("array<string>")), F.col("source")).alias("on")))), lambda x: x["on"]))).alias("found_on"),
@@ -102,7 +105,10 @@ def merge_clusters(df: DataFrame) -> DataFrame:
 
 def resolve(df: DataFrame, unicode: bool = True) -> DataFrame:
     """Listings after both kinds of dedup, with merged_rows; rows without fingerprint stay alone."""
-    keyed = native_dedup(df).withColumn("fp", fingerprint(F.col("company"), F.col("title"), unicode))
+    fp = fingerprint(F.col("company"), F.col("title"), unicode)
+    keyed = native_dedup(df).withColumn("_fp", fp)
+    # From here on a fingerprint is its digest: it is a key of every step, and may be as long as a text.
+    keyed = written(keyed.withColumns({"fp": F.sha2("_fp", 256), "canonical": canonical_id(F.col("_fp"))}).drop("_fp"), "keyed")
     placed = assign_clusters(keyed)
     merged = merge_clusters(placed.where("fp IS NOT NULL"))
     alone = placed.where("fp IS NULL")

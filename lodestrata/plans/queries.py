@@ -131,17 +131,12 @@ def merge_counts(spark, sf_dir):
 
 @query(f"WITH {T.LISTING_SQL} SELECT source_id, row_number() OVER (ORDER BY date_posted DESC NULLS LAST, source, lower(title), _ord) AS place FROM listing")
 def ordered_listings(spark, sf_dir):
-    df = T.listing(spark, sf_dir).select("source_id", "date_posted", "source", "title", "_ord")
-    # Places by ranges of days: each day's rows are numbered alone, and days are few.
-    n = W.partitionBy("date_posted").orderBy("source", F.lower("title"), "_ord")
-    days = df.groupBy("date_posted").agg(F.count(F.lit(1)).alias("c"))
-    before = days.withColumn("base", F.coalesce(F.sum("c").over(W.orderBy(F.col("date_posted").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = df.withColumn("i", F.row_number().over(n))
-    joined = ranked.join(before.select(F.col("date_posted").alias("d"), "base"), F.col("date_posted").eqNullSafe(F.col("d")))
-    return joined.select("source_id", (F.col("base") + F.col("i")).alias("place"))
-
-
-# --- text --------------------------------------------------------------------
+    df = resolve.ordered(T.listing(spark, sf_dir).select("source_id", "date_posted", "source", "title", "_ord"))
+    # The sort leaves ranges in order: a row's place is its place in its range behind all ranges before.
+    local = lifecycle.checkpointed(df.select("source_id", F.expr("shiftright(monotonically_increasing_id(), 33)").alias("p"), F.expr("monotonically_increasing_id() & 8589934591L").alias("i")))
+    sizes = local.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    base = sizes.select("p", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each range
+    return local.join(F.broadcast(base), "p").select("source_id", (F.col("base") + F.col("i") + 1).alias("place"))
 
 
 @query("SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS cleaned FROM pages")
@@ -211,10 +206,11 @@ def region_lookup(spark, sf_dir):
 PATTERN = "tion"
 
 
-@query("SELECT doc_id, contains(lower(text), 'tion') AS found FROM documents")
+@query(r"""WITH m AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS p FROM documents),
+    cut AS (SELECT doc_id, p, regexp_extract(substr(text, 1, greatest(p - 1, 0)), '([^.。\n]*)$', 1) AS before, substr(text, p, 4) AS found, substr(text, p + 4) AS tail FROM m)
+    SELECT doc_id, CASE WHEN p > 0 THEN substr(trim(regexp_replace(before || found || CASE WHEN regexp_matches(tail, '[.。\n]') THEN regexp_extract(tail, '^([^.。\n]*[.。\n])', 1) ELSE substr(tail, 1, 160) END, '\s+', ' ', 'g')), 1, 500) END AS sentence FROM cut""")
 def evidence_sentence(spark, sf_dir):
-    d = T.read(spark, sf_dir, "documents")
-    return d.select("doc_id", text.evidence(F.col("text"), PATTERN).isNotNull().alias("found"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", text.evidence(F.col("text"), PATTERN).alias("sentence"))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'visa:possible_support' WHEN 1 THEN 'overseas:supported,remote:available' WHEN 2 THEN 'language:n1_required' ELSE '' END AS signals FROM nation""")
@@ -233,7 +229,8 @@ def wage_text(spark, sf_dir):
     return T.read(spark, sf_dir, "orders").select("o_orderkey", w["min"].alias("low"), w["max"].alias("high"), w["unit"].alias("unit"))
 
 
-@query()
+@query(r"""WITH bare AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[a-z/!?][^>]*>', ' ', 'g') AS t FROM pages)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM bare""")
 def html_text(spark, sf_dir):
     return T.read(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
@@ -274,13 +271,14 @@ def native_duplicates(spark, sf_dir):
     return quality.native_duplicates(T.read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("source_id")))
 
 
-@query("""SELECT lang AS company_key, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-zぁ-んァ-ン一-龥]+', '', 'g') AS title_key, count(*) AS n, count(DISTINCT source) AS sources, min(doc_id) AS first_ord
-    FROM documents GROUP BY 1, 2 HAVING count(DISTINCT source) > 1""")
+GROUP_SQL = f"""WITH k AS (SELECT doc_id, source, regexp_replace(regexp_replace(replace(lower(lang), 'ß', 'ss'), '{text.ANALYSIS_COMPANY_FORMS}', '', 'g'), '[^0-9a-zぁ-んァ-ン一-龥]+', '', 'g') AS company_key,
+        regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '{text.ANALYSIS_COMPANY_FORMS}', '', 'g'), '[^0-9a-zぁ-んァ-ン一-龥]+', '', 'g') AS title_key FROM documents)
+    SELECT company_key, title_key, count(*) AS n, count(DISTINCT source) AS sources, min(doc_id) AS first_ord FROM k WHERE company_key <> '' AND title_key <> '' GROUP BY 1, 2 HAVING count(DISTINCT source) > 1"""
+
+
+@query(GROUP_SQL)
 def cross_source_groups(spark, sf_dir):
-    d = T.document_listing(spark, sf_dir).withColumn("title", text.canonical_text(F.col("title"), unicode=False))
-    # The older rule also takes company forms out of words; the driver's prose is made of syllables, so it is left to tests.
-    g = d.where("title != ''").groupBy(F.col("company").alias("company_key"), F.col("title").alias("title_key"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.min("_ord").alias("first_ord")).where("sources > 1")
+    return quality.cross_source_groups(T.document_listing(spark, sf_dir), unicode=False)
 
 
 @query(f"""WITH {T.LISTING_SQL} SELECT source, count(*) AS n_rows, count(title) AS n_title, count(company) AS n_company, 0::BIGINT AS n_description_snippet, 0::BIGINT AS n_workplace, count(prefecture) AS n_prefecture,
@@ -382,9 +380,10 @@ def sudden_drop_guard(spark, sf_dir):
 @query("""SELECT source, user_id FROM (SELECT DISTINCT event_type AS source, user_id FROM events WHERE ts < TIMESTAMP '2024-01-29')
     EXCEPT SELECT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29'""")
 def missing_candidates(spark, sf_dir):
-    e = T.read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "user_id", "ts")
-    now = e.where("ts >= timestamp '2024-01-29'")
-    return e.where("ts < timestamp '2024-01-29'").select("source", "user_id").distinct().join(now, ["source", "user_id"], "left_anti")
+    e = T.read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("source_id"), "ts")
+    live = e.where("ts < timestamp '2024-01-29'").select("source", "source_id").distinct()
+    applied = e.select("source").distinct().withColumn("reconciliation_applied", F.lit(True))
+    return lifecycle.missing(live, applied, e.where("ts >= timestamp '2024-01-29'")).withColumnRenamed("source_id", "user_id")
 
 
 def _missed(spark, sf_dir):
@@ -397,8 +396,10 @@ def _missed(spark, sf_dir):
 
 @query(f"WITH {T.SEEN_SQL} SELECT source, user_id, missed, CASE WHEN missed >= 3 THEN 'withdrawn' WHEN missed > 0 THEN 'missing' ELSE 'active' END AS status FROM missed")
 def miss_streak(spark, sf_dir):
-    status = F.when(F.col("missed") >= 3, "withdrawn").when(F.col("missed") > 0, "missing").otherwise("active")
-    return _missed(spark, sf_dir).withColumn("status", status)
+    # The count before the last scan goes in, the one after it comes out.
+    seen = _missed(spark, sf_dir).withColumns({"missing_count": F.col("missed") - 1, "status": F.lit("active")})
+    marked = lifecycle.mark_missing(seen.where("missed > 0"), 3, F.lit("2024-01-30"))
+    return marked.select("source", "user_id", F.col("missing_count").alias("missed"), "status").unionByName(seen.where("missed = 0").select("source", "user_id", "missed", "status"))
 
 
 @query(f"""WITH {T.SIGHTING_SQL}, s AS (SELECT job_id, max(CASE status WHEN 'active' THEN 3 WHEN 'missing' THEN 2 WHEN 'withdrawn' THEN 1 ELSE 0 END) AS r, max(missing_count) AS s_missing, max(last_seen_at) AS s_checked FROM sighting GROUP BY 1)
@@ -408,11 +409,15 @@ def lifecycle_states(spark, sf_dir):
 
 
 @query(f"""WITH {T.SIGHTING_SQL}, prior AS (SELECT job_id, CASE WHEN bool_or(status = 'withdrawn') THEN 'withdrawn' ELSE 'active' END AS p FROM sighting GROUP BY 1)
-    SELECT id, CASE WHEN p IS NULL THEN 'new' WHEN p = 'withdrawn' THEN 'reactivated' ELSE 'known' END AS class FROM job LEFT JOIN prior ON id = job_id""")
+    SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 0 THEN CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 OR p = 'withdrawn' THEN 'reactivated' ELSE 'known' END
+        WHEN p IS NULL THEN 'new' WHEN p = 'withdrawn' THEN 'reactivated' ELSE 'known' END AS class FROM job LEFT JOIN prior ON id = job_id""")
 def reactivated(spark, sf_dir):
     prior = T.sightings(spark, sf_dir).groupBy("job_id").agg(F.when(F.bool_or(F.col("status") == "withdrawn"), "withdrawn").otherwise("active").alias("p"))
     j = T.jobs(spark, sf_dir).join(prior, F.col("id") == F.col("job_id"), "left")
-    return j.select("id", lifecycle.classify(F.lit(None).cast("string"), F.col("p")).alias("class"))
+    # Every fifth listing is stored already, half of these as expired.
+    k = F.col("o_orderkey")
+    stored = F.when(k % 5 == 0, F.when(k % 2 == 0, "expired").otherwise("active"))
+    return j.select("id", lifecycle.classify(stored, F.col("p")).alias("class"))
 
 
 OPTIONS = lifecycle.RunOptions("1998-08-02T00:00:00Z", "1998-07-03", "1998-08-02")
@@ -453,10 +458,13 @@ def first_stop_page(spark, sf_dir):
     return coverage.first_stop(coverage.decide(T.pages(spark, sf_dir), PAGES)).select("source", "keyword", F.col("page").cast("long"), "reason", "coverage_complete")
 
 
-@query(STREAK_SQL + """SELECT d.source, count(*) AS pages_fetched, bool_and(s.reason = 'source_end') AS coverage_complete
-    FROM decided d LEFT JOIN stop s ON s.source = d.source AND s.keyword = d.keyword WHERE s.page IS NULL OR d.page <= s.page GROUP BY 1""")
+@query(STREAK_SQL + """, turn AS (SELECT source, reason, row_number() OVER (PARTITION BY source ORDER BY page, keyword) AS n FROM stop),
+    reasons AS (SELECT source, string_agg(reason, ',' ORDER BY n) AS stop_reasons FROM (SELECT source, reason, min(n) AS n FROM turn GROUP BY 1, 2) GROUP BY 1),
+    total AS (SELECT d.source, count(*) AS pages_fetched, bool_and(s.reason = 'source_end') AS coverage_complete
+        FROM decided d LEFT JOIN stop s ON s.source = d.source AND s.keyword = d.keyword WHERE s.page IS NULL OR d.page <= s.page GROUP BY 1)
+    SELECT source, pages_fetched, coverage_complete, coalesce(stop_reasons, '') AS stop_reasons FROM total LEFT JOIN reasons USING (source)""")
 def coverage_rollup(spark, sf_dir):
-    return coverage.rollup(coverage.decide(T.pages(spark, sf_dir), PAGES)).drop("stop_reasons")
+    return coverage.rollup(coverage.decide(T.pages(spark, sf_dir), PAGES)).withColumn("stop_reasons", F.array_join("stop_reasons", ","))
 
 
 @query(f"WITH {T.PAGE_SQL} SELECT source, keyword, max(page) AS page FROM page GROUP BY 1, 2")
@@ -500,6 +508,11 @@ def manifest(spark, sf_dir):
     return delta.manifest(_docs(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
 
 
+@query(DOC_SQL + """SELECT sha256('{' || string_agg('"' || id || '":"' || sha256(doc) || '"', ',' ORDER BY CAST(id AS VARCHAR)) || '}') AS checksum FROM doc""")
+def map_checksum(spark, sf_dir):
+    return spark.createDataFrame([(delta.map_checksum(_docs(spark, sf_dir)),)], "checksum string")
+
+
 @query(DOC_SQL + """, n AS (SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 200) AS BIGINT) AS chunk, id, doc FROM doc)
     SELECT chunk, count(*) AS n, sha256(string_agg(doc, chr(10) ORDER BY id)) AS checksum FROM n GROUP BY 1""")
 def export_chunks(spark, sf_dir):
@@ -507,7 +520,11 @@ def export_chunks(spark, sf_dir):
     return delta.export_chunks(docs, docs.limit(0)).select("chunk", "n", "checksum")
 
 
-@query()
+@query(f"""WITH {T.LISTING_SQL}, d AS (SELECT substr(sha1(source || ':' || source_id), 1, 16) AS id, * FROM listing), j AS (SELECT id, '{{"city":null,"company":"' || company || '","datePosted":"' || date_posted
+        || '","description":"","descriptionSnippet":"","employmentType":"' || employment_type || '","id":"' || id || '","languages":[],"prefecture":"' || prefecture || '","prefectureName":"' || upper(prefecture)
+        || '","qualityFlags":[],"remote":null,"signals":[],"source":"' || source || '","sourceId":"' || source_id || '","sourceIds":{{"' || source || '":"' || source_id || '"}},"sourceUrls":{{"' || source || '":"http://x/' || source_id
+        || '"}},"title":"' || title || '","url":"http://x/' || source_id || '","wage":{{"max":null,"min":' || CAST(trunc(price) AS BIGINT) || ',"raw":"","unit":null}},"workplace":""}}' AS doc FROM d)
+    SELECT id, doc, sha256(doc) AS hash FROM j""")
 def export_documents(spark, sf_dir):
     return delta.documents(T.listing(spark, sf_dir))
 
@@ -517,38 +534,60 @@ def csv_flatten(spark, sf_dir):
     return output.flat(T.listing(spark, sf_dir)).select("source_id", "source", "company", "title", "prefecture", "wage_min", "found_on")
 
 
-@query("""SELECT r_name, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region""")
+@query("""SELECT r_regionkey AS id, '{"id":' || r_regionkey || ',"name":"' || r_name || '","none":null}' AS json FROM region""")
 def json_payload(spark, sf_dir):
     r = T.read(spark, sf_dir, "region")
-    return r.select("r_name", F.to_json(F.struct("r_regionkey", "r_name"), {"ignoreNullFields": "false"}).alias("json"))
+    return output.json_rows(r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("none")))
 
 
 # --- sources and streams -----------------------------------------------------
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+    ('careercross', 'experimental', false, ''), ('daijob', 'active', false, 'keyword'), ('doda', 'experimental', false, ''), ('enworld', 'experimental', false, ''), ('forkwell', 'active', false, ''),
+    ('gaijinpot', 'active', false, ''), ('green', 'active', false, ''), ('hellowork', 'active', true, 'keyword,prefecture,english'), ('indeed', 'experimental', true, ''), ('japandev', 'active', false, ''),
+    ('jobsinjapan', 'active', false, ''), ('jrecin', 'experimental', false, ''), ('linkedin', 'experimental', false, 'keyword,days'), ('otta', 'experimental', false, ''), ('tokyodev', 'active', false, ''),
+    ('wantedly', 'active', false, ''), ('wellfound', 'experimental', false, '')) AS t(name, status, requires_browser, supports)""")
 def source_catalog(spark, sf_dir):
-    return catalog.list_sources(spark)
+    return catalog.list_sources(spark).select("name", "status", "requires_browser", F.array_join("supports", ",").alias("supports"))
 
 
-@query("SELECT r_name AS keyword, n_name AS level FROM region CROSS JOIN nation")
+@query("SELECT r_name AS keyword, n_name AS level, kind FROM region CROSS JOIN nation CROSS JOIN (VALUES ('new'), ('all')) AS k(kind)")
 def request_plan(spark, sf_dir):
-    r, n = T.read(spark, sf_dir, "region"), T.read(spark, sf_dir, "nation")
-    # A few keywords by a few levels: both sides are small dimensions of the plan itself.
-    return r.select(F.col("r_name").alias("keyword")).crossJoin(n.select(F.col("n_name").alias("level")))
+    # A plan's own dimensions: a few keywords, a few levels.
+    names = lambda t, c: [r[0] for r in T.read(spark, sf_dir, t).select(c).orderBy(c).collect()]
+    return catalog.request_plan(spark, names("region", "r_name"), names("nation", "n_name"), ["new", "all"])
 
 
 @query("SELECT n.n_nationkey, r.r_name AS region FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey")
 def ref_lookup(spark, sf_dir):
+    """Posts and companies of result pages, found by their references in the page's cache."""
+    import pandas as pd
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for key, name, region in zip(b["n_nationkey"], b["n_name"], b["r_name"], strict=True):
+                index = {'searchedJobPostsUsingOffset({"pageNumber":2})': {"totalCount": 11, "jobPosts": [{"jobPost": {"__ref": "P"}}]}}
+                cache = {"ROOT_QUERY": {"projectIndexPageJobPostIndex": index}, "P": {"id": f"n{key}", "title": name, "company": {"__ref": "C"}}, "C": {"name": region}}
+                rows, _, _ = catalog.offset_page(cache, 2)
+                out += [(int(i[1:]), c["name"]) for i, _, c in rows]
+            yield pd.DataFrame(out, columns=["n_nationkey", "region"])
+
     n, r = T.read(spark, sf_dir, "nation"), T.read(spark, sf_dir, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.col("r_name").alias("region"))
+    pairs = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+    return pairs.mapInPandas(work, "n_nationkey long, region string")
 
 
-@query()
+@query("""WITH b AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 13, '13') AS n, o_orderpriority AS title FROM orders)
+    SELECT 'hellowork' AS source, n AS source_id, substr(sha1('hellowork:' || n), 1, 16) AS id, title, '店' AS company, '東京都' AS workplace, 'tokyo' AS prefecture, 'Tokyo' AS prefecture_name, 200000::BIGINT AS wage_min,
+        250000::BIGINT AS wage_max, 'monthly' AS wage_unit, '200,000円〜250,000円' AS wage_raw, '2024-01-05' AS date_posted,
+        '職種 ' || title || ' 職種解説 事業所名 店 就業場所 東京都 賃金 月給 200,000円〜250,000円 受付年月日：2024年1月5日' AS description_snippet, substr(n, 1, 5) || '-' || substr(n, 6, 6) || '-' || substr(n, 12, 2) AS job_number FROM b""")
 def board_rows(spark, sf_dir):
     o = T.read(spark, sf_dir, "orders")
     body = F.concat(F.lit("職種 "), F.col("o_orderpriority"), F.lit(" 職種解説 事業所名 店 就業場所 東京都 賃金 月給 200,000円〜250,000円 受付年月日：2024年1月5日"))
-    return catalog.parse_board_rows(o.select(F.lpad(F.col("o_orderkey").cast("string"), 13, "13").alias("number"), body.alias("body")))
+    out = catalog.parse_board_rows(o.select(F.lpad(F.col("o_orderkey").cast("string"), 13, "13").alias("number"), body.alias("body")))
+    return out.select("*", *(F.col(f"wage.{k}").alias(f"wage_{k}") for k in ("min", "max", "unit", "raw"))).drop("wage")
 
 
 @query("""SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2""")

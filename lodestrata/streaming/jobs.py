@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -14,12 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.coverage import PageOptions, page_budget
 from ..plans import tables as T
+from ..plans.session import shared_folder
 
 
 def _places(spark: SparkSession) -> tuple[str, str]:
     """Folders for a stream's checkpoint and its output, where all executors see them."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-")
-    own = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     return f"{own}/state", f"{own}/out"
 
 
