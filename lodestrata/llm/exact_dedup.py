@@ -46,7 +46,8 @@ def _key(body: Column, bits: int) -> Column:
 
 def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
     """cell (leading `depth` bits of the key h), bucket (its leading bits) and local depth of every cell in use."""
-    cells = entries.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # 2**depth rows at most, read twice.
+    cells = materialise(entries.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "dedup-cells")
     levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local_depth")).withColumn("bucket", F.expr(f"shiftright(cell, {depth} - local_depth)"))
     load = levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("entries")).where((F.col("entries") <= capacity) | (F.col("local_depth") == depth))
     # The first depth at which a cell's bucket isn't overfull.
