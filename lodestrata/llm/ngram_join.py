@@ -143,7 +143,8 @@ def chosen_paths(nodes: DataFrame, runs: int, leaf: int = LEAF, levels: int = LE
     for level in range(levels):
         first = level * runs
         keys = F.array(*(_token_key(F.col("parent"), level, first + r) for r in range(runs)))
-        children = rows.select("node", F.explode(keys).alias("key"))
+        # Written once, for it is counted and joined.
+        children = materialise(rows.select("node", F.explode(keys).alias("key")), f"children-{level}")
         sizes = children.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         children = materialise(children.join(sizes, "key"), f"paths-{level}")
         last = level + 1 == levels or (level + 2) * runs > TOKENS - levels
