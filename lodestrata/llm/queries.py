@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
+from . import decontaminate, exact_dedup, hard_negatives, language_id, ngram_join, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -65,9 +65,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts, op11_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +83,19 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
         WINDOW w AS (PARTITION BY body)
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        positive AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS "rank", n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM positive JOIN scored n USING (anchor_id)
+        WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+        QUALIFY "rank" <= 5
+    """,
 }
