@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, language_id, ngram_join, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
+from . import decontaminate, exact_dedup, hard_negatives, language_id, ngram_join, periodic_runs, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -71,9 +73,31 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
 
 
+def planted(doc_id: int | None, n: int) -> np.ndarray:
+    """Which word stands at each place: of every tenth document the words from one on repeat with a period."""
+    at = np.arange(n)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return at
+    g = h // 10
+    a = g % n
+    return np.where(at >= a, a + (at - a) % (1 + (n - a) // (3 + g % 8)), at)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return out.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts, op11_hard_negatives)
+    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts, op11_hard_negatives, op12_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
