@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, language_id, ngram_join, periodic_runs, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
+from . import decontaminate, exact_dedup, hard_negatives, language_id, license_scan, ngram_join, periodic_runs, piece_lattice, quality, suffix_dedup, suffix_tree, token_counts, warc
 from .common import crc_mod, read_table
 
 
@@ -95,9 +95,41 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def license_sql() -> str:
+    """The same by comparing every block with every template."""
+    known = license_scan.template_tokens(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    quoted = lambda x: f"'{x}'"
+    template = ", ".join(f"({x['template']}, {quoted(x['label'])}, {t!r}, {x['span']}, {x['need']}, {len(x['tokens'])})" for x in known for t in x["tokens"])
+    phrase = ", ".join(f"({quoted(p)}, {quoted(label)}, {len(p.split())})" for p, label in license_scan.PHRASES)
+    return f"""
+        WITH template(t, label, token, span, need, size) AS (VALUES {template}), phrase(phrase, label, n) AS (VALUES {phrase}),
+        doc AS (
+            SELECT doc_id AS row, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+        word AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM doc WHERE len(words) > 0),
+        run AS (SELECT row, i, w, w || ' ' || lead(w) OVER o AS two, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS three FROM word WINDOW o AS (PARTITION BY row ORDER BY i)),
+        place AS (SELECT row, i, label FROM run JOIN phrase ON (phrase.n = 2 AND phrase = two) OR (phrase.n = 3 AND phrase = three)),
+        base AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY row),
+        hit AS (
+            SELECT DISTINCT row, t, label, token, need, size, unnest([i // span, i // span - 1]) AS block
+            FROM word JOIN template ON w = token),
+        met AS (SELECT row, t, label, block, count(*) / any_value(size) AS share FROM hit WHERE block >= 0 GROUP BY row, t, label, block, need HAVING count(*) >= need),
+        named AS (SELECT row, label FROM place UNION SELECT row, label FROM met)
+        SELECT row AS doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM place WHERE place.row = doc.row), '') AS base_labels,
+               coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM named WHERE named.row = doc.row), '') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce((SELECT max(share) FROM met WHERE met.row = doc.row), 0.0)::DOUBLE END AS score
+        FROM doc LEFT JOIN base USING (row)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts, op11_hard_negatives, op12_periodic_runs)
+    for f in (op1_quality, op2_exact_dedup, op3_decontaminate, op4_suffix_tree, op5_piece_lattice, op6_language_id, op7_ngram_join, op8_warc, op9_suffix_dedup, op10_token_counts, op11_hard_negatives, op12_periodic_runs, op13_license_scan)
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +154,5 @@ ORACLES: dict[str, str] = {
         WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
         QUALIFY "rank" <= 5
     """,
+    "op13_license_scan": license_sql(),
 }
