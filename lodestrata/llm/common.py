@@ -181,14 +181,18 @@ def head_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, at_once: int = 4 << 20) -> np.ndarray:
     """Whether the bytes from a on equal those from b on, for spans of these sizes."""
     out = head_bytes(data, a, sizes) == head_bytes(data, b, sizes)
     long = np.flatnonzero(out & (sizes > 8))
-    if len(long):
-        n = sizes[long]
-        differ = gather(data, a[long], n) != gather(data, b[long], n)
-        out[long] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    ends, i = np.cumsum(sizes[long]), 0
+    while i < len(long):  # some MB of both sides at a time
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+        part = long[i:j]
+        n = sizes[part]
+        differ = gather(data, a[part], n) != gather(data, b[part], n)
+        out[part] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        i = j
     return out
 
 

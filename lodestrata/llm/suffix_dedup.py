@@ -50,8 +50,8 @@ ANCHOR, STEP = 32, 4
 HOT = 16_000
 #: Bytes of text whose anchors, and whose stretches, one task owns, about; bytes of a chunk.
 RANGE_BYTES, PART_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 1 << 20
-#: Bytes of text whose anchors are looked for at once.
-SUB_BYTES = 1 << 20
+#: Bytes of text whose anchors are looked for at once, and anchors of a block that are kept.
+SUB_BYTES, KEEP = 1 << 20, 1 << 20
 
 _POS = np.uint64((1 << 28) - 1)
 
@@ -99,14 +99,34 @@ def pieces(off: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, np
                 yield at, end, np.array([0, end - at])
 
 
-def block_anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> list[tuple]:
-    """(first byte, last byte, key, place, first window, number of windows) of each piece of a block; places count from the first byte."""
-    return [(lo, hi, *anchors(data[lo:hi], at, length)) for lo, hi, at in pieces(off, length)]
+class Anchored:
+    """(first byte, last byte, key, place, first window, number of windows) of each piece of a block; places count from the first byte.
 
+    A text of one byte over and over has an anchor at every place; beyond KEEP anchors they are found again each time.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int = LENGTH):
+        self._own, self._kept, have = (data, off, length), [], 0
+        for x in self._find():
+            self._kept.append(x)
+            have += len(x[2])
+            if have > KEEP:
+                self._kept = None
+                break
+
+    def _find(self) -> Iterator[tuple]:
+        data, off, length = self._own
+        for lo, hi, at in pieces(off, length):
+            yield (lo, hi, *anchors(data[lo:hi], at, length))
+
+    def __iter__(self) -> Iterator[tuple]:
+        return iter(self._kept) if self._kept is not None else self._find()
 
-def anchor_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor keys of a block and how often each occurs; anchors of one key share a bucket, whatever their bytes."""
-    return np.unique(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64), return_counts=True)
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct anchor keys and how often each occurs; anchors of one key share a bucket, whatever their bytes."""
+        own = [np.unique(x[2], return_counts=True) for x in self]
+        key, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in own)]), return_inverse=True)
+        return key, np.bincount(which, np.concatenate([np.zeros(0), *(n for _, n in own)]), len(key)).astype(np.int64)
 
 
 def ordinal(ids: np.ndarray) -> np.ndarray:
@@ -132,9 +152,33 @@ class Stretches:
         return out | {"key": pack_sorted(self.c["key"]), "body": zstandard.ZstdCompressor(level=3).compress(self.text.tobytes())}
 
 
-def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: list[tuple], keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
-    """Stretches of anchors that occur again, and (idx, start, n) of those that repeat one of this block."""
-    parts, texts = [], []
+#: Columns of a stretch: hashes of anchor and text, document, number in the block, start in it, windows, place of the anchor, place in the block.
+_KEY, _WHOLE, _DOC, _IDX, _START, _N, _REL, _AT = range(8)
+
+
+def _first_ones(data: np.ndarray, t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches that don't repeat another one, by key, and (idx, start, n) of the rest; the first in order of documents stays."""
+    t = t[np.lexsort((t[:, _START], t[:, _IDX], t[:, _DOC], t[:, _N], t[:, _REL], t[:, _WHOLE], t[:, _KEY]))]
+    again = np.append(False, (t[1:, [_KEY, _WHOLE, _N, _REL]] == t[:-1, [_KEY, _WHOLE, _N, _REL]]).all(1))[: len(t)]
+    same = np.flatnonzero(again)
+    again[same] = same_spans(data, t[same, _AT].astype(np.int64), t[same - 1, _AT].astype(np.int64), t[same, _N].astype(np.int64) - 1 + length)
+    return t[~again], _joined(t[again][:, [_IDX, _START, _N]])
+
+
+def _joined(marks: np.ndarray) -> np.ndarray:
+    """Runs of windows that follow each other in one."""
+    marks = marks[np.lexsort((marks[:, 1], marks[:, 0]))]
+    new = np.append(True, (marks[1:, 0] != marks[:-1, 0]) | (marks[1:, 1] != marks[:-1, 1] + marks[:-1, 2]))[: len(marks)]
+    first = np.flatnonzero(new)
+    return np.column_stack([marks[first, 0], marks[first, 1], np.add.reduceat(marks[:, 2], first) if len(first) else marks[:, 2]])
+
+
+def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: Anchored, keys: np.ndarray, totals: np.ndarray, length: int = LENGTH, hot: int = HOT) -> tuple[Stretches, np.ndarray]:
+    """Stretches of anchors that occur again, and (idx, start, n) of those that repeat one of this block.
+
+    Repeats go piece by piece, so a text that is one byte over and over leaves a few rows of each.
+    """
+    parts, gone = [np.zeros((0, 8), np.uint64)], [np.zeros((0, 3), np.uint64)]
     for lo, hi, key, place, start, n in found:
         if not len(key):
             continue
@@ -151,20 +195,21 @@ def block_stretches(data: np.ndarray, off: np.ndarray, ids: np.ndarray, found: l
             key[1] = span_hash(prefix, start[1], start[1] + length)
         key, place, start, n = (np.concatenate(x) for x in (key, place, start, n))
         whole = span_hash(prefix, start, start + n - 1 + length)
+        del prefix, total
         at = start + lo
         idx = np.searchsorted(off, at, side="right") - 1
-        parts.append(np.column_stack([key, whole, ordinal(ids[idx]), idx.astype(np.uint64), (at - off[idx]).astype(np.uint64), n.astype(np.uint64), (place - start).astype(np.uint64), at.astype(np.uint64)]))
-    if not parts:
-        return Stretches({k: np.zeros(0, np.uint64) for k in Stretches.COLUMNS}, np.zeros(0, np.uint8)), np.zeros((0, 3), np.uint64)
-    t = np.concatenate(parts)
-    t = t[np.lexsort((t[:, 4], t[:, 3], t[:, 2], t[:, 5], t[:, 6], t[:, 1], t[:, 0]))]
-    again = np.append(False, (t[1:, [0, 1, 5, 6]] == t[:-1, [0, 1, 5, 6]]).all(1))
-    same = np.flatnonzero(again)
-    again[same] = same_spans(data, t[same, 7].astype(np.int64), t[same - 1, 7].astype(np.int64), t[same, 5].astype(np.int64) - 1 + length)
-    marks, t = t[again][:, [3, 4, 5]], t[~again]
-    columns = {"key": t[:, 0], "doc": t[:, 2], "idx": t[:, 3], "start": t[:, 4], "n": t[:, 5], "rel": t[:, 6]}
-    size = t[:, 5].astype(np.int64) - 1 + length
-    return Stretches(columns, gather(data, t[:, 7].astype(np.int64), size)), marks
+        rows = np.empty((len(key), 8), np.uint64)
+        for column, values in ((_KEY, key), (_WHOLE, whole), (_DOC, ordinal(ids[idx])), (_IDX, idx), (_START, at - off[idx]), (_N, n), (_REL, place - start), (_AT, at)):
+            rows[:, column] = values
+        del key, place, start, n, whole, at, idx
+        rows, marks = _first_ones(data, rows, length)
+        parts.append(rows)
+        gone.append(marks)
+    t, marks = _first_ones(data, np.concatenate(parts), length)
+    marks = _joined(np.concatenate([*gone, marks]))
+    columns = {"key": t[:, _KEY], "doc": t[:, _DOC], "idx": t[:, _IDX], "start": t[:, _START], "n": t[:, _N], "rel": t[:, _REL]}
+    size = t[:, _N].astype(np.int64) - 1 + length
+    return Stretches(columns, gather(data, t[:, _AT].astype(np.int64), size)), marks
 
 
 def _rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -271,7 +316,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
     plain = plain_bytes(blocks)
 
     def keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, count = anchor_keys(block_anchors(*unpack(row["sizes"], row["body"]), length))
+        key, count = Anchored(*unpack(row["sizes"], row["body"]), length).keys()
         return key, np.zeros(len(key), np.uint64), count
 
     totals = materialise(totals_by_key(blocks, ["sizes", "body"], keys, max(1, -(-plain // RANGE_BYTES))), "suffix-anchors")
@@ -282,8 +327,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, length: int = LENGTH,
         for batch in batches:
             for blk, ids, sizes, body, own in zip(*(batch.column(c) for c in ("blk", "doc_ids", "sizes", "body", "answers")), strict=True):
                 data, off = unpack(sizes, body)
-                found = block_anchors(data, off, length)
-                asked = anchor_keys(found)[0]
+                found = Anchored(data, off, length)
+                asked = found.keys()[0]
                 total = np.concatenate([unpack_ints(x["totals"]) for x in own.as_py()]).astype(np.int64)
                 number = ids.values.fill_null((1 << 63) - 1).to_numpy()
                 s, marks = block_stretches(data, off, number, found, asked, total, length, hot)

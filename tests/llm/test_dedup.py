@@ -189,3 +189,29 @@ def test_suffix_dedup_against_brute_force(spark, hot):
     assert sorted(got, key=key) == sorted(brute_cut(rows_of(docs)), key=key)
     texts = suffix_dedup.suffix_dedup(docs, with_text=True).select("kept", "kept_sha256").collect()
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in texts)
+
+
+@pytest.mark.parametrize("unit", ["x", "the same line over and over;\n"])
+def test_suffix_dedup_of_one_byte_or_line_over_and_over(unit):
+    """A few rows go to the owners, and 6 MB of one byte take some hundred MB, not GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np
+from lodestrata.llm import suffix_dedup as S
+unit = sys.argv[1].encode()
+data = np.frombuffer(unit * ((6 << 20) // len(unit)), np.uint8)
+off, before = np.array([0, len(data)]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = S.Anchored(data, off)
+keys, totals = found.keys()
+s, marks = S.block_stretches(data, off, np.array([5]), found, keys, totals)
+assert len(s.c["key"]) == len(unit) and len(marks) == 1, (len(s.c["key"]), len(marks))
+left, at, removed, spans = S.cut(data, off, marks.astype(np.int64))
+assert removed[0] == len(data) - len(unit), (removed, len(data))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code, unit], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 600
