@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from .functions.geo import ROWS
 from .operators import filtering, output, quality, resolve
 from .plans.scan import ScanOptions, scan
@@ -64,16 +67,18 @@ def main(argv: list[str] | None = None) -> int:
         quality.report(raw, args.start, args.end).show(100, truncate=False)
         return 0
     o = filtering.FilterOptions(args.as_of, args.keyword, args.prefecture, args.days, args.employment, args.language, include_unknown_dates=not args.exclude_unknown_dates)
-    found = resolve.ordered(scan(raw, ScanOptions(o, not args.no_dedup)).listings)
+    result = scan(raw, ScanOptions(o, not args.no_dedup))
+    found = resolve.numbered(result.listings)
     if args.format == "csv":
         output.write_csv(found, args.output)
         return 0
-    shown = output.briefing(found, found.count()) if args.format == "llm" else output.format_rows(found, args.format)
-    if args.output:
-        with open(args.output, "w") as f:
-            f.write(shown)
-    else:
-        print(shown)
+    stats = {"scanned_at": args.as_of.isoformat(), "total": found.count(), "names": [r["source"] for r in result.per_source.select("source").orderBy("source").collect()]}
+    counts = result.per_source.agg(F.sum("raw_total").alias("raw"), F.sum("filtered").alias("filtered"), F.sum("raw_kept").alias("kept")).first()
+    stats |= {"sources": len(stats["names"]), "raw_total": counts["raw"] or 0, "filtered": counts["filtered"] or 0, "merged": (counts["kept"] or 0) - stats["total"]}
+    pieces = [output.briefing(found, stats) + "\n"] if args.format == "llm" else output.stream(found, args.format, stats)
+    with open(args.output, "w") if args.output else contextlib.nullcontext(sys.stdout) as f:
+        for piece in pieces:
+            f.write(piece)
     return 0
 
 

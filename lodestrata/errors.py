@@ -1,29 +1,17 @@
-"""Errors that callers can tell apart."""
+"""What this library raises for callers to tell apart; each class names the part that refuses to go on."""
 
 
-class ListingError(Exception):
-    """Base of all errors of this package."""
+class LodestrataError(Exception):
+    """Any of the below."""
 
 
-class SchemaDriftError(ListingError):
-    """A source's pages or answers changed, so that they can't be read any more."""
+class CheckpointError(LodestrataError, ValueError):
+    """Stored page positions can't be used by the scan at hand."""
 
 
-class BoardSchemaError(SchemaDriftError):
-    """The public board's own page framework changed."""
+class StoreError(LodestrataError):
+    """Files of a store or backup differ from what their manifest lists, or another writer was first."""
 
 
-class RateLimitError(ListingError):
-    """A source refuses more requests for now."""
-
-
-class LoginRequiredError(ListingError):
-    """A source wants an account."""
-
-
-class CheckpointError(ListingError, ValueError):
-    """A page checkpoint that doesn't belong to this scan, or lies behind its limit."""
-
-
-class SyncError(ListingError):
-    """A push that the other side didn't take as complete."""
+class SyncError(LodestrataError):
+    """A run was sent, but the receiver hasn't all of it."""

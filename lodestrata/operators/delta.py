@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def canonical_json(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in sorted(columns.items()))), {"ignoreNullFields": "false"})
 
 
+def canonical_bytes(value: dict) -> bytes:
+    """The same form of a small Python value; what JSON doesn't know stands as text."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str).encode()
+
+
 def sorted_map(c: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(c)))
 

@@ -1,14 +1,15 @@
-"""Output formats of listings; those for people are built from a bounded sample on the driver."""
+"""Output formats of listings: every row in each but the briefing, which is a sample."""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sample import balanced_sample
+from .sample import balanced_sample, ranked
 
 #: Columns of the flat form, and those of them that hold JSON.
 FLAT = [
@@ -41,44 +42,108 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def _place(r) -> str:
-    return r["prefecture_name"] or r["workplace"] or ""
+def _text(c: Column, width: int | None = None) -> Column:
+    plain = F.coalesce(c.cast("string"), F.lit(""))
+    return plain if width is None else F.substring(plain, 1, width)
 
 
-def markdown(df: DataFrame, n: int = 50) -> str:
-    """A table of the first n rows of an ordered frame."""
-    cell = lambda x, w: str(x or "")[:w].replace("|", "\\|")
-    lines = ["| Title | Company | Place | Posted | Source |", "|---|---|---|---|---|"]
-    for r in df.limit(n).collect():
-        lines.append(f"| [{cell(r['title'], 50)}]({r['url']}) | {cell(r['company'], 30)} | {cell(_place(r), 30)} | {r['date_posted'] or '-'} | {r['source']} |")
-    return "\n".join(lines)
+def _place() -> Column:
+    return F.when(_text(F.col("prefecture_name")) != "", F.col("prefecture_name")).otherwise(_text(F.col("workplace")))
 
 
-def table(df: DataFrame, n: int = 50) -> str:
-    """Columns of fixed width; short values are padded, long ones cut."""
-    rows = [(r["source"] or "", r["title"] or "", r["company"] or "", r["date_posted"] or "-") for r in df.limit(n).collect()]
-    return "\n".join(f"{s[:12]:<12} {t[:40]:<40} {c[:25]:<25} {d}" for s, t, c, d in rows)
+def _sources() -> Column:
+    return F.when(F.size(F.coalesce("found_on", F.array().cast("array<string>"))) > 0, F.array_join("found_on", ", ")).otherwise(_text(F.col("source")))
 
 
-def briefing(df: DataFrame, total: int, n: int = 50) -> str:
-    """Balanced sample as text blocks with snippets of 400 characters, and how many more there are."""
-    blocks = []
-    for i, r in enumerate(balanced_sample(df, n).collect(), 1):
-        blocks.append(f"[{i}] {r['title']}\n{r['company'] or 'unknown'} | {_place(r)} | {r['date_posted'] or 'undated'} | {r['source']}\n{r['url']}\n{(r['description_snippet'] or '')[:400]}")
-    if total > len(blocks):
-        blocks.append(f"... {total - len(blocks)} more")
-    return "\n\n".join(blocks)
+def _wage(missing: str) -> Column:
+    return F.when(_text(F.col("wage.raw")) != "", F.col("wage.raw")).otherwise(missing)
 
 
-FORMATS = {"markdown": markdown, "table": table}
+def _cell(c: Column, width: int | None = None) -> Column:
+    return F.replace(F.replace(_text(c, width), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def format_rows(df: DataFrame, name: str, n: int = 50) -> str:
-    if name == "json":
-        return json.dumps([json.loads(r["json"]) for r in json_rows(df.limit(n)).collect()], ensure_ascii=False, indent=2)
-    if name not in FORMATS:
+def _markdown() -> Column:
+    cells = [(F.col("_rank") + 1).cast("string"), _cell(_sources()), _cell(F.col("title"), 50), _cell(F.col("company"), 30), _cell(_place(), 30), _cell(_wage("\u2014")), _text(F.col("url"))]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def _table() -> Column:
+    wide = lambda c, n: F.rpad(_text(c, n), n, " ")
+    rows = [
+        F.concat(F.lit("  "), F.concat_ws(" | ", wide(F.col("title"), 60), wide(F.col("company"), 25), _text(F.col("source")))),
+        F.concat(F.lit("    at "), wide(_place(), 50), F.lit(" for "), _wage("\u2014")),
+        F.concat(F.lit("    "), _text(F.col("url"), 120)),
+        F.lit(""),
+    ]
+    return F.concat_ws("\n", *rows)
+
+
+#: How a listing stands in each format, and what stands between two listings.
+_ROWS = {"markdown": (_markdown, "\n"), "table": (_table, "\n"), "json": (lambda: F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), ",\n")}
+
+
+def lines(df: DataFrame, name: str) -> DataFrame:
+    """value: every listing of df in a format, in the order of _ord; markdown has its number."""
+    if name not in _ROWS:
         raise ValueError(f"unknown format {name!r}")
-    return FORMATS[name](df, n)
+    make, _ = _ROWS[name]
+    if name != "markdown":
+        return df.orderBy("_ord").select(make().alias("value"))
+    return ranked(df, ["_ord"]).orderBy("_rank").select(make().alias("value"))
+
+
+def heading(name: str, stats: dict) -> str:
+    """What stands before the listings: when, how many, and how many were left out or merged."""
+    at, total = stats.get("scanned_at", ""), stats.get("total", 0)
+    if name == "markdown":
+        counts = f"**Total:** {total} listings from {stats.get('sources', 0)} sources, {stats.get('raw_total', total)} read, {stats.get('filtered', 0)} filtered out, {stats.get('merged', 0)} merged"
+        return f"# Scan {at}\n{counts}\n\n| # | Source | Title | Company | Location | Wage | URL |\n|---|---|---|---|---|---|---|\n"
+    return f"{total} listings, {at}\n\n" if name == "table" else "[\n"
+
+
+def stream(df: DataFrame, name: str, stats: dict | None = None) -> Iterator[str]:
+    """The whole output of a format in pieces; one partition of the listings is held at a time.
+
+    df is ordered by _ord; there is no limit to how many listings are written.
+    """
+    rows = lines(df, name)
+    yield heading(name, stats or {})
+    between = ""
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        yield between + r["value"]
+        between = _ROWS[name][1]
+    yield "\n]\n" if name == "json" else "\n"
+
+
+def write_lines(df: DataFrame, name: str, path: str) -> None:
+    """The listings of a format as text files, part after part in order; for those too many for one file."""
+    lines(df, name).write.mode("overwrite").text(path)
+
+
+def format_rows(df: DataFrame, name: str, stats: dict | None = None) -> str:
+    """stream() as one string."""
+    return "".join(stream(df, name, stats))
+
+
+def briefing(df: DataFrame, stats: dict | None = None, n: int = 50) -> str:
+    """Text blocks of at most n listings, in rounds over the sources, for a reader that ranks them; says how many there are in all.
+
+    The only format that is a sample.
+    """
+    stats = stats or {}
+    chosen = balanced_sample(df, n).select(
+        _text(F.col("title")).alias("title"), _text(F.col("company")).alias("company"), _place().alias("place"), _wage("wage unknown").alias("wage"), _text(F.col("date_posted")).alias("posted"), _sources().alias("sources"),
+        F.array_join(F.coalesce("language", F.array().cast("array<string>")), ", ").alias("language"), _text(F.col("description_snippet"), 400).alias("snippet"), _text(F.col("url")).alias("url"),
+    ).collect()
+    total = stats.get("total", len(chosen))
+    out = [f"# {len(chosen)} of {total} listings", f"# Scan {stats.get('scanned_at', '')}", f"# Sources: {', '.join(stats.get('names', []))}", ""]
+    for i, r in enumerate(chosen, 1):
+        out += [f"[{i}] {r['title']}", f"    {r['company']}, {r['place'] or 'unknown place'}", f"    {r['wage']}, posted {r['posted'] or '?'}, from {r['sources']}"]
+        out += [f"    Languages: {r['language']}"] * bool(r["language"]) + [f"    {r['snippet']}"] * bool(r["snippet"]) + [f"    {r['url']}", ""]
+    if total > len(chosen):
+        out.append(f"... {total - len(chosen)} more")
+    return "\n".join(out)
 
 
 def audit_page(sample: DataFrame, summary: DataFrame, title: str = "Sample audit") -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.schema import canonical_id
+from .sample import ranked
 from ..plans.session import written
 from .normalize import blank, fingerprint, renew_flags
 
@@ -126,6 +127,15 @@ def count_by_source(df: DataFrame) -> DataFrame:
     return df.select(F.explode("found_on").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("total"))
 
 
-def ordered(df: DataFrame) -> DataFrame:
+def order() -> list[Column]:
     """Newest first, undated last; ties by source, title, arrival."""
-    return df.orderBy(F.col("date_posted").desc_nulls_last(), "source", F.lower("title"), "_ord")
+    return [F.col("date_posted").desc_nulls_last(), F.col("source").asc(), F.lower("title").asc(), F.col("_ord").asc()]
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    return df.orderBy(*order())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df whose _ord is the place in that order, from 0."""
+    return ranked(df, order()).drop("_ord", "_total").withColumnRenamed("_rank", "_ord")

@@ -327,6 +327,26 @@ def source_summary(spark, sf_dir):
     return sample.source_summary(df, sample.stride_sample(df, 20))
 
 
+@query(f"""WITH {T.LISTING_SQL}, r AS (SELECT source, price, row_number() OVER (PARTITION BY source ORDER BY price) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM listing)
+    SELECT source, share::DOUBLE AS share, price AS value FROM r, (VALUES (0.0), (0.25), (0.5), (0.75), (0.9), (1.0)) AS s(share) WHERE i = floor(share * (n - 1))""")
+def price_quantiles(spark, sf_dir):
+    return sample.quantiles(T.listing(spark, sf_dir), "price", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0], ["source"])
+
+
+LINE_SQL = f"""WITH {T.LISTING_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY date_posted DESC, source, lower(title), _ord) AS i FROM listing)"""
+
+
+@query(LINE_SQL + """ SELECT '| ' || i || ' | ' || source || ' | ' || left(title, 50) || ' | ' || left(company, 30) || ' | ' || left(upper(prefecture), 30) || ' | \u2014 | http://x/' || source_id || ' |' AS value FROM r""")
+def markdown_lines(spark, sf_dir):
+    return output.lines(resolve.numbered(T.listing(spark, sf_dir)), "markdown")
+
+
+@query(LINE_SQL + """ SELECT '  ' || rpad(left(title, 60), 60, ' ') || ' | ' || rpad(left(company, 25), 25, ' ') || ' | ' || source || chr(10) || '    at ' || rpad(left(upper(prefecture), 50), 50, ' ')
+    || ' for \u2014' || chr(10) || '    http://x/' || source_id || chr(10) AS value FROM r""")
+def table_lines(spark, sf_dir):
+    return output.lines(resolve.numbered(T.listing(spark, sf_dir)), "table")
+
+
 @query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 200) AS BIGINT) AS chunk FROM orders")
 def chunking(spark, sf_dir):
     return sample.chunks(T.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 200)

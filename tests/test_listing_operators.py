@@ -159,7 +159,7 @@ def test_samples_and_outputs(spark):
     got = sample.balanced_sample(df, 4).select("source", "source_id").collect()
     assert [tuple(r) for r in got] == [("large", "1"), ("small", "1"), ("large", "2"), ("small", "2")]
     assert {r["source"]: r["sampled"] for r in sample.source_summary(df, sample.stride_sample(df, 2)).collect()} == {"large": 2, "small": 2}
-    assert "large\\|1" in output.markdown(df) and "... 3 more" in output.briefing(df, 5, 2)
+    assert "large\\|1" in output.format_rows(df, "markdown") and "... 3 more" in output.briefing(df, {"total": 5}, 2)
     assert len(output.flat(df).columns) == 24
     with pytest.raises(ValueError):
         output.format_rows(df, "nope")

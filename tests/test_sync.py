@@ -107,7 +107,7 @@ def test_checkpoints_of_other_scans_are_refused(spark):
     o = coverage.PageOptions(auto=True, max_pages=5)
     got = {r["source"]: (r["start_page"], r["last_page"], r["reason"], r["coverage_complete"]) for r in coverage.resume_plan(crawls, old, o, {"c": 2}).collect()}
     assert got == {"a": (4, 5, None, None), "b": (10, 0, "checkpoint_complete", True), "c": (2, 5, None, None)}
-    with pytest.raises(Exception, match="resume page 4 exceeds its maximum page 3"):
+    with pytest.raises(Exception, match="page 4 lies behind the budget of 3"):
         coverage.resume_plan(crawls, old, coverage.PageOptions(auto=True, max_pages=3)).collect()
     assert coverage.single_page(crawls).first()["reason"] == "single_page_source"
     assert not coverage.aborted(crawls.withColumn("page", F.lit(2))).first()["coverage_complete"]
