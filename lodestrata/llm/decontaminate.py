@@ -17,8 +17,9 @@ and the plain words.
 
 Items of less than WINDOW words, down to one word, are joined as one window of their own
 length; templates are asked for from TEMPLATE_WORDS words on, the plain words at any length.
-Windows of a template need MIN_LITERALS words that aren't placeholders (all but two of the
-words of a shorter window), plain ones none.
+A window of a template needs one word that isn't a placeholder (for a window of placeholders alone would
+match any values; a shorter window needs all but two); plain ones need none.  What the windows of an alignment cover must hold
+MIN_LITERALS such words, or all that the item has where these are fewer, but three at least.
 
 Null texts are empty and match nothing; a null doc_id or item_id is reported
 as null.  Different texts under one doc_id are judged each by itself, and so are items
@@ -37,8 +38,8 @@ from .common import fresh, materialise
 WINDOW = 8
 #: Words of the shortest window that is looked for by templates.
 TEMPLATE_WORDS = 4
-#: Words of a window that must not be placeholders.
-MIN_LITERALS = 4
+#: Words of an item that aren't placeholders, of which its template windows must cover so many (or all, of three).
+MIN_LITERALS, LEAST_LITERALS = 4, 3
 #: Windows (13 words in a row) that are enough for any item.
 ENOUGH = 6
 #: Share of an item's windows that is enough.
@@ -57,6 +58,8 @@ UNITS = (
 _OPEN, _CLOSE = "\x01", "\x02"
 #: Types of slots in the two templates; q is a capitalised word at any other place.
 _TYPES = ("nup", "nupq")
+#: What stands for a whole item.
+_ITEM = ("windows1", "windows2", "item_windows", "literals1", "literals2")
 
 
 def canonical(text: Column) -> Column:
@@ -127,7 +130,10 @@ def _asked(lengths: list[int]) -> list[tuple[int, int]]:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item, item_id, length, ipos, form, h, win (canonical words), windows1, windows2, item_windows: a row for each window and form that is looked for."""
+    """A row for each window and form that is looked for: item, item_id, length, ipos, form, h, win (canonical words), literals (places in the item of words that aren't placeholders).
+
+    windows1, windows2, item_windows and literals1, literals2 count the item's windows and literals in each form.
+    """
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     words = rows.select("item_id", "text", _split(canonical(F.col("text"))).alias("words"))
     sized = words.where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window))).withColumn("item", F.monotonically_increasing_id())
@@ -140,11 +146,15 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     for length, form in _asked(lengths):
         own = hashed.where(F.col("length") == length).select("item", "item_id", "length", F.lit(form).alias("form"), "words", "n", F.posexplode_outer(f"h{length}_{form}").alias("ipos", "h")).where((F.col("ipos") <= F.col("n") - length) & F.col("h").isNotNull())
         own = own.withColumn("win", F.array_join(F.slice("words", F.col("ipos") + 1, F.lit(length)), " ")).drop("words", "n")
-        literals = F.size(F.filter(F.split(forms(F.col("win"))[form], " "), lambda w: ~w.startswith("<")))
-        own = own.withColumn("use", F.lit(True) if form == 2 else literals >= min(MIN_LITERALS, length - 2))
+        spots = F.filter(F.transform(F.split(forms(F.col("win"))[form], " "), lambda w, i: F.when(~w.startswith("<"), F.col("ipos") + i)), lambda x: x.isNotNull())
+        own = own.withColumn("literals", F.array().cast("array<int>") if form == 2 else spots)
+        own = own.withColumn("use", F.lit(True) if form == 2 else F.size("literals") >= (1 if length == window else min(MIN_LITERALS, length - 2)))
         each = own if each is None else each.unionAll(own)
-    of = lambda k: F.sum((F.col("use") & (F.col("form") == k)).cast("long")).over(W.partitionBy("item"))
-    return materialise(each.withColumns({"windows1": of(0), "windows2": of(1), "item_windows": of(2)}).where("use").drop("use"), "benchmark-windows")
+    by_item = W.partitionBy("item")  # windows of one item
+    of = lambda k: F.sum((F.col("use") & (F.col("form") == k)).cast("long")).over(by_item)
+    all_of = lambda k: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == k, F.col("literals"))).over(by_item))))
+    counted = each.withColumns({"windows1": of(0), "windows2": of(1), "item_windows": of(2), "literals1": all_of(0), "literals2": all_of(1)})
+    return materialise(counted.where("use").drop("use"), "benchmark-windows")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -171,7 +181,7 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _compared(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, digest, item, item_id, shift, ipos, form, pairs (slots of item and document) of windows that are the same in a form."""
+    """doc_id, digest, item, item_id, shift, ipos, form, pairs (slots of item and document), literals of windows that are the same in a form."""
     hits = materialise(_hits(docs, items), "benchmark-hits")
     keys = _small(materialise(hits.select("doc_id", "digest").distinct(), "benchmark-hit-docs"))
     some = docs.join(keys, _same_doc(docs, keys), "left_semi").distinct().select("doc_id", "digest", _split(canonical(F.col("text"))).alias("words"))
@@ -179,14 +189,14 @@ def _compared(docs: DataFrame, items: DataFrame) -> DataFrame:
     by_doc = hits.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "ipos", "form", "length", "pos")).alias("hits"))
     each = some.join(by_doc, _same_doc(some, by_doc)).select(some["doc_id"], some["digest"], F.explode(F.transform("hits", lambda x: F.struct(x.alias("hit"), F.array_join(F.slice(F.col("words"), x["pos"] + 1, x["length"]), " ").alias("win")))).alias("x"))
     each = each.select("doc_id", "digest", "x.hit.*", F.col("x.win").alias("dwin"))
-    met = each.join(_small(items.select("item", "item_id", "ipos", "form", "win", "windows1", "windows2", "item_windows")), ["item", "ipos", "form"])
+    met = each.join(_small(items.select("item", "item_id", "ipos", "form", "win", "literals", *_ITEM)), ["item", "ipos", "form"])
     same, pairs = F.lit(False), F.lit(None)
     for k, (a, b) in enumerate(zip(forms(F.col("win")), forms(F.col("dwin")), strict=True)):
         same = F.when(F.col("form") == k, a == b).otherwise(same)
     for k, types in enumerate(_TYPES):
         zipped = F.arrays_zip(_slots(F.col("win"), types).alias("islots"), _slots(F.col("dwin"), types).alias("slots"))
         pairs = F.when(F.col("form") == k, zipped).otherwise(pairs)
-    return met.where(same).select("doc_id", "digest", "item", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "form", pairs.alias("pairs"), "windows1", "windows2", "item_windows")
+    return met.where(same).select("doc_id", "digest", "item", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "form", pairs.alias("pairs"), "literals", *_ITEM)
 
 
 def _found(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -194,7 +204,8 @@ def _found(hits: DataFrame, by: list[str]) -> DataFrame:
     # Values of one alignment: a few words, for there are no more windows in it than in the item.
     pairs = [F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == k - 1, F.col("pairs"))))).alias(f"pairs{k}") for k in (1, 2)]
     n = [F.size(F.collect_set(F.when(F.col("form") == k - 1, F.col("ipos")))).alias(f"n{k}") for k in (1, 2, 3)]
-    out = hits.groupBy(*by).agg(*n, *(F.max(c).alias(c) for c in ("windows1", "windows2", "item_windows")), *pairs)
+    covered = [F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == k - 1, F.col("literals")))))).alias(f"covered{k}") for k in (1, 2)]
+    out = hits.groupBy(*by).agg(*n, *covered, *(F.max(c).alias(c) for c in _ITEM), *pairs)
     for k in (1, 2):
         sources = F.size(F.array_distinct(F.transform(f"pairs{k}", lambda p: p["islots"])))
         out = out.withColumn(f"slots{k}", sources).withColumn(f"conflicts{k}", F.size(f"pairs{k}") - F.col(f"slots{k}"))
@@ -211,7 +222,9 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     """doc_id, digest, item_id, n_windows, item_windows, n_slots of each text and item that it holds."""
     hits = materialise(_compared(_digested(docs), item_windows(benchmark, window)), "benchmark-same")  # two groupings read them
     enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= ENOUGH) | (F.col(n) >= SHARE * F.col(of)))
-    ways = [enough("n1", "windows1") & (F.col("conflicts1") == 0), enough("n2", "windows2") & (F.col("conflicts2") == 0), enough("n3", "item_windows")]
+    # Words that aren't placeholders; an item shorter than a window has its own rule for them.
+    told = lambda k: (F.col("item_windows") == 1) | ((F.col(f"covered{k}") >= F.least(F.lit(MIN_LITERALS), f"literals{k}")) & (F.col(f"literals{k}") >= LEAST_LITERALS))
+    ways = [enough("n1", "windows1") & (F.col("conflicts1") == 0) & told(1), enough("n2", "windows2") & (F.col("conflicts2") == 0) & told(2), enough("n3", "item_windows")]
     columns = ["doc_id", "digest", "item", "item_id", "n_windows", "item_windows", "n_slots"]
     parts = []
     for by in (["doc_id", "digest", "item", "item_id", "shift"], ["doc_id", "digest", "item", "item_id"]):

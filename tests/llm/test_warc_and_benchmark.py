@@ -104,6 +104,23 @@ def test_short_items_and_numbers(spark):
     assert not {3, 5} & {d for d, _ in got}
 
 
+def test_items_of_few_literals(spark):
+    items = [
+        "In May 2020 Tom paid 5 usd to Anna Smith, 7 usd to Ben Jones, 9 usd to Eva Brown and 11 usd to Max Stone",
+        "12 kg + 5 kg = 17 kg for Tom",
+        "Sort the list 3 9 1 4 7 2 8 6 5 0 11 13",
+    ]
+    docs = [
+        "so In June 1999 Kim paid 15 usd to Lisa White, 17 usd to Jan Black, 19 usd to Ida Green and 21 usd to Leo Grey they say",
+        "here 22 kg + 15 kg = 37 kg for Anna it was",
+        "then the list 5 1 2 3 9 8 7 6 4 0 12 10 was long",
+        "on 5 May 2020 Tom and 3 others paid 5 usd , 6 usd , 7 usd for 8 kg and 9 kg of it",
+        "1 kg 2 kg 3 kg 4 kg 5 kg 6 kg = 7 kg",
+        "Sort the list 13 19 11 14 17 12 18 16 15 10 21 23",
+    ]
+    assert found(spark, items, docs) == {(0, 0), (1, 1), (5, 2)}
+
+
 def brute_hits(docs, items, k=8):
     """Plain windows of whole texts, one by one."""
     out = set()
