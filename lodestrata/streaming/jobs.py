@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.coverage import PageOptions, page_budget
+from ..operators.coverage import PageOptions
 from ..plans import tables as T
 from ..plans.session import shared_folder
+from .pages import stops
 
 
 def _places(spark: SparkSession) -> tuple[str, str]:
@@ -51,37 +48,9 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(days, "complete")
 
 
-def _stops(limit: int, auto: bool):
-    def step(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, stopped = state.get if state.exists else (0, False)
-        rows = pd.concat(list(parts)).sort_values("page")
-        for r in rows.itertuples():
-            if stopped:
-                break
-            streak = streak + 1 if r.added == 0 else 0
-            tolerance = max(1, int(r.no_new_tolerance))
-            if r.rows == 0 and not (r.stop_on_no_new and r.has_next) or not r.has_next:
-                reason = "server_filtered_end" if r.server_date_filtered else "source_end"
-            elif r.stop_on_no_new and streak >= tolerance:
-                reason = "repeated_page"
-            elif r.page >= limit:
-                reason = "safety_cap" if auto else "page_limit"
-            else:
-                continue
-            stopped = True
-            yield pd.DataFrame([(*key, int(r.page), reason)], columns=["source", "keyword", "page", "reason"])
-        state.update((int(streak), bool(stopped)))
-
-    return step
-
-
 def page_stops(spark: SparkSession, sf_dir: str, o: PageOptions) -> DataFrame:
-    """Where each crawl stops, page by page with a streak as state; the same as coverage.first_stop()."""
-    pages = T.pages(spark, sf_dir)
+    """Where each crawl of the page table stops, the same as coverage.first_stop()."""
     source, _ = _places(spark)
     # The page table as a landing folder of the stream.
-    pages.write.parquet(f"{source}-pages")
-    stream = spark.readStream.schema(pages.schema).parquet(f"{source}-pages")
-    keyed = stream.groupBy("source", "keyword")
-    found = keyed.applyInPandasWithState(_stops(page_budget(o), o.auto), "source string, keyword string, page long, reason string", "streak int, stopped boolean", "append", GroupStateTimeout.NoTimeout)
-    return run_once(found)
+    T.pages(spark, sf_dir).write.parquet(f"{source}-pages")
+    return run_once(stops(spark.readStream.schema(T.pages(spark, sf_dir).schema).parquet(f"{source}-pages"), o))
