@@ -617,4 +617,18 @@ def streaming_days(spark, sf_dir):
 
 @query(STREAK_SQL + "SELECT source, keyword, page, reason FROM stop")
 def streaming_pages(spark, sf_dir):
-    return streaming.page_stops(spark, sf_dir, PAGES)
+    return streaming.page_stops(T.pages(spark, sf_dir), PAGES).select("source", "keyword", "page", "reason")
+
+
+DATED = coverage.PageOptions(auto=True, max_pages=9, per_source={"click": 4, "view": 30}, cutoff=date(2024, 1, 28))
+
+
+@query(f"""WITH {T.DATED_SQL}, island AS (SELECT *, sum(CASE WHEN added > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, keyword, context ORDER BY page) AS g FROM dated),
+    streak AS (SELECT *, sum(CASE WHEN added = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, keyword, context, g ORDER BY page) AS streak FROM island),
+    decided AS (SELECT *, CASE WHEN NOT has_next THEN 'source_end' WHEN page >= total_pages THEN 'source_end' WHEN day < DATE '2024-01-28' THEN 'date_boundary' WHEN streak >= 3 THEN 'repeated_page'
+        WHEN page >= CASE source WHEN 'click' THEN 4 WHEN 'view' THEN 30 ELSE 9 END THEN 'safety_cap' END AS reason FROM streak)
+    SELECT source, keyword, context, min(page) AS page, arg_min(reason, page) AS reason, arg_min(reason, page) IN ('source_end', 'date_boundary') AS coverage_complete, arg_min(strftime(day, '%Y-%m-%d'), page) AS oldest_date
+    FROM decided WHERE reason IS NOT NULL GROUP BY 1, 2, 3""")
+def streaming_dated_pages(spark, sf_dir):
+    """Pages with a cutoff, contexts, page totals and budgets by source, through the stateful page controller."""
+    return streaming.page_stops(T.dated_pages(spark, sf_dir), DATED)

@@ -35,6 +35,14 @@ PAGE_SQL = """
 """
 
 
+DATED_SQL = """
+    dated AS (
+        SELECT event_type AS source, CAST(user_id % 5 AS VARCHAR) AS keyword, CAST(user_id % 2 AS VARCHAR) AS context, row_number() OVER (PARTITION BY event_type, user_id % 5, user_id % 2 ORDER BY ts DESC, event_id) AS page,
+               event_id % 11 AS "rows", CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 11 END AS added, CAST(ts AS DATE) AS day, event_id % 47 <> 0 AS has_next, CASE WHEN user_id % 5 = 4 THEN 6 END AS total_pages
+        FROM events)
+"""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -110,3 +118,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, 0).otherwise(rows).alias("added"), F.array().cast("array<string>").alias("dates"), (F.col("event_id") % 13 != 0).alias("has_next"),
         F.lit(None).cast("int").alias("total_pages"), F.lit(False).alias("date_ordered"), F.lit(False).alias("server_date_filtered"), F.lit(True).alias("stop_on_no_new"), F.lit(3).alias("no_new_tolerance"),
     )
+
+
+def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pages in two contexts, newest first, each with the day of its rows."""
+    from pyspark.sql import Window as W
+
+    e = read(spark, sf_dir, "events")
+    n = F.row_number().over(W.partitionBy("event_type", F.col("user_id") % 5, F.col("user_id") % 2).orderBy(F.desc("ts"), "event_id"))
+    rows = (F.col("event_id") % 11).cast("int")
+    return e.select(
+        F.col("event_type").alias("source"), (F.col("user_id") % 5).cast("string").alias("keyword"), (F.col("user_id") % 2).cast("string").alias("context"), n.alias("page"), rows.alias("rows"),
+        F.when(F.col("event_id") % 3 == 0, 0).otherwise(rows).alias("added"), F.array(F.date_format("ts", "yyyy/MM/dd")).alias("dates"), (F.col("event_id") % 47 != 0).alias("has_next"),
+        F.when(F.col("user_id") % 5 == 4, 6).alias("total_pages"), F.lit(True).alias("date_ordered"), F.lit(False).alias("server_date_filtered"), F.lit(True).alias("stop_on_no_new"), F.lit(3).alias("no_new_tolerance"),
+    )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import PageOptions
-from ..plans import tables as T
 from ..plans.session import shared_folder
 from .pages import stops
 
@@ -48,9 +47,9 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(days, "complete")
 
 
-def page_stops(spark: SparkSession, sf_dir: str, o: PageOptions) -> DataFrame:
-    """Where each crawl of the page table stops, the same as coverage.first_stop()."""
+def page_stops(pages: DataFrame, o: PageOptions) -> DataFrame:
+    """Where each crawl of a table of pages stops, through the stream; the same as coverage.first_stop()."""
+    spark = pages.sparkSession
     source, _ = _places(spark)
-    # The page table as a landing folder of the stream.
-    T.pages(spark, sf_dir).write.parquet(f"{source}-pages")
-    return run_once(stops(spark.readStream.schema(T.pages(spark, sf_dir).schema).parquet(f"{source}-pages"), o))
+    pages.write.parquet(f"{source}-pages")  # the landing folder of the stream
+    return run_once(stops(spark.readStream.schema(pages.schema).parquet(f"{source}-pages"), o))
