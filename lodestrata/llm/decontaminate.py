@@ -62,14 +62,18 @@ _TYPES = ("nup", "nupq")
 _ITEM = ("windows1", "windows2", "item_windows", "literals1", "literals2")
 
 
+def spaced(text: Column) -> Column:
+    """A text with one space before each word."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), rf"[{_OPEN}{_CLOSE}\t-\r\x1c-\x1f\x85]\s*+| \s++", " ")
+
+
 def canonical(text: Column) -> Column:
     """Template of a text, one word for each word; a placeholder holds its type and value.
 
     All expressions begin at the space before a word: those that begin with a look-behind are tried at every character.
     """
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), rf"[{_OPEN}{_CLOSE}\t-\r\x1c-\x1f\x85]\s*+| \s++", " ")
-    t = F.regexp_replace(t, rf"(\d )({units})(?=[ .,;:!?)]|$)", f"$1{_OPEN}u:$2{_CLOSE}")
+    t = F.regexp_replace(spaced(text), rf"(\d )({units})(?=[ .,;:!?)]|$)", f"$1{_OPEN}u:$2{_CLOSE}")
     t = F.regexp_replace(t, rf" (?=\S*?\d)([^ {_OPEN}]++)", f" {_OPEN}n:$1{_CLOSE}")
     t = F.regexp_replace(t, rf" (?<=[\p{{Ll}},;{_CLOSE}] )(\p{{Lu}}\p{{Ll}}++)", f" {_OPEN}p:$1{_CLOSE}")
     t = F.regexp_replace(t, r" ([\"'(\[]*+)(\p{Lu}\p{Ll}++)", f" $1{_OPEN}q:$2{_CLOSE}")
@@ -107,8 +111,8 @@ def window_hashes(table: DataFrame, keys: list[str], lengths: list[int]) -> Data
     One projection for each step, so that no array is worked out twice; those who explode them
     do it with the outer form, for Spark else filters by the size of an array it would build anew.
     """
-    t = table.select(*keys, canonical(F.col("text")).alias("c"))
-    t = t.select(*keys, *(f.alias(f"t{k}") for k, f in enumerate(forms(F.col("c")))))
+    t = table.select(*keys, canonical(F.col("text")).alias("c"), F.lower(F.trim(spaced(F.col("text")))).alias("t2"))  # the plain words need no placeholder undone
+    t = t.select(*keys, *(f.alias(f"t{k}") for k, f in enumerate(forms(F.col("c"))[:2])), "t2")
     t = t.select(*keys, *(_split(F.col(f"t{k}")).alias(f"w{k}") for k in range(3)))
     t = t.select(*keys, F.size("w2").alias("n"), *(F.transform(f"w{k}", _seeded(k)).alias(f"h1_{k}") for k in range(3)))
     have = [1]
