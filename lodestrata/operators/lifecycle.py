@@ -1,8 +1,7 @@
 """Lifecycle of listings over runs: new, seen, missing, withdrawn, expired, purged.
 
-State is a set of tables (listings, sightings, source_runs, runs, attempts); a run gives new
-tables from the old ones and a batch, all in one lazy plan.  The store publishes
-them as one version.
+State is a set of tables (listings, sightings, source_runs, runs, attempts, stale); a run gives the
+rows of each that change.  The store writes these alone and publishes them as one version.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.schema import LISTING
-from ..plans.session import checkpointed
+from ..plans.session import Scratch
 
 LISTINGS = (
     "id string, title string, company string, prefecture string, date_posted string, first_seen_at string, last_seen_at string, status string, "
@@ -30,7 +29,9 @@ SOURCE_RUNS = (
 )
 RUNS = "scanned_at string, window_start string, window_end string, total int"
 ATTEMPTS = "source string, source_id string, attempted_at string, status string"
-TABLES = {"listings": LISTINGS, "sightings": SIGHTINGS, "source_runs": SOURCE_RUNS, "runs": RUNS, "attempts": ATTEMPTS}
+#: Listings whose sightings changed since their states were worked out.
+STALE = "id string"
+TABLES = {"listings": LISTINGS, "sightings": SIGHTINGS, "source_runs": SOURCE_RUNS, "runs": RUNS, "attempts": ATTEMPTS, "stale": STALE}
 
 LIVE = ("active", "missing")
 #: Runs of which the median is the baseline, its least size to count, and the share under which a run is a sudden drop.
@@ -183,6 +184,21 @@ def orphans(listings: DataFrame, sightings: DataFrame) -> DataFrame:
     return listings.join(sightings, listings["id"] == sightings["job_id"], "left_anti")
 
 
+@dataclass
+class Change:
+    """What a run writes to a table: new forms of rows, and keys that go."""
+
+    key: tuple[str, ...]
+    upserts: DataFrame
+    deletes: DataFrame
+
+    def touched(self) -> DataFrame:
+        return self.upserts.select(*self.key).unionByName(self.deletes.select(*self.key)).distinct()
+
+    def apply(self, old: DataFrame) -> DataFrame:
+        return old.join(self.touched(), list(self.key), "left_anti").select(self.upserts.columns).unionByName(self.upserts)
+
+
 @dataclass
 class RunResult:
     tables: dict[str, DataFrame]
@@ -190,6 +206,8 @@ class RunResult:
     marked: DataFrame  # sightings that this run marked, with their new status
     expired: DataFrame
     purged: DataFrame
+    changes: dict[str, Change]
+    scratch: Scratch  # holds all of these; dropped when they are stored
 
 
 def missing(live: DataFrame, outcome: DataFrame, keys: DataFrame) -> DataFrame:
@@ -205,76 +223,101 @@ def mark_missing(rows: DataFrame, threshold: int, at: Column) -> DataFrame:
 
 
 def apply_run(state: dict[str, DataFrame], batch: DataFrame, per_source: DataFrame, o: RunOptions, attempts: DataFrame | None = None) -> RunResult:
-    """One run over the state.
+    """One run over the state, as changes to its tables.
 
     batch: id, title, company, prefecture, date_posted, first_seen_at?, source_ids and source_urls (maps), url,
     payload, _ord.  per_source: source, status, coverage_complete, kept, total.
+
+    Only rows that change are written anywhere.  A listing's state is worked out anew where its sightings
+    changed in this run, or since the states were worked out last (table stale); for all others it would come out the same.
     """
-    at = F.lit(o.scanned_at)
-    listings, sightings = state["listings"], state["sightings"]
+    scratch = Scratch(batch.sparkSession)
+    keep = scratch.keep
+    at, none = F.lit(o.scanned_at), F.lit(None).cast("string")
+    listings, sightings, stale = state["listings"], state["sightings"], state["stale"]
+    place, sighting = ["source", "source_id"], ["job_id", "source", "source_id"]
     # A repeated id is written twice in order: its last row stays.
     last = W.partitionBy("id").orderBy(F.desc("_ord"))
     rows = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     keys = batch.select("id", "url", "source_urls", "_ord", F.explode("source_ids").alias("source", "source_id"))
     by_key = W.partitionBy("source", "source_id").orderBy(F.desc("_ord"))
     keys = keys.withColumn("_n", F.row_number().over(by_key)).where("_n = 1")
-    keys = keys.select(F.col("id").alias("job_id"), "source", "source_id", F.coalesce(F.try_element_at("source_urls", "source"), "url").alias("url"))
-    prior = latest_sightings(sightings).select("source", "source_id", F.col("first_seen_at").alias("p_first"), F.col("status").alias("p_status"))
-    seen = keys.join(prior, ["source", "source_id"], "left")
+    keys = keep(keys.select(F.col("id").alias("job_id"), "source", "source_id", F.coalesce(F.try_element_at("source_urls", "source"), "url").alias("url")))
+    replaced = keep(sightings.join(keys.select(place), place, "left_semi"))  # no more than the batch has keys, times the listings that one had
+    prior = latest_sightings(replaced).select("source", "source_id", F.col("first_seen_at").alias("p_first"), F.col("status").alias("p_status"))
+    seen = keys.join(prior, place, "left")
     # A prior sighting counts as live only if all of them are.
     known = seen.groupBy("job_id").agg(F.min("p_first").alias("p_first"), F.max_by("p_status", F.when(F.col("p_status").isin(*LIVE), 0).otherwise(1)).alias("p_status"))
-    old = listings.select(F.col("id").alias("job_id"), F.col("first_seen_at").alias("e_first"), F.col("status").alias("e_status"), F.col("payload").alias("e_payload"))
+    old = listings.join(rows.select("id"), "id", "left_semi").select(F.col("id").alias("job_id"), F.col("first_seen_at").alias("e_first"), F.col("status").alias("e_status"), F.col("payload").alias("e_payload"))
     joined = rows.join(known, rows["id"] == known["job_id"], "left").drop("job_id").join(old, F.col("id") == F.col("job_id"), "left").drop("job_id")
-    classes = joined.select("id", classify(F.col("e_status"), F.col("p_status")).alias("class"))
     first = F.coalesce("e_first", F.least("p_first", "e_first"), at)
-    none = F.lit(None).cast("string")
-    written = joined.select(
+    written = keep(joined.select(
         "id", "title", "company", "prefecture", "date_posted", first.alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"),
         at.alias("last_checked_at"), none.alias("withdrawn_at"), none.alias("expired_at"), none.alias("removal_reason"), merge_payload(F.col("e_payload"), F.col("payload")).alias("payload"),
-    )
-    listings = listings.join(written, "id", "left_anti").unionByName(written)
-    fresh = seen.select("job_id", "source", "source_id", "url", F.coalesce("p_first", at).alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"), at.alias("last_checked_at"), none.alias("withdrawn_at"))
-    sightings = sightings.join(keys, ["source", "source_id"], "left_anti").select(fresh.columns).unionByName(fresh)
-    # All steps behind this one read both; written once, their plans stay short.
-    listings, sightings, keys, classes = checkpointed(listings), checkpointed(sightings), checkpointed(keys), checkpointed(classes)
+        classify(F.col("e_status"), F.col("p_status")).alias("class"),
+    ))
+    classes, written = written.select("id", "class"), written.drop("class")
+    fresh = keep(seen.select("job_id", "source", "source_id", "url", F.coalesce("p_first", at).alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("status"), F.lit(0).alias("missing_count"), at.alias("last_checked_at"), none.alias("withdrawn_at")))
+    moved = replaced.select(sighting).join(fresh.select(sighting), sighting, "left_anti")
 
     none_yet = listings.sparkSession.createDataFrame([], "id string")
-    marked, expired, purged = sightings.limit(0), none_yet, none_yet
+    marked, expired, purged, orphaned = fresh.limit(0), none_yet, none_yet, none_yet
     outcome = per_source.withColumns({"reconciliation_applied": F.lit(False), "reconciliation_reason": F.lit("maintenance_disabled")})
+    named = lambda df, c: df.select(F.col(c).alias("id"))
+    affected = named(fresh, "job_id").union(named(replaced, "job_id")).union(written.select("id"))
+    new_listings, new_sightings, gone = written, fresh, moved
     if o.maintenance:
-        live = sightings.where(F.col("status").isin(*LIVE)).join(listings.where(in_window(o)).select(F.col("id").alias("job_id")), "job_id", "left_semi")
+        others = sightings.join(keys.select(place), place, "left_anti")
+        dated = listings.select("id", "date_posted").join(written.select("id"), "id", "left_anti").union(written.select("id", "date_posted")).where(in_window(o))
+        live = others.unionByName(fresh).where(F.col("status").isin(*LIVE)).join(dated.select(F.col("id").alias("job_id")), "job_id", "left_semi")
         counted = live.groupBy("source").agg(F.count(F.lit(1)).alias("live"))
         current = keys.groupBy("source").agg(F.count_distinct("source_id").alias("current"))
         guard = per_source.join(baselines(state["source_runs"]), "source", "left").join(counted, "source", "left").join(current, "source", "left")
         guard = guard.withColumns({"current": F.coalesce("current", F.lit(0)), "baseline": F.coalesce("baseline", F.coalesce("live", F.lit(0)).cast("double"))})
         guard = guard.withColumn("reconciliation_reason", skip_reason(o.sudden_drop_ratio)).withColumn("reconciliation_applied", F.col("reconciliation_reason").isNull())
-        outcome = checkpointed(guard.select(outcome.columns))
-        marked = mark_missing(missing(live, outcome, keys), o.missing_threshold, at).select(fresh.columns)
-        marked = checkpointed(marked)
-        sightings = sightings.join(marked, ["job_id", "source", "source_id"], "left_anti").select(fresh.columns).unionByName(marked)
-        listings = checkpointed(refresh(listings, sightings, o.scanned_at))
-        expired = checkpointed(expiring(listings, o))
-        ids = expired.withColumn("_expired", F.lit(True))
+        outcome = keep(guard.select(outcome.columns))
+        marked = keep(mark_missing(missing(live, outcome, keys), o.missing_threshold, at).select(fresh.columns))
+        new_sightings = fresh.unionByName(marked)
+        affected = keep(affected.union(named(marked, "job_id")).union(stale.select("id")).distinct())
+
+        def present(ids: DataFrame) -> DataFrame:
+            """Sightings of some listings as they stand after this run."""
+            own = ids.withColumnRenamed("id", "job_id")
+            untouched = sightings.join(own, "job_id", "left_semi").join(gone.unionByName(new_sightings.select(sighting)), sighting, "left_anti").select(fresh.columns)
+            return untouched.unionByName(new_sightings.join(own, "job_id", "left_semi").select(fresh.columns))
+
+        rest = listings.join(affected, "id", "left_anti")
+        own = listings.join(affected, "id", "left_semi").join(written.select("id"), "id", "left_anti").select(written.columns).unionByName(written)
+        refreshed = keep(refresh(own, present(affected), o.scanned_at))
+        expired = keep(expiring(refreshed, o).union(expiring(rest, o)))
         hit = F.col("_expired").isNotNull()
-        columns = listings.columns
-        listings = listings.join(ids, "id", "left").withColumns({"status": F.when(hit, "expired").otherwise(F.col("status")), "expired_at": F.when(hit, F.coalesce("expired_at", at)).otherwise(F.col("expired_at")), "removal_reason": F.when(hit, "retention_window").otherwise(F.col("removal_reason"))}).select(columns)
-        sightings = sightings.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left").withColumns({"status": F.when(hit, "expired").otherwise(F.col("status")), "last_checked_at": F.when(hit, at).otherwise(F.col("last_checked_at"))}).select(fresh.columns)
-        listings = checkpointed(listings)
-        purged = checkpointed(purging(listings, o))
-        listings = listings.join(purged, "id", "left_anti")
-        sightings = sightings.join(purged.withColumnRenamed("id", "job_id"), "job_id", "left_anti")
-        listings = listings.join(sightings.select(F.col("job_id").alias("id")), "id", "left_semi")
+        ids = expired.withColumn("_expired", F.lit(True))
+        ended = refreshed.unionByName(rest.join(expired, "id", "left_semi").select(refreshed.columns)).join(ids, "id", "left").withColumns({"status": F.when(hit, "expired").otherwise(F.col("status")), "expired_at": F.when(hit, F.coalesce("expired_at", at)).otherwise(F.col("expired_at")), "removal_reason": F.when(hit, "retention_window").otherwise(F.col("removal_reason"))}).select(refreshed.columns)
+        ended = keep(ended)
+        over = keep(present(expired).withColumns({"status": F.lit("expired"), "last_checked_at": at}))
+        new_sightings = new_sightings.join(over.select(sighting), sighting, "left_anti").unionByName(over.select(fresh.columns))
+        purged = keep(purging(ended, o).union(purging(rest.join(expired, "id", "left_anti"), o)))
+        gone = gone.unionByName(present(purged).select(sighting)).distinct()
+        new_sightings = new_sightings.join(purged.withColumnRenamed("id", "job_id"), "job_id", "left_anti").select(fresh.columns)
+        kept = ended.join(purged, "id", "left_anti")
+        orphaned = keep(kept.join(present(kept.select("id")).select(F.col("job_id").alias("id")), "id", "left_anti").select("id"))
+        new_listings = kept.join(orphaned, "id", "left_anti")
+        stale = expired.join(purged.union(orphaned), "id", "left_anti")  # their checks are dated anew in the next run
+    else:
+        stale = stale.select("id").union(affected).distinct()
     spark = batch.sparkSession
     runs = spark.createDataFrame([(o.scanned_at, o.window_start, o.window_end, 0)], RUNS)
     new_sources = outcome.withColumn("scanned_at", at).selectExpr("scanned_at", "source", "status", "cast(kept as int) kept", "cast(total as int) total", "coverage_complete", "reconciliation_applied", "reconciliation_reason")
-    tables = {
-        "listings": listings,
-        "sightings": sightings,
-        "source_runs": state["source_runs"].join(new_sources, ["scanned_at", "source"], "left_anti").unionByName(new_sources),
-        "runs": state["runs"].where(F.col("scanned_at") != at).unionByName(runs),
-        "attempts": state["attempts"],
+    if attempts is not None:
+        tried = attempts.where("coalesce(source, '') != '' AND coalesce(source_id, '') != '' AND coalesce(status, '') != ''").select("source", "source_id", at.alias("attempted_at"), "status").dropDuplicates(place)
+    nothing = lambda df, *key: df.select(*key).limit(0)
+    changes = {
+        "listings": Change(("id",), keep(new_listings), purged.union(orphaned)),
+        "sightings": Change(tuple(sighting), keep(new_sightings.select(fresh.columns)), gone),
+        "source_runs": Change(("scanned_at", "source"), new_sources, nothing(new_sources, "scanned_at", "source")),
+        "runs": Change(("scanned_at",), runs, nothing(runs, "scanned_at")),
     }
     if attempts is not None:
-        tried = attempts.where("coalesce(source, '') != '' AND coalesce(source_id, '') != '' AND coalesce(status, '') != ''").select("source", "source_id", at.alias("attempted_at"), "status").dropDuplicates(["source", "source_id"])
-        tables["attempts"] = state["attempts"].join(tried, ["source", "source_id"], "left_anti").select(tried.columns).unionByName(tried)
-    return RunResult(tables, classes, marked, expired, purged)
+        changes["attempts"] = Change(tuple(place), tried, nothing(tried, *place))
+    changes["stale"] = Change(("id",), stale, state["stale"].select("id").join(stale, "id", "left_anti"))
+    return RunResult(state | {k: c.apply(state[k]) for k, c in changes.items()}, classes, marked, expired, purged, changes, scratch)

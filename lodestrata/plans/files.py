@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,6 +29,34 @@ class Folder:
         at = self._path(self.path(name) if name else self.root)
         return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def sizes(self, name: str) -> dict[str, int]:
+        """Bytes of every file below a folder, by its path from there; hidden files and markers are left out."""
+        at = self._path(self.path(name))
+        if not self._fs.exists(at):
+            return {}
+        top, out, files = self._fs.getFileStatus(at).getPath().toString(), {}, self._fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            inner = f.getPath().toString()[len(top) + 1 :]
+            if not inner.rpartition("/")[2].startswith(("_", ".")):
+                out[inner] = f.getLen()
+        return out
+
+    def claim(self, name: str, body: bytes, stale_ms: int) -> bool:
+        """Create a small file that nobody else has created; one older than stale_ms counts as left by a dead writer."""
+        path = self._path(self.path(name))
+        if self._fs.exists(path) and int(time.time() * 1000) - self._fs.getFileStatus(path).getModificationTime() > stale_ms:
+            self._fs.delete(path, False)
+        try:
+            if not self._fs.createNewFile(path):
+                return False
+        except Py4JJavaError:
+            return False
+        out = self._fs.create(path, True)
+        out.write(bytearray(body))
+        out.close()
+        return True
+
     def read(self, name: str) -> bytes:
         stream = self._fs.open(self._path(self.path(name)))
         try:

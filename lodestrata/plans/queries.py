@@ -632,3 +632,20 @@ DATED = coverage.PageOptions(auto=True, max_pages=9, per_source={"click": 4, "vi
 def streaming_dated_pages(spark, sf_dir):
     """Pages with a cutoff, contexts, page totals and budgets by source, through the stateful page controller."""
     return streaming.page_stops(T.dated_pages(spark, sf_dir), DATED)
+
+
+LIFE_DAYS = ("2024-01-01", "2024-01-02", "2024-01-03")
+
+
+@query("""WITH day AS (SELECT DISTINCT event_type AS source, user_id, CAST(ts AS DATE) AS d FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03'),
+    per AS (SELECT source, user_id, min(d) AS first, max(d) AS last FROM day GROUP BY 1, 2),
+    run AS (SELECT DISTINCT source, d FROM day),
+    sight AS (SELECT p.source, p.user_id, p.first, p.last, least(2, count(run.d)) AS missed FROM per p LEFT JOIN run ON run.source = p.source AND run.d > p.last GROUP BY 1, 2, 3, 4),
+    best AS (SELECT user_id, min(missed) AS missed FROM sight GROUP BY 1)
+    SELECT 'u' || s.user_id AS job_id, s.source, CAST(s.user_id AS VARCHAR) AS source_id, strftime(s.first, '%Y-%m-%dT00:00:00Z') AS first_seen_at, strftime(s.last, '%Y-%m-%dT00:00:00Z') AS last_seen_at,
+        CASE s.missed WHEN 0 THEN 'active' WHEN 1 THEN 'missing' ELSE 'withdrawn' END AS status, CAST(s.missed AS INTEGER) AS missing_count,
+        CASE best.missed WHEN 0 THEN 'active' WHEN 1 THEN 'missing' ELSE 'withdrawn' END AS listing_status
+    FROM sight s JOIN best USING (user_id)""")
+def streaming_lifecycle(spark, sf_dir):
+    """Three days of events as captured pages, streamed into a store; its sightings and the states of their listings."""
+    return streaming.lifecycle_of_days(T.captured_days(spark, sf_dir, LIFE_DAYS), LIFE_DAYS)

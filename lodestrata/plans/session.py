@@ -39,6 +39,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one piece of work in the shared folder, which go when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written once and read from there: cuts lineage, runs nothing twice, survives lost executors."""
+        path = f"{shared_folder(self._spark)}/lodestrata-scratch-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
+        for name in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written once to the folder that all executors share, so that what depends on its physical rows is stable."""
     spark = df.sparkSession

@@ -8,6 +8,7 @@ state that the next run is compared with, by one file in state/.  The same run h
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 
@@ -22,6 +23,8 @@ Push = Callable[[str, int, bytes, str, str], dict]
 
 MIN_SECRET = 32
 
+_log = logging.getLogger(__name__)
+
 
 def read_state(files: Folder) -> dict:
     """The last run that was taken as complete; empty before the first."""
@@ -76,6 +79,9 @@ def commit_run(files: Folder, name: str, state: dict) -> None:
     done = [int(x.partition("-")[0]) for x in files.names("state") if x.endswith(".json") and not x.startswith(".")]
     files.publish(f"state/{max(done, default=0) + 1:012d}-{name}.json", json.dumps(state, sort_keys=True).encode())
     files.delete(f"outbox/{name}")
+    for old in files.names("state"):  # hashes of earlier runs are compared with no more
+        if not old.endswith(".json") and not old.startswith(".") and old != name:
+            files.delete(f"state/{old}")
 
 
 def sync(docs: DataFrame, run: dict, health: list[dict], root: str, push: Push, secret: str, size: int = delta.CHUNK_ROWS) -> dict:
@@ -111,4 +117,5 @@ def daily(job: Callable[[], None], due: str, clock: Callable[[], object], sleep:
             last, failures = clock(), 0
         except Exception:
             failures += 1
+            _log.exception("run failed, %d in a row", failures)
         done += 1

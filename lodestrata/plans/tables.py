@@ -132,3 +132,16 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, 0).otherwise(rows).alias("added"), F.array(F.date_format("ts", "yyyy/MM/dd")).alias("dates"), (F.col("event_id") % 47 != 0).alias("has_next"),
         F.when(F.col("user_id") % 5 == 4, 6).alias("total_pages"), F.lit(True).alias("date_ordered"), F.lit(False).alias("server_date_filtered"), F.lit(True).alias("stop_on_no_new"), F.lit(3).alias("no_new_tolerance"),
     )
+
+
+def captured_days(spark: SparkSession, sf_dir: str, days: tuple[str, ...]) -> DataFrame:
+    """Events of some days as captured pages: a page for each source and day, with a listing for each user."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    e = read(spark, sf_dir, "events").where(F.to_date("ts").between(F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date"))).select(day.alias("day"), F.col("event_type").alias("source"), "user_id", (F.col("user_id") % 4).alias("page")).distinct()
+    user = F.col("user_id").cast("string")
+    one = F.struct(
+        F.concat(F.lit("u"), user).alias("id"), F.lit("T").alias("title"), F.lit("C").alias("company"), F.lit(None).cast("string").alias("prefecture"), F.lit("2023-12-31").alias("date_posted"), F.lit("u").alias("url"),
+        F.create_map("source", user).alias("source_ids"), F.create_map("source", F.lit("u")).alias("source_urls"), F.lit("{}").alias("payload"),
+    )
+    pages = e.withColumn("one", one).groupBy("day", "source", "page").agg(F.collect_list("one").alias("listings"))
+    return pages.select("day", "source", F.lit("k").alias("keyword"), F.col("page").cast("long").alias("page"), F.lit("success").alias("status"), F.lit(True).alias("coverage_complete"), "listings")

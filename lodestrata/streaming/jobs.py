@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import PageOptions
+from ..operators.lifecycle import RunOptions
 from ..plans.session import shared_folder
+from ..plans.store import LifecycleStore
+from . import scans
 from .pages import stops
 
 
@@ -53,3 +56,18 @@ def page_stops(pages: DataFrame, o: PageOptions) -> DataFrame:
     source, _ = _places(spark)
     pages.write.parquet(f"{source}-pages")  # the landing folder of the stream
     return run_once(stops(spark.readStream.schema(pages.schema).parquet(f"{source}-pages"), o))
+
+
+def lifecycle_of_days(pages: DataFrame, days: tuple[str, ...]) -> DataFrame:
+    """Captured pages of some days through the stream of runs: sightings with the states of their listings."""
+    spark = pages.sparkSession
+    state, out = _places(spark)
+    landing = f"{state}-pages"
+    for day in days:  # a file of its own for each, in order
+        pages.where(F.col("day") == day).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(scans.CAPTURED).option("maxFilesPerTrigger", 1).parquet(landing)
+    applied = scans.ScanStream(LifecycleStore(spark, out, buckets=8), lambda day: RunOptions(f"{day}T00:00:00Z", "2023-12-01", day, missing_threshold=2))
+    scans.run(stream, applied, state)
+    tables = applied.store.state()
+    status = tables["listings"].select(F.col("id").alias("job_id"), F.col("status").alias("listing_status"))
+    return tables["sightings"].join(status, "job_id").select("job_id", "source", "source_id", "first_seen_at", "last_seen_at", "status", "missing_count", "listing_status")

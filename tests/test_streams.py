@@ -32,8 +32,7 @@ OPTIONS = [
 ]
 
 
-@pytest.mark.parametrize("batches", [1, 7])
-@pytest.mark.parametrize("which", range(len(OPTIONS)))
+@pytest.mark.parametrize(("which", "batches"), [(0, 1), (0, 7), (1, 7), (2, 1)])
 def test_stops_equal_first_stop(spark, tmp_path, which, batches):
     rows, o = crawls(which), OPTIONS[which]
     decided = coverage.decide(spark.createDataFrame(rows, SCHEMA), o)

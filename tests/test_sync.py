@@ -71,30 +71,6 @@ def test_push_survives_crashes(spark, tmp_path):
         sync.sync(documents(spark, {}), {"scannedAt": "x"}, [], root, other, "short")
 
 
-def test_a_crash_before_publishing_keeps_the_store(spark, tmp_path, monkeypatch):
-    store = LifecycleStore(spark, str(tmp_path / "store"))
-    _, t = run(spark, lifecycle.empty_state(spark), "07-25", [one(1)])
-
-    class Batch:
-        tables, classes, marked = t, t["listings"].selectExpr("id", "'new' AS class"), t["sightings"].limit(0)
-        expired = purged = t["listings"].select("id").limit(0)
-
-    monkeypatch.setattr(lifecycle, "apply_run", lambda *a: Batch)
-    save = lambda: store.save_run(t["listings"], None, None)
-    save()
-    assert store.current() == 1 and store.state()["listings"].count() == 1
-    move = Folder.move
-    monkeypatch.setattr(Folder, "move", lambda *a: (_ for _ in ()).throw(OSError("killed")))
-    with pytest.raises(OSError):
-        save()
-    assert store.current() == 1 and store.state()["listings"].count() == 1
-    monkeypatch.setattr(Folder, "move", move)
-    save()
-    assert store.current() == 2 and store.prune(keep=1) == [1] and store.state()["listings"].count() == 1
-    latest, sources = store.latest_run()
-    assert latest.count() == 1 and {r["scanned_at"] for r in sources.collect()} == {latest.first()["scanned_at"]}
-
-
 def test_checkpoints_of_other_scans_are_refused(spark):
     head = coverage.check_head(None, {"keywords": ["a"], "as_of": "2026-01-01"})
     assert coverage.check_head(head, {"as_of": "2026-01-01", "keywords": ["a"]}) == head
