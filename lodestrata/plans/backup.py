@@ -72,8 +72,10 @@ def verified(spark: SparkSession, root: str, name: str) -> tuple[dict, dict[str,
     manifest, tables = json.loads(files.read(f"{name}.json")), {}
     for table, said in manifest["tables"].items():
         path = files.path(f"{name}/{table}")
-        found = _digests(spark, path) if files.exists(f"{name}/{table}") else {}
-        wrong = sorted(f for f in {*found, *said["files"]} if found.get(f) != said["files"].get(f))
+        lengths = files.sizes(f"{name}/{table}")  # first without reading them: a short file may not be readable at all
+        wrong = sorted(f for f in {*lengths, *said["files"]} if lengths.get(f) != said["files"].get(f, [None])[0])
+        found = {} if wrong or not lengths else _digests(spark, path)
+        wrong = wrong or sorted(f for f in {*found, *said["files"]} if found.get(f) != said["files"].get(f))
         if wrong:
             raise StoreError(f"backup {name}: {table} has lost or changed {', '.join(wrong)}")
         empty = spark.createDataFrame([], lifecycle.TABLES[table])
