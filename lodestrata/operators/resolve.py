@@ -128,8 +128,8 @@ def count_by_source(df: DataFrame) -> DataFrame:
 
 
 def order() -> list[Column]:
-    """Newest first, undated last; ties by source, title, arrival."""
-    return [F.col("date_posted").desc_nulls_last(), F.col("source").asc(), F.lower("title").asc(), F.col("_ord").asc()]
+    """Newest first, undated last; ties by source, title, arrival, nulls last in each."""
+    return [F.col("date_posted").desc_nulls_last(), F.col("source").asc_nulls_last(), F.lower("title").asc_nulls_last(), F.col("_ord").asc_nulls_last()]
 
 
 def ordered(df: DataFrame) -> DataFrame:
