@@ -66,9 +66,10 @@ def clean_text(c: Column, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(nfkc(c, unicode), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def canonical_text(c: Column, unicode: bool = True) -> Column:
-    """Folded, without company forms, of digits, a-z, kana and kanji only."""
-    return F.regexp_replace(F.regexp_replace(folded(c, unicode), f"(?U){COMPANY_FORMS}", ""), CANONICAL_DROP, "")
+def canonical_text(c: Column, unicode: bool = True, forms: bool = False) -> Column:
+    """Folded, without company forms unless `forms` keeps them, of digits, a-z, kana and kanji only."""
+    t = folded(c, unicode)
+    return F.regexp_replace(t if forms else F.regexp_replace(t, f"(?U){COMPANY_FORMS}", ""), CANONICAL_DROP, "")
 
 
 def analysis_text(c: Column, unicode: bool = True) -> Column:

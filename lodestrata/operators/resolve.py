@@ -104,9 +104,12 @@ def merge_clusters(df: DataFrame) -> DataFrame:
     return renew_flags(out.withColumnRenamed("_first", "_ord"))
 
 
-def resolve(df: DataFrame, unicode: bool = True) -> DataFrame:
-    """Listings after both kinds of dedup, with merged_rows; rows without fingerprint stay alone."""
-    fp = fingerprint(F.col("company"), F.col("title"), unicode)
+def resolve(df: DataFrame, unicode: bool = True, fp: Column | None = None) -> DataFrame:
+    """Listings after both kinds of dedup, with merged_rows; rows without fingerprint stay alone.
+
+    `fp` is the fingerprint where it isn't that of company and title.
+    """
+    fp = fingerprint(F.col("company"), F.col("title"), unicode) if fp is None else fp
     keyed = native_dedup(df).withColumn("_fp", fp)
     # From here on a fingerprint is its digest: it is a key of every step, and may be as long as a text.
     keyed = written(keyed.withColumns({"fp": F.sha2("_fp", 256), "canonical": canonical_id(F.col("_fp"))}).drop("_fp"), "keyed")

@@ -36,3 +36,16 @@ def test_ordered_listings_with_nulls_and_equal_days(spark, differing, coalesced)
         assert differing("ordered_listings", orders=orders, customer=customer, nation=f"FROM '{sf}/nation.parquet'") == ([], [])
     finally:
         spark.conf.unset(key)
+
+
+DOCUMENTS = """SELECT (100 - i)::BIGINT AS doc_id, lang, source, text FROM (VALUES
+    (1, 'en', 'a', '!!!'), (2, 'en', 'b', '???'), (3, 'en', 'b', ''), (4, 'de', 'c', '...'), (5, 'de', 'a', '-'),
+    (6, 'en', 'a', 'Write to ltd.64@mail6'), (7, 'en', 'b', 'write to LTD.64@mail6'), (8, 'en', 'c', 'Write to 64@mail6'), (9, 'en', 'd', 'Ltd.'), (10, 'en', 'e', 'inc'), (11, 'en', 'a', 'Inc.'),
+    (12, 'en', 'a', NULL), (13, 'de', 'b', NULL), (14, NULL, 'b', 'words'), (15, NULL, 'c', NULL), (16, NULL, 'b', 'words'), (17, 'de', 'a', 'Straße 1'), (18, 'de', 'b', 'STRASSE 1')) t(i, lang, source, text)"""
+
+
+@pytest.mark.parametrize("name", ["cross_source_resolve"])
+def test_documents_with_empty_texts_company_forms_and_nulls(differing, name):
+    sf = "/root/testdata/sf0.001"
+    others = {t: f"FROM '{sf}/{t}.parquet'" for t in ("orders", "customer", "nation")}
+    assert differing(name, documents=DOCUMENTS, **others) == ([], [])
